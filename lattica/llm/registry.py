@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import warc
+from lattica.llm import token_counts, warc
 
-QUERIES = {"op1_warc": warc.op1_warc}
+QUERIES = {"op1_warc": warc.op1_warc, "op10_token_counts": token_counts.op10_token_counts}
 ORACLE_SQL = {"op1_warc": warc.SQL}
