@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import token_counts, warc
+from lattica.llm import decontaminate, token_counts, warc
 
-QUERIES = {"op1_warc": warc.op1_warc, "op10_token_counts": token_counts.op10_token_counts}
-ORACLE_SQL = {"op1_warc": warc.SQL}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op4_decontaminate": decontaminate.SQL}
