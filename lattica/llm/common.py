@@ -7,12 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bins of the equi-width histogram behind :func:`with_range_shard`; the driver sees one row for each.
-HISTOGRAM_BINS = 4096
+HISTOGRAM_BINS = 1 << 16
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -48,7 +49,6 @@ def drop_path(spark: SparkSession, uri: str) -> None:
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices whose ``column`` holds about ``most`` bytes at most; a longer text is a slice alone."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -106,10 +106,10 @@ def with_shard(df: DataFrame, key: str, cuts: Cuts, shard: str = "_shard") -> tu
     """Add the shard number of ``key``; equal keys share a shard, null keys go to shard 0, before all others."""
     if not cuts.bins:
         return df.withColumn(shard, F.lit(0)), 1
-    first = F.array(*map(F.lit, cuts.bins))  # HISTOGRAM_BINS numbers at most, ascending
-    number = F.size(F.filter(first, lambda x: x <= F.col("_bin")))
-    out = df.withColumn("_bin", F.coalesce(cuts.bin_of(key), F.lit(-1))).withColumn(shard, number).drop("_bin")
-    return out, len(cuts.bins) + 1
+    number = np.searchsorted(np.array(cuts.bins), np.arange(HISTOGRAM_BINS + 1), side="right")
+    table = df.sparkSession.createDataFrame(list(enumerate(number.tolist())), f"_bin int, {shard} int")  # HISTOGRAM_BINS rows
+    out = df.withColumn("_bin", cuts.bin_of(key)).join(F.broadcast(table), "_bin", "left").drop("_bin")
+    return out.withColumn(shard, F.coalesce(shard, F.lit(0))), len(cuts.bins) + 1
 
 
 MANIFEST = "name string, temp string, shard int, part int, rows long, bytes long, sha256 string"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, token_counts, topk, warc
+from lattica.llm import decontaminate, token_counts, token_files, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_token_files": token_files.op8_token_files,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op1_warc": warc.SQL, "op3_topk": topk.SQL, "op4_decontaminate": decontaminate.SQL}
