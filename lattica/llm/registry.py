@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, token_counts, token_files, topk, warc
+from lattica.llm import decontaminate, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_token_files": token_files.op8_token_files,
     "op10_token_counts": token_counts.op10_token_counts,
 }
