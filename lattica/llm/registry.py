@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, token_counts, token_files, topk, toxicity, warc
+from lattica.llm import decontaminate, jaccard, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
