@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard, lines, token_counts, token_files, topk, toxicity, warc
+from lattica.llm import decontaminate, jaccard, lines, mixing, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_fuzzy_lines": lines.op7_fuzzy_lines,
     "op8_token_files": token_files.op8_token_files,
+    "op9_mixing": mixing.op9_mixing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op1_warc": warc.SQL, "op3_topk": topk.SQL, "op4_decontaminate": decontaminate.SQL}
