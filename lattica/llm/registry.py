@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard, lines, mixing, token_counts, token_files, topk, toxicity, warc
+from lattica.llm import decontaminate, jaccard, lines, mixing, substrings, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_substrings": substrings.op6_substrings,
     "op7_fuzzy_lines": lines.op7_fuzzy_lines,
     "op8_token_files": token_files.op8_token_files,
     "op9_mixing": mixing.op9_mixing,
