@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lattica.queries import core
+
+QUERIES: dict = dict(core.QUERIES)
+ORACLE_SQL: dict = dict(core.ORACLE_SQL)
