@@ -9,10 +9,11 @@ two parts: linked sets share one for certain.
 1.  Every slice of documents makes its sets and signatures, joins equal signatures on the spot, and sends each
     signature once, in a packed row for each bucket of signatures.  A bucket names for every signature the
     smallest document as leader: pairs (leader, document), never pairs of all.
-2.  Pairs are verified on their whole sets, and components are taken over the links.
-3.  What a leader can't settle is settled in blocks: documents that candidate pairs connect but links do not
-    are compared by parity sketches, in order of size.  The sketches of two sets differ in no more bits than the
-    sets in features, so a pair is left out only if it can't link.  Pairs that remain are verified too.
+2.  Pairs that may link by their parity sketches are verified on their whole sets, and components are taken over
+    the links.  The sketches of two sets differ in no more bits than the sets in features, so a pair is left out
+    only if it can't link.
+3.  What a leader can't settle is settled in blocks: documents that candidate pairs connect but links do not are
+    compared by their sketches, in order of size, and pairs that may link are verified too.
 
 Documents with equal sets are joined first and stand for one in steps 2 and 3.
 
@@ -38,7 +39,7 @@ from lattica.llm import common
 WORDS, PERCENT = 4, 85
 #: Bytes of text for each bucket of signatures; documents in a block of step 3; pairs of a hub in one task;
 #: ids that a filter may broadcast (beyond, it shuffles).
-BUCKET_BYTES, BLOCK, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 256, 1024, 1 << 20
+BUCKET_BYTES, BLOCK, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 1024, 1024, 1 << 20
 PARTS = 3
 U = np.uint64
 
@@ -134,12 +135,12 @@ def pairs_of(signs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 PACKED = "kind int, bucket int, doc long, n long, h1 long, h2 long, blob binary"
 PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("blob", pa.binary())])
-FOUND = "kind int, doc long, n long, h1 long, h2 long, a long, b long"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+FOUND = "kind int, doc long, n long, h1 long, h2 long, sketch binary, a long, b long"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Kind 0: a row per document with its set's size and hash.  Kind 1: candidate pairs (leader, document)."""
+    """Kind 0: a row per document with its set's size, hash and sketch.  Kind 1: candidate pairs (leader, document)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -150,7 +151,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
             rows, signs, owners = [], [], []
             for k, (doc, s) in enumerate(zip(ids, sets, strict=True)):
                 h1, h2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                rows.append({"kind": 0, "bucket": h1 % buckets, "doc": doc, "n": len(s), "h1": h1, "h2": h2})
+                rows.append({"kind": 0, "bucket": h1 % buckets, "doc": doc, "n": len(s), "h1": h1, "h2": h2, "blob": sketch(s, percent)})
                 if len(s) and doc is not None:
                     signs.append(signatures(s, percent))
                     owners.append(np.full(len(signs[-1]), doc, np.int64))
@@ -169,12 +170,12 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, owners = [], []
-        of_pairs = lambda p: pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
+        of_pairs = lambda p: pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.nulls(len(p), pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             plain = batch.filter(pa.array(kinds == 0))
             if plain.num_rows:
-                yield pa.RecordBatch.from_arrays([*(plain.column(c) for c in ("kind", "doc", "n", "h1", "h2")), *[pa.nulls(plain.num_rows, pa.int64())] * 2], schema=FOUND_ARROW)
+                yield pa.RecordBatch.from_arrays([*(plain.column(c) for c in ("kind", "doc", "n", "h1", "h2", "blob")), *[pa.nulls(plain.num_rows, pa.int64())] * 2], schema=FOUND_ARROW)
             for k in np.flatnonzero(kinds > 0).tolist():
                 data = np.frombuffer(batch.column("blob")[k].as_buffer(), np.int64)
                 if kinds[k] == 2:
@@ -195,15 +196,28 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
-CHECKED = "a long, b long, linked boolean, n long, sketch binary"
+def _may_link(a: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, na, nb, x, y) that their sketches x and y don't rule out."""
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            fine = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            most = (na + nb) * (100 - percent) // (100 + percent)
+            rows = np.flatnonzero(fine)
+            some = batch.take(pa.array(rows))
+            keep = []
+            for row, x, y in zip(rows.tolist(), some.column("x").to_pylist(), some.column("y").to_pylist(), strict=True):
+                u, v = (fold(np.frombuffer(z, np.uint8)[None, :], min(len(x), len(y))) for z in (x, y))
+                if int(np.bitwise_count(u ^ v).sum()) <= most[row]:
+                    keep.append(row)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Hold the sets of ``pairs`` (a, b: a is the hub) against each other.
+    return a.mapInArrow(check, "a long, b long")
 
-    Gives for each pair whether it links, and b's size and sketch; and a row (a, a) for each hub.
-    """
-    pairs = common.materialize(pairs, "pairs")
+
+def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` (a, b: a is the hub) whose whole sets link."""
     # A hub with many partners is copied to several tasks, each with some of them.
     loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies"))
     hubs = loads.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("a").alias("doc"), F.lit(0).alias("kind"))
@@ -222,27 +236,24 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
                     held, mains = (hub, copy), []
                 if kind == 0:
                     mains.append(s)
-                    linked = False
-                else:
-                    linked = False
-                    for m in mains:
-                        both = int(np.isin(s, m, assume_unique=True).sum())
-                        linked = linked or bool(both) and 100 * both >= percent * (len(s) + len(m) - both)
-                if kind or copy == 0:
-                    out.append({"a": hub, "b": doc, "linked": linked, "n": len(s), "sketch": sketch(s, percent)})
+                    continue
+                for m in mains:
+                    both = int(np.isin(s, m, assume_unique=True).sum())
+                    if both and 100 * both >= percent * (len(s) + len(m) - both):
+                        out.append((hub, doc))
+                        break
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("n", pa.int64()), ("sketch", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return common.materialize(rows.select("hub", "copy", "doc", "kind", "text").mapInArrow(check, CHECKED), "checked")
+    return common.materialize(rows.select("hub", "copy", "doc", "kind", "text").mapInArrow(check, "a long, b long"), "links")
 
 
-def _unsettled(checked: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+def _unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may link though no leader joined them: from the blocks of each connected group of candidates."""
-    spark = checked.sparkSession
-    apart = checked.where("a <> b")
-    groups = common.connected_components(apart, "a", "b").withColumnRenamed("v", "doc").withColumnRenamed("component", "cluster")
-    docs = checked.groupBy(F.col("b").alias("doc"), "n", "sketch").agg(F.count("*").alias("times")).drop("times")
-    docs = docs.join(groups, "doc").join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    spark = pairs.sparkSession
+    groups = common.connected_components(pairs).withColumnRenamed("v", "doc").withColumnRenamed("component", "cluster")
+    docs = sets.select("doc", "n", "sketch").join(groups, "doc")
+    docs = docs.join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     docs = common.materialize(docs, "clusters")
     # Two documents, or a group that links join already, leave nothing to settle.
     open_ = docs.groupBy("cluster").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 AND low < high").select("cluster")
@@ -261,13 +272,15 @@ def _unsettled(checked: DataFrame, components: DataFrame, percent: int) -> DataF
                 x, y = (_by_width(batch.column(c)[at]) for c in ("x", "y"))
                 for wx, (dx, nx, cx, sx) in x.items():
                     for wy, (dy, ny, cy, sy) in y.items():
-                        u, v = fold(sx, min(wx, wy)), fold(sy, min(wx, wy))
-                        bits = np.bitwise_count(u.view(np.uint64)[:, None, :] ^ v.view(np.uint64)[None, :, :]).sum(axis=2, dtype=np.int64)
-                        near = bits <= (nx[:, None] + ny[None, :]) * (100 - percent) // (100 + percent)
-                        near &= (cx[:, None] != cy[None, :]) & (dx[:, None] != dy[None, :])
-                        near &= (100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :]))
-                        i, j = np.nonzero(near)
-                        found.append(np.stack((np.minimum(dx[i], dy[j]), np.maximum(dx[i], dy[j])), axis=1))
+                        u, v = (fold(z, min(wx, wy)).view(np.uint64) for z in (sx, sy))
+                        for k in range(0, len(u), 32):  # some rows at a time: the differences take len(v) sketches each
+                            some = slice(k, k + 32)
+                            bits = np.bitwise_count(u[some, None, :] ^ v[None, :, :]).sum(axis=2, dtype=np.int64)
+                            near = bits <= (nx[some, None] + ny[None, :]) * (100 - percent) // (100 + percent)
+                            near &= (cx[some, None] != cy[None, :]) & (dx[some, None] != dy[None, :])
+                            near &= 100 * np.minimum(nx[some, None], ny[None, :]) >= percent * np.maximum(nx[some, None], ny[None, :])
+                            i, j = np.nonzero(near)
+                            found.append(np.stack((np.minimum(dx[i + k], dy[j]), np.maximum(dx[i + k], dy[j])), axis=1))
                 pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -292,20 +305,22 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key:
     """Components of linked documents: ``key``, n_shingles, component_id; a row per row of ``docs``."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = _sets_and_pairs(rows, words, percent)
-    sets = found.where("kind = 0").select("doc", "n", "h1", "h2")
+    sets = found.where("kind = 0").select("doc", "n", "h1", "h2", "sketch")
     whole = sets.where("n > 0 AND doc IS NOT NULL")
     groups = whole.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = common.materialize(whole.join(groups, ["n", "h1", "h2"]).where("doc <> rep").select("doc", "rep").distinct(), "copies")
     pairs = found.where("kind = 1").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(copies.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked = _verify(rows, pairs, words, percent)
-    links = checked.where("linked").select("a", "b")
-    joined = common.connected_components(links)
-    more = _unsettled(checked, joined, percent)
+    pairs = common.materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    once = whole.join(copies.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if copies.limit(1).count() else whole.select("doc", "n", "sketch")
+    side = lambda c, n, s: once.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
+    likely = common.materialize(_may_link(pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b"), percent).distinct(), "likely")
+    links = _verify(rows, likely, words, percent)
+    more = _unsettled(pairs, once, common.connected_components(links), percent).join(likely, ["a", "b"], "left_anti")
+    more = common.materialize(more, "more")
     if more.limit(1).count():
-        links = links.unionAll(_verify(rows, more, words, percent).where("linked").select("a", "b"))
+        links = links.unionAll(_verify(rows, more, words, percent))
     links = links.unionAll(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     joined = common.connected_components(links).withColumnRenamed("v", "doc")
     out = sets.join(joined, "doc", "left")
