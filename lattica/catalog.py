@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.queries import core
+from lattica.queries import core, more
 
-QUERIES: dict = dict(core.QUERIES)
-ORACLE_SQL: dict = dict(core.ORACLE_SQL)
+QUERIES: dict = core.QUERIES | more.QUERIES
+ORACLE_SQL: dict = core.ORACLE_SQL | more.ORACLE_SQL

@@ -7,14 +7,13 @@ import math
 import numpy as np
 
 
-def _simpson(f, low: float, high: float, n: int = 2000) -> float:
-    x = np.linspace(low, high, 2 * n + 1)
-    y = f(x)
-    return float((high - low) / (6 * n) * (y[0] + y[-1] + 4 * y[1::2].sum() + 2 * y[2:-1:2].sum()))
+_GRID = np.linspace(-9, 9, 18001)
+_CDF = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in _GRID])
 
 
 def normal_cdf(x):
-    return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(x, float) / math.sqrt(2)))
+    """Interpolated in a table of step 0.001: within 4e-8."""
+    return np.interp(x, _GRID, _CDF)
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -46,7 +45,7 @@ def f_tail(f: float, df1: float, df2: float) -> float:
 
 
 def _solve(f, low: float, high: float) -> float:
-    for _ in range(200):
+    for _ in range(70):
         middle = (low + high) / 2
         low, high = (middle, high) if f(middle) > 0 else (low, middle)
     return (low + high) / 2
@@ -62,7 +61,7 @@ def t_quantile(p: float, df: float) -> float:
 
 def studentized_range_cdf(q: float, k: int, df: float) -> float:
     """Chance that the range of ``k`` normal means over a standard error on ``df`` degrees is ``q`` at most."""
-    z = np.linspace(-8, 8, 1201)
+    z = np.linspace(-8, 8, 641)
     phi, cdf = np.exp(-z * z / 2) / math.sqrt(2 * math.pi), normal_cdf(z)
 
     def wide(w: np.ndarray) -> np.ndarray:
@@ -72,7 +71,7 @@ def studentized_range_cdf(q: float, k: int, df: float) -> float:
     if math.isinf(df) or df > 1e5:
         return float(wide(np.array([q]))[0])
     log_c = (df / 2) * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2)
-    s = np.linspace(1e-6, 1 + 12 / math.sqrt(2 * df), 401)
+    s = np.linspace(1e-6, 1 + 12 / math.sqrt(2 * df), 241)
     dens = np.exp(log_c + (df - 1) * np.log(s) - df * s * s / 2)
     return float(np.clip(np.trapezoid(dens * wide(q * s), s), 0, 1))
 

@@ -16,9 +16,8 @@ def sign_bits(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def tanimoto_pairs(bits: DataFrame, cutoff: float) -> DataFrame:
     """Pairs a < b of bit sets (key, bit) at a distance of ``cutoff`` at most: a, b, both, either.
 
-    Sets of one length band meet only with the next ones: a pair that is near has sizes within a factor of
-    1 - cutoff.  Of the rest, sets meet on their rarest bits: near sets share one of their first
-    n - ceil((1 - cutoff) n) + 1 in the order of rarity.
+    Sets meet on their rarest bits: near sets share one of their first n - ceil((1 - cutoff) n) + 1 bits in the
+    order of rarity, and their sizes are within a factor of 1 - cutoff.  Sets without bits are near to none.
     """
     near = 1 - cutoff
     freq = bits.groupBy("bit").agg(F.count("*").alias("f"))
