@@ -19,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,11 @@ VOCABULARY, END = "byte_bpe_50k.json", 0
 MAGIC = b"LWM1"
 BLOCK = 1 << 18
 #: Tokens at which a file closes, bytes of text of a range shard, entries of each generation of a worker's cache.
-ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 3 << 18
+ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 7 << 16
+
+#: The vocabulary spells bytes as visible characters: those that are visible as themselves, the others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+VISIBLE = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 _workers: dict = {}
 
@@ -66,6 +70,25 @@ class Tokens:
         got = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def ask_words(self, words: list[bytes]) -> list[bytes]:
+        """As :meth:`ask`, for spaces or newlines with what follows: plain words need no search for the pattern."""
+        tokenize, kind, out, others = self.tokenizer.model.tokenize, self.kind.char, [], []
+        space = chr(VISIBLE[32])
+        for k, w in enumerate(words):
+            # The pattern takes a space and letters as one.
+            if w[0] == 32 and w[1:].isalpha():
+                got = tokenize(space + w[1:].decode())
+            elif w[0] == 32 and w[1:].decode().isalpha():
+                got = tokenize(w.decode("latin-1").translate(VISIBLE))
+            else:
+                out.append(b"")
+                others.append(k)
+                continue
+            out.append(array(kind, [t.id for t in got]).tobytes())
+        for k, ids in zip(others, self.ask([words[k] for k in others]) if others else [], strict=True):
+            out[k] = ids
+        return out
+
     def learn(self, pieces: set[bytes]) -> None:
         if len(self.now) + len(pieces) > CACHED:
             self.old, self.now = self.now, {}
@@ -85,27 +108,35 @@ class Tokens:
             else:
                 asked.add(p)
         names = list(asked)
-        for at in range(0, len(names), 4096):
-            some = names[at : at + 4096]
-            now.update(zip(some, self.ask([p if p[:1] == b"\n" else b" " + p for p in some]), strict=True))
+        now.update(zip(names, self.ask_words([p if p[:1] == b"\n" else b" " + p for p in names]), strict=True))
         for p in ended:
             now[p] = now[p[:-1]] + (self.comma if p[-1:] == b"," else self.stop)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        cut, whole = [], []
+        cut, whole, lacking = [], [], set()
+        get = self.now.get
         for k, t in enumerate(texts):
             if not t:
                 continue
             if t[0] <= 32 or t[-1] <= 32 or any(x in t for x in self.ODD):
                 whole.append(k)
             else:  # the first piece counts as one after a newline, whose id is dropped below
-                cut.append((k, (b"\n" + t.replace(b"\n", b" \n")).split(b" ")))
+                pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
+                ids = list(map(get, pieces))
+                if None in ids:
+                    gaps = [i for i, x in enumerate(ids) if x is None]
+                    lacking.update([pieces[i] for i in gaps])
+                    cut.append((k, ids, [(i, pieces[i]) for i in gaps]))
+                else:
+                    cut.append((k, ids, ()))
         out = [b""] * len(texts)
-        self.learn(set().union(*(p for _, p in cut)))
-        get, skip = self.now.__getitem__, len(self.newline)
-        for k, pieces in cut:
-            out[k] = b"".join(map(get, pieces))[skip:]
+        self.learn(lacking)
+        skip, now = len(self.newline), self.now
+        for k, ids, gaps in cut:
+            for i, piece in gaps:
+                ids[i] = now[piece]
+            out[k] = b"".join(ids)[skip:]
         for k, ids in zip(whole, self.ask([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
         return out
@@ -298,13 +329,12 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end: int = END, rol
     cuts = common.range_cuts(rows, "doc_id", F.octet_length("text") + 8, shard_bytes)
     sharded, shards = common.with_shard(rows, "doc_id", cuts)
     ordered = sharded.repartitionById(shards, "_shard").sortWithinPartitions("doc_id", "text")
-    mark = uuid.uuid4().hex
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _workers:  # a worker keeps its cache from task to task
+        if name not in _workers:  # a worker keeps its cache from task to task
             _workers.clear()
-            _workers[mark] = Tokens(name)
-        tokens = _workers[mark]
+            _workers[name] = Tokens(name)
+        tokens = _workers[name]
         closing = np.array([end], tokens.kind).tobytes()
         files, doc_ids, ends, held, n, shard, part = [], [], [], [], 0, None, 0
 
