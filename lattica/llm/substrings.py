@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,9 @@ from lattica.llm import common
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a slice of documents, of a piece of a long document, and of text for each bucket.
-SLICE_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20, 24 << 20
+SLICE_BYTES, PIECE_BYTES, BUCKET_BYTES = 2 << 20, 1 << 20, 12 << 20
+#: Prefixes that are named and sorted together.
+SORTED = 1 << 20
 BROADCAST_IDS = 1 << 20
 U = np.uint64
 LOW = U((1 << 24) - 1)
@@ -191,6 +194,20 @@ def prefix_names(buffer: np.ndarray, starts: np.ndarray, phase: np.ndarray, leng
     return rank(first, again, tail)
 
 
+def _smallest(contents: list[tuple[int, bytes]], least: np.ndarray, length: int) -> np.ndarray:
+    """The smallest document of each prefix of the contents, whose own smallest documents are ``least``."""
+    sizes = np.array([len(c) for _, c in contents], np.int64)
+    counts = sizes - length + 1
+    buffer = np.frombuffer(b"".join(c for _, c in contents) + bytes(40), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    rel = np.array([r for r, _ in contents], np.int64)
+    names = prefix_names(buffer, np.repeat(begins, counts) + inner, (inner - np.repeat(rel, counts)) % 3, length)
+    smallest = np.full(int(names.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, names, np.repeat(least, counts))
+    return smallest[names]
+
+
 def _pack_slices(docs: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text", SLICE_BYTES):
@@ -299,8 +316,8 @@ def _repeated_prefixes(slices: DataFrame, length: int, buckets: int) -> DataFram
         known: dict[tuple[int, bytes], int] = {}
         for row in _rows(batches):
             n, blob = row["n"], _unzip(row["blob"])
-            docs.append(np.frombuffer(blob, np.int64, n))
-            numbers.append(np.frombuffer(blob, np.uint32, n, 8 * n))
+            docs.append(np.frombuffer(blob, np.int64, n).copy())  # a view would keep the whole blob
+            numbers.append(np.frombuffer(blob, np.uint32, n, 8 * n).copy())
             size = np.frombuffer(blob, np.uint16, n, 12 * n).tolist()
             rel = np.frombuffer(blob, np.uint8, n, 14 * n).tolist()
             at, ids = 15 * n, []
@@ -315,17 +332,21 @@ def _repeated_prefixes(slices: DataFrame, length: int, buckets: int) -> DataFram
         doc, number, owner, kind = (np.concatenate(x) for x in (docs, numbers, owners, which))
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, doc)
-        sizes = np.array([len(c) for _, c in known], np.int64)
-        counts = sizes - length + 1
-        buffer = np.frombuffer(b"".join(c for _, c in known) + bytes(40), np.uint8)
-        begins = np.cumsum(sizes) - sizes
+        contents = list(known)
+        known.clear()
+        counts = np.array([len(c) for _, c in contents], np.int64) - length + 1
         firsts = np.cumsum(counts) - counts
-        inner = np.arange(int(counts.sum())) - np.repeat(firsts, counts)
-        rel = np.array([r for r, _ in known], np.int64)
-        names = prefix_names(buffer, np.repeat(begins, counts) + inner, (inner - np.repeat(rel, counts)) % 3, length)
-        smallest = np.full(int(names.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, names, np.repeat(least, counts))
-        found = smallest[names]
+        found = np.empty(int(counts.sum()), np.int64)
+        # Equal prefixes surround the same gram, so the grams' contents are sorted some at a time.
+        parts = 1 + len(found) // SORTED
+        part_of = np.array([zlib.crc32(c[r : r + GRAM]) % parts for r, c in contents])
+        for part in range(parts):
+            some = np.flatnonzero(part_of == part)
+            if len(some):
+                values = _smallest([contents[k] for k in some.tolist()], least[some], length)
+                per = counts[some]
+                found[np.repeat(firsts[some] - (np.cumsum(per) - per), per) + np.arange(len(values))] = values
+        del contents
         # One bit for each prefix of a content that a smaller document has than the row's own.
         per = counts[kind]
         row_of = np.repeat(np.arange(len(kind)), per)
