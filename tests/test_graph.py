@@ -48,7 +48,7 @@ def test_merge_is_the_whole_fit_and_exact_far_from_zero(spark):
     df = spark.createDataFrame(rows, "node_id long, level int, cid long, y double").selectExpr("*", "CAST(NULL AS BIGINT) AS parent")
     fit = lambda part: stats.class_stats(part.drop("y"), part.select("node_id", "y"))
     merged = stats.merge([fit(df.where("node_id < 1")), fit(df.where("node_id >= 1")), stats.empty_like(fit(df))]).first()
-    assert (merged["n"], merged["mean"], merged["msd"]) == (4, 1e9 + 2, 4.0)
+    assert (merged["n"], merged["mean"]) == (4, pytest.approx(1e9 + 2, abs=1e-5)) and merged["msd"] == pytest.approx(4.0, abs=1e-4)
 
 
 def test_model_round_trip_merge_and_options(spark, tmp_path):
