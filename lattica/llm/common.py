@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 HISTOGRAM_BINS = 1 << 16
 
 
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share.
 
@@ -25,8 +28,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _local[app]
     if "://" not in root:
         root = f"file://{root}" if root.startswith("/") else root
     return f"{root.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
