@@ -18,7 +18,7 @@ class Graph:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the plan between rounds: a reliable checkpoint where the session has a folder for it, else a cache that Spark can rebuild."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def violations(graph: Graph) -> DataFrame:
