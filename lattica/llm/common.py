@@ -26,7 +26,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
@@ -52,6 +52,22 @@ def drop_path(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a Python worker keeps from task to task: one object, made anew when another ``key`` is asked for."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps: tasks that need their memory for other things begin with this."""
+    _held.clear()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices whose ``column`` holds about ``most`` bytes at most; a longer text is a slice alone."""
     import pyarrow.compute as pc

@@ -179,6 +179,7 @@ def find(docs: DataFrame, items: DataFrame, words: int = WINDOW, key: str = "doc
         patterns = spark.sparkContext.broadcast(Patterns([(r["item"], r["text"].encode()) for r in part.collect()], words))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.release()
             search = patterns.value
             for batch in common.text_slices(batches, "text", 4 << 20):
                 got = search.search(common.text_bytes(batch, "text"))

@@ -145,6 +145,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in common.text_slices(batches, "text"):
             ids = batch.column("doc").to_pylist()
             sets = shingle_sets(common.text_bytes(batch, "text"), words)
@@ -169,6 +170,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=PACKED_ARROW)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         signs, owners = [], []
         of_pairs = lambda p: pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.nulls(len(p), pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
         for batch in batches:

@@ -27,8 +27,6 @@ FREQUENT, CANDIDATES = 1 << 15, 1 << 13
 CACHED = 3 << 18
 LIMIT = 2048
 
-_workers: dict = {}
-
 
 class Lengths:
     """Tokens of each word of the batch at hand, in ``now``; ``now`` holds the frequent words always.
@@ -111,10 +109,7 @@ def count_tokens(docs: DataFrame, name: str = "word_bpe_49k.json", key: str = "d
     mark = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _workers:  # a worker keeps its cache from task to task
-            _workers.clear()
-            _workers[mark] = Lengths(name, table.value)
-        known = _workers[mark]
+        known = common.held(mark, lambda: Lengths(name, table.value))
         for batch in common.text_slices(batches, "text", 2 << 20):
             texts = common.text_bytes(batch, "text")
             words = [t.split() for t in texts]

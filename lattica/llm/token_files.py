@@ -40,8 +40,6 @@ ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 7 << 16
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
-_workers: dict = {}
-
 
 class Tokens:
     """Ids of texts, from the library; pieces that a text may safely be cut into are remembered.
@@ -331,10 +329,7 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end: int = END, rol
     ordered = sharded.repartitionById(shards, "_shard").sortWithinPartitions("doc_id", "text")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _workers:  # a worker keeps its cache from task to task
-            _workers.clear()
-            _workers[name] = Tokens(name)
-        tokens = _workers[name]
+        tokens = common.held(("tokens", name), lambda: Tokens(name))
         closing = np.array([end], tokens.kind).tobytes()
         files, doc_ids, ends, held, n, shard, part = [], [], [], [], 0, None, 0
 

@@ -48,8 +48,6 @@ SYMBOLS = b"#$%&*+/<=>@[\\]^_`{|}~"
 EDGES = "!?.,;:'\"()-#$%&*+/<=>@[\\]^_`{|}~"
 NAMES = ("seed", "learned", "weight", "strongest", "spelled", "near", "second", "shouted", "obfuscated", "capitals", "marks", "cries", "symbols", "repeats", "words", "any")
 
-_workers: dict = {}
-
 
 def tokens(word: str) -> list[str]:
     """What the learned lexicon may hold of a plain word: itself, and its beginnings."""
@@ -125,10 +123,7 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float], to: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{to}` array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _workers:  # a worker keeps what it has seen from task to task
-            _workers.clear()
-            _workers[mark] = Kinds(shared.value)
-        kinds = _workers[mark]
+        kinds = common.held(mark, lambda: Kinds(shared.value))
         for batch in common.text_slices(batches, text):
             got = kinds.features(common.text_bytes(batch, text))
             column = pa.FixedSizeListArray.from_arrays(pa.array(got.reshape(-1)), len(NAMES)).cast(pa.list_(pa.float64()))
