@@ -1,13 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is what stands between newlines, trimmed; empty lines are kept as they are.  A line's signature takes minima
-over hashes of its character shingles that stand at the beginnings of longer words (of any words, where a line has
-few longer ones); bands of two minima make the keys on which lines meet.  The line with the smallest hash leads the
-buckets of even bands, that with the largest those of odd ones, and every pair (leader, line) is verified by the exact
-Jaccard similarity of all character shingles.  Union-find over the links is distributed.  Equal lines are one vertex.
+A line is what stands between newlines, trimmed; empty lines are kept as they are.  Equal lines are one vertex.  A
+line's signature takes minima over hashes of all its character shingles; bands of four minima make the keys on which
+lines meet.  The line with the smallest hash leads a bucket, and pairs (leader, line) are candidates.  Pairs whose minima agree often enough are verified by the exact Jaccard similarity of all
+character shingles.  Union-find over the links is distributed.
 Of each component the first occurrence stays: smallest document id, then smallest line number.
 
-Two lines whose signatures' sets have the similarity s share no band with a chance of (1 - s^2)^bands: 0.2 % for 0.8.
+Two lines of the similarity s share no band with a chance of (1 - s^4)^bands: 0.2 % for 0.8.  That their minima agree
+too seldom for a verification has one below 1 in 1,000,000.
 
 Defined results: a null text has no lines; rows that repeat a document id with another text are documents of their
 own, rows that repeat id and text have the same result; a null id comes first; lines shorter than a shingle link with equal lines alone; an empty table gives no
@@ -16,14 +16,15 @@ row; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common
 
-#: Characters of a shingle; similarity at which lines link; bands of two minima; characters of a signature's shingle;
-#: letters of a longer word, and so many of them make a line's signature alone.
-SHINGLE, SIMILARITY, BANDS, ANCHORED, LONG, FEW = 5, 0.8, 6, 8, 5, 4
+#: Characters of a shingle; similarity at which lines link; bands, and minima of each.
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
+#: By so many standard deviations may a pair's minima agree less often than those of linked lines do in the mean.
+DOUBT = 5.2
 #: Lines whose texts a filter may broadcast the hashes of; beyond, it shuffles.
 BROADCAST_LINES = 1 << 21
 
@@ -44,39 +45,40 @@ def hashed(lines: DataFrame) -> DataFrame:
     return lines.where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.reverse("line"))})
 
 
-def _keys(pieces: Column, family: int, bands: int) -> tuple[Column, Column]:
-    """Hashes of a set of pieces, and its band keys: a minimum of the hashes is taken under each of several orders."""
-    hashes = F.transform(pieces, lambda x: F.xxhash64(x))
-    # Exclusive-or with a fixed number turns one order of the hashes into another.
-    order = lambda k: lambda x: x.bitwiseXOR(F.xxhash64(F.lit(family), F.lit(k)))
-    minima = [F.array_min(F.transform("_hashes", order(k))) for k in range(2 * bands)]
-    # A key's last bit tells even bands from odd ones.
-    key = lambda b: F.shiftleft(F.xxhash64(F.lit(family * bands + b), minima[2 * b], minima[2 * b + 1]), 1) + F.lit(b % 2)
-    keys = F.array(*map(key, range(bands)))
-    return hashes, keys
-
-
-def signatures(lines: DataFrame, bands: int) -> DataFrame:
-    """The band keys of each line: h1, key."""
-    longer = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^ ])(?=([^ ]{{{LONG}}}.{{0,{ANCHORED - LONG}}}))"), F.lit(1))
-    every = F.regexp_extract_all("line", F.lit(f"(?s)(?<![^ ])(?=(.{{1,{ANCHORED}}}))"), F.lit(1))
-    rows = lines.withColumn("longer", longer)
-    out = None
-    for family, (part, pieces) in enumerate(((rows.where(F.size("longer") > 0), F.col("longer")), (rows.where(F.size("longer") < FEW), every))):
-        hashes, keys = _keys(pieces, family, bands)
-        got = part.select("h1", hashes.alias("_hashes")).select("h1", F.explode(keys).alias("key"))
-        out = got if out is None else out.unionAll(got)
-    return out
-
-
-def links(lines: DataFrame, size: int, similarity: float, bands: int) -> DataFrame:
-    """Verified pairs (a1, a2) - (b1, b2) of different lines; ``lines`` as :func:`hashed` gives them."""
-    keys = signatures(lines.where(F.char_length("line") >= size), bands)
-    bucket = Window.partitionBy("key")
-    leader = F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.min("h1").over(bucket)).otherwise(F.max("h1").over(bucket))
-    pairs = keys.select(leader.alias("a1"), F.col("h1").alias("b1")).where("a1 <> b1")
-    pairs = pairs.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
-    pairs = common.materialize(pairs, "line-pairs")
+def signatures(lines: DataFrame, size: int, bands: int) -> DataFrame:
+    """Of each line once: h1, its band keys, and the last bytes of its minima, eight to a number."""
+    once = lines.where(F.char_length("line") >= size).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    pieces = once.select("h1", "h2", F.explode(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))).alias("piece"))
+    # A hash turned by a quarter has other bits in front: four orders that do not depend on each other.
+    n = ROWS * bands
+    pieces = pieces.select("h1", "h2", *(F.xxhash64(F.lit(k), "piece").alias(f"x{k}") for k in range(-(-n // 4))))
+    turned = lambda x, by: F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else F.col(x)
+    minima = pieces.groupBy("h1", "h2").agg(*(F.min(turned(f"x{k // 4}", k % 4 * 16)).alias(f"m{k}") for k in range(n)))
+    # A band takes its minima from different hashes.
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"m{b + bands * r}" for r in range(ROWS))) for b in range(bands)))
+    packed = []
+    for start in range(0, n, 8):
+        word = F.lit(0).cast("long")
+        for k in range(start, min(n, start + 8)):
+            word = word.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255).cast("long")), 8 * (k - start)))
+        packed.append(word.alias(f"s{start // 8}"))
+    return minima.select("h1", keys.alias("keys"), *packed)
+
+
+def _may_link(similarity: float, bands: int) -> Column:
+    """Whether minima a_s0, a_s1, ... and b_s0, b_s1, ... agree as often as those of linked lines do."""
+    n = ROWS * bands
+    apart = F.lit(0)
+    for j in range(-(-n // 8)):
+        x = F.col(f"a_s{j}").bitwiseXOR(F.col(f"b_s{j}"))
+        for by in (4, 2, 1):  # a byte's first bit becomes 1 if any of its bits is
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return apart <= n * (1 - similarity) + DOUBT * (n * similarity * (1 - similarity)) ** 0.5
+
+
+def _verify(lines: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a1, b1) that link, as (a1, a2) - (b1, b2)."""
     ids = common.materialize(pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
     texts = lines.select("h1", "h2", "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
@@ -87,13 +89,27 @@ def links(lines: DataFrame, size: int, similarity: float, bands: int) -> DataFra
     sets = F.array(F.struct(shingles("a_line", size).alias("x"), shingles("b_line", size).alias("y")))
     counts = F.transform(sets, lambda p: F.struct((F.size(p["x"]) + F.size(p["y"])).alias("all"), F.size(F.array_intersect(p["x"], p["y"])).alias("both")))
     near = F.exists(counts, lambda c: c["both"] >= similarity * (c["all"] - c["both"]))
-    return both.where(near).select("a1", "a2", "b1", "b2")
+    return common.materialize(both.where(near).select("a1", "a2", "b1", "b2"), "line-links")
+
+
+def links(lines: DataFrame, size: int, similarity: float, bands: int) -> DataFrame:
+    """Verified pairs (a1, a2) - (b1, b2) of different lines; ``lines`` as :func:`hashed` gives them."""
+    signs = common.materialize(signatures(lines, size, bands), "line-signs")
+    words = [c for c in signs.columns if c.startswith("s")]
+    keys = signs.select("h1", F.explode("keys").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("h1").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = common.materialize(keys.join(buckets, "key"), "line-buckets")
+    side = lambda a: signs.select(F.col("h1").alias(f"{a}1"), *(F.col(w).alias(f"{a}_{w}") for w in words))
+    pairs = members.where("h1 <> leader").select(F.col("leader").alias("a1"), F.col("h1").alias("b1")).distinct()
+    pairs = pairs.join(side("a"), "a1").join(side("b"), "b1").where(_may_link(similarity, bands)).select("a1", "b1")
+    first = _verify(lines, common.materialize(pairs, "line-pairs"), size, similarity)
+    return first
 
 
 def components(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every non-empty line with its class and whether it stays: doc, copy, line_no, h1, h2, class, kept."""
     lines = split_lines(docs, key, text)
-    found = common.materialize(links(hashed(lines), size, similarity, bands), "line-links")
+    found = links(hashed(lines), size, similarity, bands)
     # Vertices by a 64-bit number: those with links are numbered apart, so that two lines never share one.
     ends = found.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("v")).unionAll(found.select(F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("v"))).distinct()
     ids = common.materialize(ends.select("v.h1", "v.h2", F.monotonically_increasing_id().alias("id")), "line-ids")

@@ -208,6 +208,35 @@ def test_fuzzy_lines(spark, docs, empty):
     assert lines.components(empty).count() == 0
 
 
+def line_links(table):
+    """Lines in order, and by brute force the pairs that link."""
+    rows = [(r["doc_id"], r["text"]) for r in table.orderBy("doc_id").collect()]
+    sets = [{t[k : k + lines.SHINGLE] for k in range(len(t) - lines.SHINGLE + 1)} for _, t in rows]
+    return rows, {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= lines.SIMILARITY * len(sets[i] | sets[j])}
+
+
+def firsts(rows, linked):
+    up = list(range(len(rows)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i, j in sorted(linked):
+        a, b = sorted((find(i), find(j)))
+        up[b] = a
+    return {rows[k][0]: rows[find(k)][0] for k in range(len(rows))}
+
+
+def test_fuzzy_lines_without_spaces_and_with_early_edits(spark):
+    rng = np.random.default_rng(5)
+    kinds = ["".join(map(chr, range(0x4E00, 0x4E00 + 900))), "abcdefghijklmnopqrstuvwxyz0123456789/=&", "abcdefgh\t,;(){}"]
+    rows = []
+    for k in range(60):
+        t = "".join(rng.choice(list(kinds[k % 3]), 90))
+        rows += [t, "#" + t[1:], t[:2] + "#" + t[3:]]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want, linked = line_links(table)
+    assert len(linked) >= 180
+    assert {r["doc"]: r["class_doc"] for r in lines.components(table).collect()} == firsts(want, linked)
+
+
 def test_token_files(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
