@@ -2,7 +2,9 @@
 
 A line is what stands between newlines, trimmed; empty lines are kept as they are.  Equal lines are one vertex.  A
 line's signature takes minima over hashes of all its character shingles; bands of four minima make the keys on which
-lines meet.  The line with the smallest hash leads a bucket, and pairs (leader, line) are candidates.  Pairs whose minima agree often enough are verified by the exact Jaccard similarity of all
+lines meet.  The line with the smallest hash leads a bucket, and pairs (leader, line) come first.  What they leave
+open is settled next: lines that share a bucket, but no component of the links so far, are compared by their packed
+minima, in blocks.  Pairs whose minima agree often enough are verified by the exact Jaccard similarity of all
 character shingles.  Union-find over the links is distributed.
 Of each component the first occurrence stays: smallest document id, then smallest line number.
 
@@ -25,6 +27,8 @@ from lattica.llm import common
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 4
 #: By so many standard deviations may a pair's minima agree less often than those of linked lines do in the mean.
 DOUBT = 5.2
+#: Lines of a block of a bucket: pairs of blocks are compared apart.
+BLOCK = 512
 #: Lines whose texts a filter may broadcast the hashes of; beyond, it shuffles.
 BROADCAST_LINES = 1 << 21
 
@@ -103,7 +107,24 @@ def links(lines: DataFrame, size: int, similarity: float, bands: int) -> DataFra
     pairs = members.where("h1 <> leader").select(F.col("leader").alias("a1"), F.col("h1").alias("b1")).distinct()
     pairs = pairs.join(side("a"), "a1").join(side("b"), "b1").where(_may_link(similarity, bands)).select("a1", "b1")
     first = _verify(lines, common.materialize(pairs, "line-pairs"), size, similarity)
-    return first
+    return first.unionAll(_verify(lines, _unsettled(members, signs, first, similarity, bands), size, similarity))
+
+
+def _unsettled(members: DataFrame, signs: DataFrame, found: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """Pairs (a1, b1) that may link and share a bucket that is not led by one of them, but no component of the links."""
+    words = [c for c in signs.columns if c.startswith("s")]
+    joined = common.connected_components(found, "a1", "b1").select(F.col("v").alias("h1"), "component")
+    rows = members.where("n > 2").join(joined, "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    rows = common.materialize(rows, "line-members")
+    # Only what the leader did not join is compared, with each other and with what it did.
+    open_ = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rows = rows.join(open_, "key").where("h1 <> leader").join(signs.select("h1", *words), "h1")
+    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
+    rows = common.materialize(rows.withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("last") + 1).cast("int")).drop("leader", "n", "keys"), "line-open")
+    side = lambda a, own, other, to: rows.select("key", F.col("block").alias(own), F.explode(to).alias(other), F.col("h1").alias(f"{a}1"), F.col("component").alias(f"{a}_of"), *(F.col(w).alias(f"{a}_{w}") for w in words))
+    left, right = side("a", "i", "j", F.sequence("block", "last")), side("b", "j", "i", F.sequence(F.lit(0), "block"))
+    both = left.join(right, ["key", "i", "j"]).where((F.col("a_of") != F.col("b_of")) & ((F.col("i") < F.col("j")) | (F.col("a1") < F.col("b1"))) & _may_link(similarity, bands))
+    return common.materialize(both.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "line-pairs")
 
 
 def components(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -237,6 +237,21 @@ def test_fuzzy_lines_without_spaces_and_with_early_edits(spark):
     assert {r["doc"]: r["class_doc"] for r in lines.components(table).collect()} == firsts(want, linked)
 
 
+def test_fuzzy_lines_in_large_buckets(spark):
+    rng = np.random.default_rng(6)
+    letters, rows = list("abcdefghijklmnopqrstuvwxyz "), []
+    base = "".join(rng.choice(letters, 240))
+    for _ in range(300):  # about 0.7 to each other; every line has one near copy
+        t = base + "".join(rng.choice(letters, 50))
+        rows += [t, t[:270] + "".join(rng.choice(letters, 8)) + t[278:]]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    want, linked = line_links(table)
+    first = firsts(want, linked)
+    assert sum(k != v for k, v in first.items()) == 300
+    got = {r["doc"]: r["class_doc"] for r in lines.components(table).collect()}
+    assert got == first
+
+
 def test_token_files(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
