@@ -152,7 +152,8 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
                 counts[label > 0].update({t for w in plain for t in tokens(w)})
         names = [t for t in counts[1]]
         yield pa.RecordBatch.from_pydict({"token": pa.array(names, pa.string()), "bad": pa.array([counts[1][t] for t in names], pa.int64()), "good": pa.array([counts[0][t] for t in names], pa.int64())})
-        rest = [t for t in counts[0] if t not in counts[1] and counts[0][t] > 1]
+        # Even a count of one: other tasks may have the token in toxic rows.
+        rest = [t for t in counts[0] if t not in counts[1]]
         yield pa.RecordBatch.from_pydict({"token": pa.array(rest, pa.string()), "bad": pa.array([0] * len(rest), pa.int64()), "good": pa.array([counts[0][t] for t in rest], pa.int64())})
 
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}

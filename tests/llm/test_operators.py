@@ -147,6 +147,14 @@ def test_toxicity_learns_and_handles_odd_rows(spark, docs, sf_dir):
     assert model.score(table.limit(0)).count() == 0
 
 
+def test_toxicity_lexicon_does_not_depend_on_partitions(spark):
+    rows = [(f"idiot filler{k} {'table' if k % 4 == 0 else 'chair'}", 1.0) for k in range(80)] + [(f"nice filler{k} {'table' if k % 4 == 0 else 'chair'}", 0.0) for k in range(80, 400)]
+    table = spark.createDataFrame(rows, "text string, label double")
+    one = toxicity.learn_lexicon(table.coalesce(1))
+    assert "idiot" in "".join(one) and not any("table" in t for t in one)
+    assert toxicity.learn_lexicon(spark.createDataFrame(spark.sparkContext.parallelize(rows, 200), table.schema)) == one
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     table, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
