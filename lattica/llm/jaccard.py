@@ -15,7 +15,7 @@ two parts: linked sets share one for certain.
 3.  What a leader can't settle is settled in blocks: documents that candidate pairs connect but links do not are
     compared by their sketches, in order of size, and pairs that may link are verified too.
 
-Documents with equal sets are joined first and stand for one in steps 2 and 3.
+Documents with equal sets are joined first and stand for one in steps 2 and 3; an id with several sets stays itself.
 
 Defined results: a set is empty without words or text, and links with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; rows that repeat a document id are one vertex and keep a row each; rows
@@ -311,11 +311,14 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key:
     whole = sets.where("n > 0 AND doc IS NOT NULL")
     groups = whole.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = common.materialize(whole.join(groups, ["n", "h1", "h2"]).where("doc <> rep").select("doc", "rep").distinct(), "copies")
+    # A document id of several sets is linked with each one's copies, but stays in pairs for the sets of its own.
+    several = whole.join(copies.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "h1", "h2").distinct().groupBy("doc").count().where("count > 1")
+    stood_for = common.materialize(copies.join(several, "doc", "left_anti"), "stood-for")
     pairs = found.where("kind = 1").select("a", "b").distinct()
     for c in ("a", "b"):
-        pairs = pairs.join(copies.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+        pairs = pairs.join(stood_for.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     pairs = common.materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    once = whole.join(copies.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if copies.limit(1).count() else whole.select("doc", "n", "sketch")
+    once = whole.join(stood_for.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if stood_for.limit(1).count() else whole.select("doc", "n", "sketch")
     side = lambda c, n, s: once.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     likely = common.materialize(_may_link(pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b"), percent).distinct(), "likely")
     links = _verify(rows, likely, words, percent)

@@ -77,6 +77,19 @@ def test_jaccard_join(spark, docs, words, percent):
     assert {(r["doc_id"], r["n_shingles"]) for r in got} == {(i, len(s)) for i, x in sets.items() for s in x}
 
 
+def test_jaccard_repeated_id_of_which_one_text_is_a_copy(spark):
+    words = [[f"{c}{k}" for k in range(60)] for c in "abc"]
+    a, b, c = (" ".join(w) for w in words)
+    near_b, near_c = (" ".join([*w[:-1], "other"]) for w in words[1:])
+    # 7 repeats 3 and is near 9; 12 repeats 5, and is the first with the text of 14, near 15.
+    rows = [(3, a), (7, a), (7, b), (9, near_b), (5, "five of these words"), (12, "five of these words"), (12, c), (14, c), (15, near_c)]
+    for n in (1, 5):
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        want, _ = components_of(texts(table), 4, 85)
+        assert want[9] == 3 and want[15] == 5
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.components(table, 4, 85).collect()} == want
+
+
 def test_jaccard_empty(empty):
     assert jaccard.components(empty).count() == 0
 
