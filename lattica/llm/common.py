@@ -32,8 +32,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
         root = _local[app]
-    if "://" not in root:
-        root = f"file://{root}" if root.startswith("/") else root
+    if "://" not in root:  # a path without a scheme means the default file system, as everywhere in Spark
+        root = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()).resolve("/").toString().rstrip("/") + root if root.startswith("/") else root
+        root = "file://" + root.removeprefix("file:") if root.startswith("file:/") and not root.startswith("file://") else root
     return f"{root.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,7 +44,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later step reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t.scratch_path)
 
 
 def drop_path(spark: SparkSession, uri: str) -> None:
