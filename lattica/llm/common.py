@@ -101,6 +101,14 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in values.to_pylist()]
 
 
+def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value that occurs, and where: work in proportion to the values, not to their range."""
+    order = np.argsort(values, kind="stable")
+    firsts = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])) if len(values) else []
+    for rows in np.split(order, firsts[1:]) if len(values) else []:
+        yield int(values[rows[0]]), rows
+
+
 class Cuts:
     """Where an integer key is cut into ascending shards: equal bins from ``low`` on, and the first bin of each further shard."""
 

@@ -12,8 +12,8 @@ two parts: linked sets share one for certain.
 2.  Pairs that may link by their parity sketches are verified on their whole sets, and components are taken over
     the links.  The sketches of two sets differ in no more bits than the sets in features, so a pair is left out
     only if it can't link.
-3.  What a leader can't settle is settled in blocks: documents that candidate pairs connect but links do not are
-    compared by their sketches, in order of size, and pairs that may link are verified too.
+3.  What a leader can't settle is settled in blocks: documents around one leader that links do not join are compared by
+    their sketches, in bands of size, and pairs that may link are verified too.
 
 Documents with equal sets are joined first and stand for one in steps 2 and 3; an id with several sets stays itself.
 
@@ -25,21 +25,21 @@ with a null id link with nothing; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import common
 
 WORDS, PERCENT = 4, 85
-#: Bytes of text for each bucket of signatures; documents in a block of step 3; pairs of a hub in one task;
-#: ids that a filter may broadcast (beyond, it shuffles).
-BUCKET_BYTES, BLOCK, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 1024, 1024, 1 << 20
+#: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
+#: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles).
+BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
 PARTS = 3
 U = np.uint64
 
@@ -158,13 +158,8 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     owners.append(np.full(len(signs[-1]), doc, np.int64))
             if signs:
                 once, leaders, pairs = pairs_of(np.concatenate(signs), np.concatenate(owners))
-                place = (once >> U(20)) % U(buckets)
-                order = np.argsort(place, kind="stable")
-                edges = np.searchsorted(place[order], np.arange(buckets + 1, dtype=U))
-                for b in range(buckets):
-                    some = order[edges[b] : edges[b + 1]]
-                    if len(some):
-                        rows.append({"kind": 1, "bucket": b, "n": len(some), "blob": once[some].tobytes() + leaders[some].astype(np.int64).tobytes()})
+                for b, some in common.by_value(((once >> U(20)) % U(buckets)).astype(np.int64)):
+                    rows.append({"kind": 1, "bucket": b, "n": len(some), "blob": once[some].tobytes() + leaders[some].astype(np.int64).tobytes()})
                 if len(pairs):
                     rows.append({"kind": 2, "bucket": int(pairs[0, 0]) % buckets, "n": len(pairs), "blob": pairs.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=PACKED_ARROW)
@@ -198,7 +193,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
-def _may_link(a: DataFrame, percent: int) -> DataFrame:
+def may_link(a: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (a, b, na, nb, x, y) that their sketches x and y don't rule out."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +213,8 @@ def _may_link(a: DataFrame, percent: int) -> DataFrame:
     return a.mapInArrow(check, "a long, b long")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the written ``pairs`` (a, b: a is the hub) whose whole sets link."""
+def verify(docs: DataFrame, pairs: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
+    """Those of the written ``pairs`` (a, b: a is the hub) whose whole sets link; ``sets_of`` gives texts' sets."""
     # A hub with many partners is copied to several tasks, each with some of them.
     loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("copies"))
     hubs = loads.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("a").alias("doc"), F.lit(0).alias("kind"))
@@ -232,7 +227,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
         held, mains = None, []
         for batch in common.text_slices(batches, "text"):
             out = []
-            sets = shingle_sets(common.text_bytes(batch, "text"), words)
+            sets = sets_of(common.text_bytes(batch, "text"))
             for hub, copy, doc, kind, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "copy", "doc", "kind")), sets, strict=True):
                 if (hub, copy) != held:
                     held, mains = (hub, copy), []
@@ -250,56 +245,110 @@ def _verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return common.materialize(rows.select("hub", "copy", "doc", "kind", "text").mapInArrow(check, "a long, b long"), "links")
 
 
-def _unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link though no leader joined them: from the blocks of each connected group of candidates."""
-    spark = pairs.sparkSession
-    groups = common.connected_components(pairs).withColumnRenamed("v", "doc").withColumnRenamed("component", "cluster")
-    docs = sets.select("doc", "n", "sketch").join(groups, "doc")
-    docs = docs.join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    docs = common.materialize(docs, "clusters")
-    # Two documents, or a group that links join already, leave nothing to settle.
-    open_ = docs.groupBy("cluster").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 AND low < high").select("cluster")
-    rows = docs.join(open_, "cluster")
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "doc")) - 1
-    blocks = rows.withColumn("block", F.floor(place / BLOCK)).groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("doc", "n", "component", "sketch")).alias("rows"))
-    blocks = common.materialize(blocks, "blocks")
-    left = blocks.select("cluster", F.col("block").alias("i"), F.col("high").alias("top"), F.col("rows").alias("x"))
-    right = blocks.select("cluster", F.col("block").alias("j"), F.col("low").alias("bottom"), F.col("rows").alias("y"))
-    both = left.join(right, "cluster").where((F.col("i") <= F.col("j")) & (F.col("bottom") * percent <= F.col("top") * 100)).select("x", "y").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+BLOCKS = "cluster long, band int, block int, owner long, blob binary"
+BLOCKS_ARROW = pa.schema([("cluster", pa.int64()), ("band", pa.int32()), ("block", pa.int32()), ("owner", pa.int64()), ("blob", pa.binary())])
+
+
+def _around_leaders(pairs: DataFrame) -> DataFrame:
+    """(cluster, doc): for each leader itself, the documents it leads, and those that these lead in turn.
+
+    A slice's leader of a signature leads the slice's documents, and the smallest of the slices' leaders leads these: so
+    any two documents that share a signature are in the cluster of its leader.
+    """
+    near = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("doc"))
+    further = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), F.col("b").alias("doc")), "m").select("cluster", "doc")
+    own = pairs.select(F.col("a").alias("cluster"), F.col("a").alias("doc"))
+    return near.unionAll(further).unionAll(own).distinct()
+
+
+def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link though no leader joined them: from the documents around each leader of ``pairs``.
+
+    Documents of a cluster are dealt to blocks by size band and component.  Blocks of the same and of neighbouring bands
+    meet, one pair of blocks to a row; a block holds ``BLOCK_BYTES`` of sketches at most, whatever the cluster's size.
+    """
+    docs = sets.select("doc", "n", "sketch").join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    docs = common.materialize(docs, "sketches")
+    rows = _around_leaders(pairs).join(docs.select("doc", "n", "component", F.octet_length("sketch").cast("long").alias("w")), "doc")
+    rows = common.materialize(rows, "clusters")
+    # Two documents, or a cluster that links join already, leave nothing to settle.
+    open_ = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 AND low < high").select("cluster")
+    edges = F.array(*(F.lit(x) for x in bands(percent)))
+    rows = rows.join(open_, "cluster").withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))))
+    # A component that fills blocks of its own needs no comparison inside; the others are dealt together.
+    load = rows.groupBy("cluster", "band", "component").agg(F.sum(F.col("w") + 24).alias("load"))
+    load = load.withColumn("owner", F.when(F.col("load") > BLOCK_BYTES, F.col("component")))
+    per = load.groupBy("cluster", "band", "owner").agg(F.ceil(F.sum("load") / BLOCK_BYTES).cast("int").alias("blocks"))
+    load = load.join(per.withColumnRenamed("owner", "of"), ["cluster", "band"]).where(F.col("owner").eqNullSafe(F.col("of"))).select("cluster", "band", "component", "owner", "blocks")
+    placed = rows.join(load, ["cluster", "band", "component"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    placed = placed.select("cluster", "band", "block", "owner", "doc", "component").join(docs.select("doc", "n", "sketch"), "doc")
+    placed = placed.repartition("cluster", "band", "owner", "block").sortWithinPartitions("cluster", "band", "owner", "block")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block as one blob: number, then ids, sizes, components, widths, and the sketches."""
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            doc, n, component, sketch = zip(*held, strict=True)
+            numbers = np.array([doc, n, component, [len(x) for x in sketch]], np.int64)
+            return pa.RecordBatch.from_pylist([dict(zip(("cluster", "band", "owner", "block"), key, strict=True), blob=np.int64(len(doc)).tobytes() + numbers.tobytes() + b"".join(sketch))], schema=BLOCKS_ARROW)
+
+        for batch in batches:
+            for *now, doc, n, component, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key and held:
+                    yield close()
+                    held = []
+                key = now
+                held.append((doc, n, component, sketch))
+        if held:
+            yield close()
+
+    blocks = common.materialize(placed.select("cluster", "band", "owner", "block", "doc", "n", "component", "sketch").mapInArrow(pack, BLOCKS), "blocks")
+    number = blocks.withColumn("at", F.struct(F.coalesce("owner", F.lit(-1)).alias("owner"), F.col("block").alias("block")))
+    left = number.select("cluster", F.explode(F.array("band", F.col("band") + 1)).alias("to"), F.col("band").alias("i"), F.col("at").alias("x_at"), F.col("owner").alias("x_owner"), F.col("blob").alias("x"))
+    right = number.select("cluster", F.col("band").alias("to"), F.col("at").alias("y_at"), F.col("owner").alias("y_owner"), F.col("blob").alias("y"))
+    both = left.join(right, ["cluster", "to"]).where(((F.col("i") < F.col("to")) | (F.col("x_at") <= F.col("y_at"))) & ~F.coalesce(F.col("x_owner") == F.col("y_owner"), F.lit(False)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                found = []
-                x, y = (_by_width(batch.column(c)[at]) for c in ("x", "y"))
-                for wx, (dx, nx, cx, sx) in x.items():
-                    for wy, (dy, ny, cy, sy) in y.items():
-                        u, v = (fold(z, min(wx, wy)).view(np.uint64) for z in (sx, sy))
-                        for k in range(0, len(u), 32):  # some rows at a time: the differences take len(v) sketches each
-                            some = slice(k, k + 32)
-                            bits = np.bitwise_count(u[some, None, :] ^ v[None, :, :]).sum(axis=2, dtype=np.int64)
-                            near = bits <= (nx[some, None] + ny[None, :]) * (100 - percent) // (100 + percent)
-                            near &= (cx[some, None] != cy[None, :]) & (dx[some, None] != dy[None, :])
-                            near &= 100 * np.minimum(nx[some, None], ny[None, :]) >= percent * np.maximum(nx[some, None], ny[None, :])
-                            i, j = np.nonzero(near)
-                            found.append(np.stack((np.minimum(dx[i + k], dy[j]), np.maximum(dx[i + k], dy[j])), axis=1))
-                pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                pairs = _near(*(_by_width(batch.column(c)[at].as_buffer()) for c in ("x", "y")), percent)
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return common.materialize(both.mapInArrow(compare, "a long, b long").distinct(), "unsettled")
+    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(compare, "a long, b long")
+    return common.materialize(found.distinct(), "unsettled")
+
+
+def _near(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Pairs of documents of two blocks, of different components, that sizes and sketches don't rule out."""
+    found = [np.zeros((0, 2), np.int64)]
+    for wx, (dx, nx, cx, sx) in x.items():
+        for wy, (dy, ny, cy, sy) in y.items():
+            width = min(wx, wy)
+            u, v = (fold(z, width).view(np.uint64) for z in (sx, sy))
+            rows = max(1, STEP_BYTES // (len(v) * width))
+            for k in range(0, len(u), rows):  # the differences of a step take STEP_BYTES, or one row's
+                some = slice(k, k + rows)
+                both, least = nx[some, None] + ny[None, :], np.minimum(nx[some, None], ny[None, :])
+                near = (cx[some, None] != cy[None, :]) & (dx[some, None] != dy[None, :]) & (100 * least >= percent * (both - least))
+                if not near.any():
+                    continue
+                bits = np.bitwise_count(u[some, None, :] ^ v[None, :, :]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(near & (bits <= both * (100 - percent) // (100 + percent)))
+                found.append(np.stack((np.minimum(dx[i + k], dy[j]), np.maximum(dx[i + k], dy[j])), axis=1))
+    return np.unique(np.concatenate(found), axis=0)
 
 
-def _by_width(rows: pa.Scalar) -> dict[int, tuple[np.ndarray, ...]]:
+def _by_width(blob: pa.Buffer) -> dict[int, tuple[np.ndarray, ...]]:
     """A block's ids, sizes, components and sketches, by the sketches' width in bytes."""
-    items = rows.values
-    sketches = items.field("sketch").to_pylist()
-    widths = np.array([len(s) for s in sketches])
-    numbers = [items.field(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "component")]
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    docs, sizes, components, widths = np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, n)
+    data, ends = np.frombuffer(blob, np.uint8, -1, 8 + 32 * n), np.cumsum(widths)
     out = {}
     for w in np.unique(widths).tolist():
-        rows_of = np.flatnonzero(widths == w)
-        out[w] = (*(x[rows_of] for x in numbers), np.frombuffer(b"".join(sketches[r] for r in rows_of), np.uint8).reshape(-1, w))
+        rows = np.flatnonzero(widths == w)
+        out[w] = (docs[rows], sizes[rows], components[rows], data[(ends[rows] - w)[:, None] + np.arange(w)])
     return out
 
 
@@ -317,15 +366,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key:
     pairs = found.where("kind = 1").select("a", "b").distinct()
     for c in ("a", "b"):
         pairs = pairs.join(stood_for.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    pairs = common.materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    led = common.materialize(pairs.where("a <> b").select("a", "b").distinct(), "pairs")
+    pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     once = whole.join(stood_for.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if stood_for.limit(1).count() else whole.select("doc", "n", "sketch")
     side = lambda c, n, s: once.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
-    likely = common.materialize(_may_link(pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b"), percent).distinct(), "likely")
-    links = _verify(rows, likely, words, percent)
-    more = _unsettled(pairs, once, common.connected_components(links), percent).join(likely, ["a", "b"], "left_anti")
+    sets_of = partial(shingle_sets, words=words)
+    likely = common.materialize(may_link(pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b"), percent).distinct(), "likely")
+    links = verify(rows, likely, sets_of, percent)
+    more = unsettled(led, once, common.connected_components(links), percent).join(likely, ["a", "b"], "left_anti")
     more = common.materialize(more, "more")
     if more.limit(1).count():
-        links = links.unionAll(_verify(rows, more, words, percent))
+        links = links.unionAll(verify(rows, more, sets_of, percent))
     links = links.unionAll(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     joined = common.connected_components(links).withColumnRenamed("v", "doc")
     out = sets.join(joined, "doc", "left")

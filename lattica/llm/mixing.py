@@ -2,9 +2,8 @@
 
 Token counts are summed over cells of source, language and topic.  A factor for each value of each of the three
 is fitted in turn until the cells' tokens, times their factors, have the target marginals.  A document's
-probability is its cell's weight over the largest weight of any cell, and a hash of its id decides, so the same
-table always gives the same sample.  Factors are tables of their own; nothing but a few totals reaches the
-driver.
+probability is its cell's weight times a common scale, 1 at most, and a hash of its id decides, so the same table
+always gives the same sample.  Cells and weights are tables; nothing but a few totals reaches the driver.
 
 Without explicit targets a marginal's shares are its token shares to the power ``temper``: large sources, languages
 and topics give way to small ones.
@@ -29,8 +28,8 @@ DIMENSIONS = ("source", "lang", "topic")
 UNIT = 1 << 53
 
 
-def topic_of(text: str = "text") -> Column:
-    """A coarse content class, for tables that have no topics of their own."""
+def form_of(text: str = "text") -> Column:
+    """The form of a text (prose, table, figures and so on): what stands in for a topic in tables that have none."""
     t = F.coalesce(F.col(text), F.lit(""))
     size = F.greatest(F.length(t), F.lit(1))
     rate = lambda letters: 1 - F.length(F.translate(t, letters, "")) / size
@@ -55,43 +54,33 @@ def _value(column: Column) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
     """Weights of ``cells`` (one column per dimension, and ``tokens``) that bring them to ``targets``.
 
-    ``targets``: for each dimension a table (value, share).  Gives ``cells`` with a column ``weight``.
+    ``targets``: for each dimension a table (value, share).  Gives ``cells`` with a column ``weight``.  A sweep fits the
+    dimensions in turn in one plan over the cells, and ends after it moved no weight by more than ``tolerance``.
     """
-    cells = common.materialize(cells, "cells")
     dims = list(targets)
     full = cells.where("tokens > 0")
-    goals = {}
-    for d in dims:
-        there = full.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"))
-        some = there.join(targets[d], "value", "left").select("value", F.coalesce("share", F.lit(0.0)).alias("share"))
-        whole = some.agg(F.sum("share").alias("all"))
-        goals[d] = common.materialize(some.crossJoin(F.broadcast(whole)).select("value", (F.col("share") / F.col("all")).alias("share")), "goal")  # one row each with the total
-    factors = {d: goals[d].select("value", F.lit(1.0).alias("factor")) for d in dims}
     total = full.agg(F.sum("tokens")).first()[0]
-    for _ in range(sweeps if total else 0):
-        change = 0.0
+    if not total:
+        return cells.withColumn("weight", F.lit(1.0))
+    now = full.withColumn("weight", F.lit(1.0))
+    for d in dims:
+        there = full.select(F.col(d).alias("value")).distinct().join(targets[d], "value", "left").select("value", F.coalesce("share", F.lit(0.0)).cast("double").alias("share"))
+        whole = there.agg(F.sum("share").alias("all"))
+        goal = there.crossJoin(F.broadcast(whole)).select(F.col("value").alias(d), F.when(F.col("all") > 0, F.col("share") / F.col("all") * float(total)).otherwise(0.0).alias(f"_goal_{d}"))  # one row with the total
+        now = now.join(goal, d)
+    now = common.materialize(now, "raked")
+    for _ in range(sweeps):
+        new = now.withColumn("_old", F.col("weight"))
         for d in dims:
-            rows = full
-            for other in dims:
-                if other != d:
-                    rows = rows.join(factors[other].select(F.col("value").alias(other), F.col("factor").alias(f"_{other}")), other)
-            product = F.col("tokens") / F.lit(float(total))
-            for other in dims:
-                if other != d:
-                    product = product * F.col(f"_{other}")
-            sums = rows.groupBy(F.col(d).alias("value")).agg(F.sum(product).alias("now"))
-            new = goals[d].join(sums, "value").select("value", F.when(F.col("now") > 0, F.col("share") / F.col("now")).otherwise(0.0).alias("factor"))
-            new = common.materialize(new, "factors")
-            moved = new.join(factors[d].withColumnRenamed("factor", "old"), "value").agg(F.max(F.abs(F.col("factor") - F.col("old")) / F.greatest(F.col("old"), F.lit(1e-300)))).first()[0]
-            change = max(change, moved or 0.0)
-            factors[d] = new
-        if change < tolerance:
+            sums = new.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("_now"))
+            fitted = F.when(F.col("_now") > 0, F.col("weight") * F.col(f"_goal_{d}") / F.col("_now")).otherwise(0.0)
+            new = new.join(sums, d).withColumn("weight", fitted).drop("_now")
+        new = common.materialize(new, "raked")
+        moved = new.agg(F.max(F.abs(F.col("weight") - F.col("_old")) / F.greatest(F.col("_old"), F.lit(1e-300)))).first()[0]
+        now = new.drop("_old")
+        if moved < tolerance:
             break
-    out, weight = cells, F.lit(1.0)
-    for d in dims:
-        out = out.join(factors[d].select(F.col("value").alias(d), F.col("factor").alias(f"_{d}")), d, "left")
-        weight = weight * F.coalesce(f"_{d}", F.lit(1.0))
-    return out.select(*cells.columns, weight.alias("weight"))
+    return cells.join(now.select(*dims, "weight"), dims, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def tempered(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
@@ -116,10 +105,24 @@ def scale_for(weights: DataFrame, keep: float) -> float:
         scale = max(scale, (keep * total - (whole or 0)) / rest)
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, keep: float = KEEP, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, seed: int = 0) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with four more columns, and their names by what they hold: tokens, weight, probability, kept."""
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, keep: float = KEEP, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, seed: int = 0, carry: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with four more columns, and their names by what they hold: tokens, weight, probability, kept.
+
+    Texts are evaluated once: rows with their cells and tokens are written, with those columns of ``docs`` that ``carry``
+    names (all by default).
+    """
     names = {n: f"_{n}_{uuid.uuid4().hex}" for n in (*DIMENSIONS, "tokens", "weight", "probability", "kept")}
-    made = docs.withColumns({names["source"]: _value(F.col(source)), names["lang"]: _value(F.col(lang)), names["topic"]: _value(topic_of(text) if topic is None else topic), names["tokens"]: token_count(text)})
+    carried = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(UNIT)) / F.lit(float(UNIT))
+    made = docs.select(
+        *carried,
+        _value(F.col(source)).alias(names["source"]),
+        _value(F.col(lang)).alias(names["lang"]),
+        _value(form_of(text) if topic is None else topic).alias(names["topic"]),
+        token_count(text).alias(names["tokens"]),
+        draw.alias(names["kept"]),
+    )
+    made = common.materialize(made, "mixed")
     cells = made.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = common.materialize(cells, "cells")
     weights = common.materialize(rake(cells, targets or {d: tempered(cells, d, temper) for d in DIMENSIONS}), "weights")
@@ -127,8 +130,7 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
     table = weights.select(*(F.col(d).alias(names[d]) for d in DIMENSIONS), F.col("weight").alias(names["weight"]))
     out = made.join(table, [names[d] for d in DIMENSIONS])
     chance = F.least(F.lit(1.0), F.col(names["weight"]) * F.lit(scale))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(UNIT)) / F.lit(float(UNIT))
-    out = out.withColumn(names["probability"], chance).withColumn(names["kept"], draw < chance)
+    out = out.withColumn(names["probability"], chance).withColumn(names["kept"], F.col(names["kept"]) < chance)
     return out.drop(*(names[d] for d in DIMENSIONS)), names
 
 
@@ -141,5 +143,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and draw of every document, raked to tempered marginals."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out, names = mixed(docs)
+    out, names = mixed(docs, carry=["doc_id"])
     return out.select("doc_id", F.col(names["tokens"]).alias("n_tokens"), F.col(names["weight"]).alias("weight"), F.col(names["probability"]).alias("probability"), F.col(names["kept"]).alias("kept"))

@@ -117,9 +117,10 @@ class Tokens:
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if t[0] <= 32 or t[-1] <= 32 or any(x in t for x in self.ODD):
+            led = b"\n" + t  # the first piece counts as one after a newline, whose id is dropped below
+            if t[0] <= 32 or t[-1] <= 32 or any(x in led for x in self.ODD):
                 whole.append(k)
-            else:  # the first piece counts as one after a newline, whose id is dropped below
+            else:
                 pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
                 ids = list(map(get, pieces))
                 if None in ids:
