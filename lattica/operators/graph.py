@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators import order
+from lattica.operators.rounds import settle
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -16,11 +19,6 @@ class Graph:
     edges: DataFrame
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the plan between rounds: a reliable checkpoint where the session has a folder for it, else a cache that Spark can rebuild."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def violations(graph: Graph) -> DataFrame:
     """Rows that break each invariant: (invariant, n).
 
@@ -77,12 +75,11 @@ def within_hops(graph: Graph, marked: DataFrame, hops: int) -> DataFrame:
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """Codes of a column's distinct values in order: (value, code); one more code, the number of values, means unknown."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    ranked = values.groupBy().agg(F.array_sort(F.collect_set("value")).alias("all"))  # a vocabulary, not a data column
-    return ranked.select(F.posexplode("all").alias("code", "value")).select("value", "code")
+    return order.numbered(settle(values), ["value"], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def encode(rows: DataFrame, column: str, codes: DataFrame, to: str) -> DataFrame:
     """``rows`` with the code of ``column`` in ``to``; values that ``codes`` lacks get the code above all."""
     above = codes.agg(F.count("*").cast("int").alias("_above"))
-    joined = rows.join(F.broadcast(codes.select(F.col("value").alias(column), F.col("code").alias(to))), column, "left")  # codes are a vocabulary
+    joined = rows.join(codes.select(F.col("value").alias(column), F.col("code").alias(to)), column, "left")
     return joined.crossJoin(F.broadcast(above)).withColumn(to, F.coalesce(to, "_above")).drop("_above")  # one row

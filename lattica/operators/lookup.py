@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.stats import merge
+
 
 def path_stats(rows: DataFrame, path: str, y: str) -> DataFrame:
     """node, n, mean, std of the values below each node of the paths (arrays, root first)."""
@@ -21,20 +23,16 @@ def path_lookup(rows: DataFrame, key: str, path: str, stats: DataFrame, depth: i
 
 
 def prefix_sums(rows: DataFrame, code: str, y: str, separator: str, radius: int) -> DataFrame:
-    """radius, key, s, q, n: sums over the prefixes of 1 to ``radius`` parts; a code of fewer parts counts for those it has."""
+    """radius, key, n, mean, msd over the prefixes of 1 to ``radius`` parts; a code of fewer parts counts for those it has."""
     parts = F.split(code, separator)
     steps = rows.select(parts.alias("p"), F.col(y).cast("double").alias("y")).select(F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(radius)))).alias("radius"), "p", "y")
     steps = steps.select("radius", F.array_join(F.slice("p", F.lit(1), F.col("radius")), separator).alias("key"), "y")
-    return steps.groupBy("radius", "key").agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"), F.count("*").alias("n"))
+    return steps.groupBy("radius", "key").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("msd"))
 
 
 def merge_sums(parts: list[DataFrame]) -> DataFrame:
-    """Key-wise sums; a missing second moment stays missing."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    missing = F.count(F.when(F.col("q").isNull(), 1)) > 0
-    return rows.groupBy("radius", "key").agg(F.sum("s").alias("s"), F.when(~missing, F.sum("q")).alias("q"), F.sum("n").alias("n"))
+    """Statistics by key together; a missing second moment stays missing."""
+    return merge(parts, ("radius", "key"))
 
 
 def prefix_lookup(rows: DataFrame, key: str, code: str, sums: DataFrame, separator: str, radius: int, minimum: int = 1) -> DataFrame:
@@ -42,7 +40,7 @@ def prefix_lookup(rows: DataFrame, key: str, code: str, sums: DataFrame, separat
     parts = F.split(code, separator)
     steps = rows.select(key, parts.alias("p")).select(key, F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(radius)))).alias("radius"), "p")
     steps = steps.select(key, "radius", F.array_join(F.slice("p", F.lit(1), F.col("radius")), separator).alias("prefix"))
-    good = sums.where(F.col("n") >= minimum).select("radius", F.col("key").alias("prefix"), (F.col("s") / F.col("n")).alias("mean"))
+    good = sums.where(F.col("n") >= minimum).select("radius", F.col("key").alias("prefix"), "mean")
     found = rows.select(key).join(steps.join(good, ["radius", "prefix"]), key, "left").groupBy(key).agg(F.max_by("mean", "radius").alias("value"), F.max("radius").alias("radius"))
-    whole = sums.where("radius = 1").agg((F.sum("s") / F.sum("n")).alias("all"))
+    whole = sums.where("radius = 1").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all"))
     return found.crossJoin(F.broadcast(whole)).select(key, F.coalesce("value", "all").alias("value"), F.coalesce("radius", F.lit(0)).alias("radius"))  # one row

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import order
+
 #: Standard normal quantiles of the central 50, 90, 95 and 99 per cent.
 COVERAGE = {50: 0.6744897501960817, 90: 1.6448536269514722, 95: 1.959963984540054, 99: 2.5758293035489004}
 #: What a standard deviation that is missing or not positive counts as.
@@ -54,8 +56,7 @@ def weighted_quantiles(rows: DataFrame, x: str, weight: str, at: list[float]) ->
     Equal values are summed before they are ordered, and only the bracketing rows of each quantile are kept.
     """
     one = rows.groupBy(F.col(x).alias("x")).agg(F.sum(weight).alias("w"))
-    w = Window.orderBy("x")
-    points = one.select("x", ((F.sum("w").over(w) - F.col("w") / 2) / F.sum("w").over(Window.partitionBy())).alias("p"))
+    points = order.running(one, ["x"], "w", "before", "all").select("x", ((F.col("before") + F.col("w") / 2) / F.col("all")).alias("p"))
     asked = rows.sparkSession.createDataFrame([(float(q),) for q in at], "q double")
     near = points.crossJoin(F.broadcast(asked)).groupBy("q").agg(  # the quantiles asked for
         F.max_by(F.struct("x", "p"), F.when(F.col("p") <= F.col("q"), F.col("p"))).alias("lo"),

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.graph import Graph, settle
+from lattica.operators.graph import Graph
+from lattica.operators.rounds import settle
 
 LOW = (1 << 32) - 1
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import order
+
 MULTIPLIER, MODULUS = 2654435761, 1 << 32
 
 
@@ -16,7 +18,13 @@ def hash_order(key: str | Column, seed: int = 0) -> Column:
 
 def graph_folds(graphs: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
     """``key``, fold: whole graphs dealt to folds whose sizes differ by one at most."""
-    return graphs.select(key).distinct().withColumn("fold", F.ntile(folds).over(Window.orderBy(hash_order(key, seed), key)) - 1)
+    once = graphs.select(key).distinct().withColumn("_hash", hash_order(key, seed))
+    placed = order.numbered(once, ["_hash", key], "_place").drop("_hash")
+    n = placed.agg(F.count("*").alias("_n"))
+    # As ntile: the first n mod folds folds have one graph more.
+    small, more, place = F.floor(F.col("_n") / folds), F.col("_n") % folds, F.col("_place")
+    fold = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return placed.crossJoin(F.broadcast(n)).select(key, fold.cast("int").alias("fold"))  # one row
 
 
 def partition(rows: DataFrame, key: str, strata: list[str], parts: int, seed: int = 0) -> DataFrame:
@@ -40,7 +48,7 @@ def capped(rows: DataFrame, group: list[str], key: str, most: int, seed: int = 0
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
-def by_cumulative_size(rows: DataFrame, order: str, size: str, parts: int) -> DataFrame:
+def by_cumulative_size(rows: DataFrame, by: str, size: str, parts: int) -> DataFrame:
     """``rows`` with ``part``: cut where the running size passes a multiple of its total over ``parts``."""
-    before = F.sum(size).over(Window.orderBy(order)) - F.col(size)
-    return rows.withColumn("part", F.least(F.floor(before * parts / F.sum(size).over(Window.partitionBy())), F.lit(parts - 1)))
+    out = order.running(rows, [by], size, "_before", "_total")
+    return out.withColumn("part", F.least(F.floor(F.col("_before") * parts / F.col("_total")), F.lit(parts - 1))).drop("_before", "_total")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.graph import settle
+from lattica.operators import order
+from lattica.operators.rounds import discard, settle
 
 
 def sign_bits(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -13,27 +19,67 @@ def sign_bits(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).alias("key"), F.posexplode(vector).alias("bit", "x")).where("x > 0").select("key", "bit")
 
 
+#: Bits of a block of sets; rows and columns of the matrices that meet at once.
+BLOCK_BITS, STEP_ROWS, STEP_BITS = 1 << 17, 2048, 4096
+
+
 def tanimoto_pairs(bits: DataFrame, cutoff: float) -> DataFrame:
     """Pairs a < b of bit sets (key, bit) at a distance of ``cutoff`` at most: a, b, both, either.
 
-    Sets meet on their rarest bits: near sets share one of their first n - ceil((1 - cutoff) n) + 1 bits in the
-    order of rarity, and their sizes are within a factor of 1 - cutoff.  Sets without bits are near to none.
+    Near sets' sizes are within a factor of 1 - cutoff, so they are in the same size band or in neighbouring ones.
+    Blocks of such bands meet, a row for each pair of blocks, and their common bits are counted by matrix products:
+    no pair is a row before it is known to be near.  Sets without bits are near to none.
     """
     near = 1 - cutoff
-    freq = bits.groupBy("bit").agg(F.count("*").alias("f"))
-    sized = bits.join(freq, "bit")
-    w = Window.partitionBy("key")
-    ranked = sized.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy("f", "bit")))
-    ranked = settle(ranked.select("key", "bit", "n", "r"))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(near) - F.lit(1e-9)) + 1)
-    a = prefix.select(F.col("key").alias("a"), "bit", F.col("n").alias("na"))
-    b = prefix.select(F.col("key").alias("b"), "bit", F.col("n").alias("nb"))
-    candidates = a.join(b, "bit").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * near - 1e-9)).select("a", "b", "na", "nb").distinct()
-    sets = ranked.groupBy("key").agg(F.collect_list("bit").alias("bits"))  # a vector's own bits
-    both = candidates.join(sets.select(F.col("key").alias("a"), F.col("bits").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("bits").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    out = both.select("a", "b", shared.alias("both"), (F.col("na") + F.col("nb") - shared).alias("either"))
-    return out.where(F.col("both") >= F.col("either") * near - 1e-9)
+    sets = bits.groupBy(F.col("key").cast("long").alias("key")).agg(F.collect_set(F.col("bit").cast("long")).alias("bits")).withColumn("n", F.size("bits"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(near)) + 1e-9) if 0 < near < 1 else F.col("n") if near >= 1 else F.lit(0)
+    sets = settle(sets.withColumn("band", band.cast("long")))
+    loads = sets.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_BITS).cast("int").alias("blocks"))  # a row per band
+    placed = sets.join(F.broadcast(loads), "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    blocks = settle(placed.groupBy("band", "block").agg(F.collect_list(F.struct("key", "bits")).alias("rows")))  # BLOCK_BITS of bits, about
+    x = blocks.select(F.explode(F.array("band", F.col("band") + 1)).alias("to"), F.col("band").alias("i"), F.col("block").alias("x_block"), F.col("rows").alias("x"))
+    y = blocks.select(F.col("band").alias("to"), F.col("block").alias("y_block"), F.col("rows").alias("y"))
+    both = x.join(y, "to").where((F.col("i") < F.col("to")) | (F.col("x_block") <= F.col("y_block"))).select((F.col("i") == F.col("to")).alias("same_band"), "x_block", "y_block", "x", "y")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.column("same_band")[k].as_py() and batch.column("x_block")[k].as_py() == batch.column("y_block")[k].as_py()
+                yield from _near_pairs(batch.column("x")[k].values, batch.column("y")[k].values, near, one)
+
+    return both.repartition(int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(count, "a long, b long, both int, either int")
+
+
+def _near_pairs(x: pa.StructArray, y: pa.StructArray, near: float, one: bool) -> Iterator[pa.RecordBatch]:
+    """Near pairs of two blocks, or of one with itself; each pair once."""
+    kx, ky = (z.field("key").to_numpy() for z in (x, y))
+    (ox, fx), (oy, fy) = ((z.field("bits").offsets.to_numpy().astype(np.int64), z.field("bits").values.to_numpy()) for z in (x, y))
+    names = np.unique(np.concatenate((fx[ox[0] : ox[-1]], fy[oy[0] : oy[-1]])))
+    fx, fy = np.searchsorted(names, fx), np.searchsorted(names, fy)
+    nx, ny = np.diff(ox), np.diff(oy)
+    for i in range(0, len(kx), STEP_ROWS):
+        for j in range(0, len(ky), STEP_ROWS):
+            hi, hj = min(i + STEP_ROWS, len(kx)), min(j + STEP_ROWS, len(ky))
+            both = np.zeros((hi - i, hj - j), np.float32)
+            for low in range(0, len(names), STEP_BITS):
+                both += _matrix(ox, fx, i, hi, low) @ _matrix(oy, fy, j, hj, low).T
+            either = nx[i:hi, None] + ny[None, j:hj] - both
+            fine = (both >= either * near - 1e-9) & (either > 0)
+            fine &= (kx[i:hi, None] < ky[None, j:hj]) if one else kx[i:hi, None] != ky[None, j:hj]
+            r, c = np.nonzero(fine)
+            if len(r):
+                a, b = kx[i + r], ky[j + c]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(both[r, c].astype(np.int32)), pa.array(either[r, c].astype(np.int32))], names=["a", "b", "both", "either"])
+
+
+def _matrix(offsets: np.ndarray, bits: np.ndarray, start: int, stop: int, low: int) -> np.ndarray:
+    """Rows ``start`` to ``stop`` over STEP_BITS columns from ``low`` on, as zeros and ones."""
+    some = bits[offsets[start] : offsets[stop]] - low
+    rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
+    inside = (some >= 0) & (some < STEP_BITS)
+    out = np.zeros((stop - start, min(STEP_BITS, max(1, int(bits.max(initial=0)) + 1))), np.float32)
+    out[rows[inside], some[inside]] = 1
+    return out
 
 
 def neighbour_counts(keys: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -49,10 +95,10 @@ def butina(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     least the first key, usually a share of all.
     """
     rank = F.struct(F.col("neighbours"), F.col("key"))
-    order = settle(neighbour_counts(keys, pairs).select("key", rank.alias("rank")))
+    first = settle(neighbour_counts(keys, pairs).select("key", rank.alias("rank")))
     edge = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b").alias("key"), F.col("a").alias("other")))
-    edge = settle(edge.join(order.select(F.col("key").alias("other"), F.col("rank").alias("other_rank")), "other"))
-    left, out = order, None
+    edge = settle(edge.join(first.select(F.col("key").alias("other"), F.col("rank").alias("other_rank")), "other"))
+    left, out = first, None
     while True:
         ahead = edge.join(left.select(F.col("key").alias("other")), "other", "left_semi").groupBy("key").agg(F.max("other_rank").alias("ahead"))
         centres = settle(left.join(ahead, "key", "left").where(F.col("ahead").isNull() | (F.col("rank") > F.col("ahead"))).select("key", "rank"))
@@ -66,35 +112,74 @@ def butina(keys: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, component: the smallest key that pairs connect to."""
-    edge = settle(pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b").alias("key"), F.col("a").alias("other"))))
-    now = settle(keys.select("key", F.col("key").alias("component")))
+    """key, component: the smallest key that pairs connect to.
+
+    Links point from the larger key to the smaller.  In turn every key hands its larger partners to its least partner,
+    and its smaller ones to the least of them, until all links are stars; a round is one written table.
+    """
+    point = lambda df, u, v: df.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
+    links, before = settle(point(pairs, "a", "b")), None
     while True:
-        heard = edge.join(now.select(F.col("key").alias("other"), "component"), "other").groupBy("key").agg(F.min("component").alias("heard"))
-        hooked = now.join(heard, "key", "left").select("key", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
-        jump = hooked.select(F.col("key").alias("component"), F.col("component").alias("further"))
-        new = settle(hooked.join(jump, "component").select("key", F.least("component", "further").alias("component"), "old"))
-        if not new.where("component <> old").limit(1).count():
-            return new.select("key", "component")
-        now = new.select("key", "component")
+        ends = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ends.groupBy("u").agg(F.min("v").alias("m"))
+        up = ends.where("v > u").join(least, "u").select("v", F.least("u", "m").alias("m"))
+        up = settle(point(up, "v", "m"))
+        least = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(least, "u")
+        down = settle(point(down.select("v", "m"), "v", "m").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        state = down.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        discard(links, up)
+        links = down
+        if state == before:
+            break
+        before = state
+    found = links.select(F.col("u").alias("key"), F.col("v").alias("component"))
+    return keys.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
 
 
 def fill_splits(clusters: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     """cluster, split: largest clusters first, each into the split that is furthest below its target; of equals the first declared.
 
-    ``clusters``: cluster, size.  The assignment is sequential over clusters, so their sizes (not the rows) go through
-    the driver, a part at a time.
+    ``clusters``: cluster, size.  Clusters of one size are dealt at once: the driver sees a row for each distinct size, and
+    answers with runs of places that splits take in turn.
     """
-    order = clusters.orderBy(F.desc("size"), "cluster").select("cluster", "size")
-    total = clusters.agg(F.sum("size")).first()[0] or 0
-    filled = {name: 0 for name, _ in shares}
-    out = []
-    for row in order.toLocalIterator():
-        name = max(shares, key=lambda s: s[1] * total - filled[s[0]])[0]
-        filled[name] += row["size"]
-        out.append((row["cluster"], name))
-    kind = clusters.schema["cluster"].dataType.simpleString()
-    return clusters.sparkSession.createDataFrame(out, f"cluster {kind}, split string")
+    sizes = clusters.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()  # distinct sizes: the square root of all rows, about
+    total = sum(r["size"] * r["n"] for r in sizes)
+    goals, filled, runs, place = [share * total for _, share in shares], [0] * len(shares), [], 0
+    for r in sizes:
+        left = r["n"]
+        while left:
+            order_, times = _turns(goals, filled, r["size"], left)
+            for k in order_:
+                filled[k] += r["size"] * times
+            runs.append((r["size"], place, place + len(order_) * times, [shares[k][0] for k in order_]))
+            place += len(order_) * times
+            left -= len(order_) * times
+    spark = clusters.sparkSession
+    table = spark.createDataFrame(runs, "size long, low long, high long, turns array<string>")
+    placed = order.numbered(settle(clusters.select("cluster", F.col("size").cast("long").alias("size"))), [F.desc("size"), F.col("cluster")], "place")
+    dealt = placed.join(F.broadcast(table), "size").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))  # a few rows for each distinct size
+    turn = ((F.col("place") - F.col("low")) % F.size("turns")).cast("int") + 1
+    return dealt.select("cluster", F.element_at("turns", turn).alias("split"))
+
+
+def _turns(goals: list[float], filled: list[int], size: int, left: int) -> tuple[list[int], int]:
+    """Which splits take the next clusters of a size in turn, and how often that turn repeats unchanged."""
+    lack, now, turn = [g - f for g, f in zip(goals, filled, strict=True)], list(filled), []
+    while len(turn) < min(left, len(lack)):
+        k = max(range(len(now)), key=lambda i: (goals[i] - now[i], -i))
+        if k in turn:
+            break
+        turn.append(k)
+        now[k] += size
+    if len(turn) == 1:  # one split alone, until another lacks as much
+        others = [x for i, x in enumerate(lack) if i != turn[0]]
+        return turn, min(left, max(1, int((lack[turn[0]] - max(others)) // size))) if others else left
+    outside = [x for i, x in enumerate(lack) if i not in turn]
+    times = left // len(turn)
+    if outside:  # until those in turn lack no more than one outside does
+        times = min(times, int((min(lack[i] for i in turn) - max(outside)) // size))
+    return (turn, times) if times > 1 else (turn[:1], 1)
 
 
 def dot(x: Column, y: Column) -> Column:

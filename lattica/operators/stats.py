@@ -34,24 +34,23 @@ def sample_variance(n: Column, msd: Column) -> Column:
     return F.when(n > 1, msd * n / (n - 1))
 
 
-def moments() -> list[Column]:
-    """Aggregates that merge (n, mean, msd) rows: exact, and centred by the pairwise formula of the merged means.
-
-    ``sum(n msd) + sum(n mean^2) - N M^2`` would cancel, so the spread of the means is a weighted variance about
-    the merged mean, which a window supplies as ``_m``.
-    """
-    n = F.sum("n")
-    spread = F.sum(F.col("n") * (F.col("msd") + (F.col("mean") - F.col("_m")) * (F.col("mean") - F.col("_m"))))
-    return [n.alias("n"), F.first("_m").alias("mean"), (spread / n).alias("msd")]
+def combined(parts: Column) -> Column:
+    """n, mean, msd of an array of (n, mean, msd) together: the spread of the means about the merged mean, without power sums."""
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    mean = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["n"] * p["mean"]) / total
+    whole = F.transform(F.array(F.struct(total.alias("n"), mean.alias("mean"))), lambda t: F.struct(t["n"].alias("n"), t["mean"].alias("mean"), (F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["n"] * (p["msd"] + (p["mean"] - t["mean"]) * (p["mean"] - t["mean"]))) / t["n"]).alias("msd")))
+    return F.when(total > 0, whole[0])
 
 
 def merge(models: list[DataFrame], keys: tuple[str, ...] = ("level", "cid")) -> DataFrame:
-    """Statistics of several corpora together: counts add, moments combine, new classes are appended."""
+    """Statistics of several corpora together: counts add, moments combine, new classes are appended.
+
+    One grouping: a class has a part from each corpus at most, and the parts are combined where they meet.
+    """
     rows = reduce(DataFrame.unionByName, models)
     carried = [c for c in ("parent",) if c in rows.columns and c not in keys]
-    means = rows.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m"))
-    both = rows.join(means, list(keys))
-    return both.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carried), *moments())
+    parts = rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carried), F.collect_list(F.struct("n", "mean", "msd")).alias("_parts"))
+    return parts.select(*keys, *carried, combined(F.col("_parts")).alias("_all")).select(*keys, *carried, "_all.*")
 
 
 def empty_like(stats: DataFrame) -> DataFrame:
@@ -62,11 +61,13 @@ def empty_like(stats: DataFrame) -> DataFrame:
 def leave_one_group_out(parts: DataFrame, group: str, groups: DataFrame) -> DataFrame:
     """Statistics of all groups but one, for each of ``groups`` (a table of group values): one job, no loop over folds.
 
-    ``parts``: class statistics with a column ``group``.  Each row goes to the folds that it trains.
+    ``parts``: class statistics with a column ``group``.  A class's parts meet once; each fold combines the others'.
     """
-    folds = groups.select(F.col(group).alias("fold"))
-    rows = parts.join(F.broadcast(folds), parts[group] != F.col("fold")).drop(group)  # folds are a handful
-    return merge([rows], ("fold", "level", "cid"))
+    folds = F.broadcast(groups.agg(F.collect_set(group).alias("_folds")))  # one row: the folds are a handful
+    rows = parts.groupBy("level", "cid").agg(F.first("parent").alias("parent"), F.collect_list(F.struct(F.col(group).alias("g"), F.col("n"), F.col("mean"), F.col("msd"))).alias("_parts"))
+    each = rows.crossJoin(folds).select("level", "cid", "parent", "_parts", F.explode("_folds").alias("fold"))
+    left = each.withColumn("_parts", F.filter("_parts", lambda p: p["g"] != F.col("fold"))).where(F.size("_parts") > 0)
+    return left.select("fold", "level", "cid", "parent", combined(F.col("_parts")).alias("_all")).select("fold", "level", "cid", "parent", "_all.*")
 
 
 def truncate(stats: DataFrame, level: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import estimate, graph, predict, refine, stats
-from lattica.operators.graph import Graph, settle
+from lattica.operators.graph import Graph
+from lattica.operators.rounds import settle
 from lattica.plans import graphs
 from lattica.queries import sql
 

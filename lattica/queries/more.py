@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import elements
 from lattica.operators import compare, groups, lookup, post, predict, refine, sampling, similarity, stats
-from lattica.operators.graph import settle
+from lattica.operators.rounds import settle
 from lattica.plans import graphs
 from lattica.queries import sql
 from lattica.queries.core import _ALL, _EV, _SPLIT, _events, _model, _split, r
@@ -155,7 +155,7 @@ def prefix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _codes(spark, sf_dir)
     parts = [lookup.prefix_sums(rows.where(F.col("shard") == k), "code", "y", "/", 3) for k in (1, 2, 3)]
     s = lookup.merge_sums(parts)
-    return s.groupBy("radius").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"), r(F.avg(F.col("s") / F.col("n")), 4).alias("mean"), r(F.sum("q"), 1).alias("q"))
+    return s.groupBy("radius").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"), r(F.avg("mean"), 4).alias("mean"), r(F.sum(F.col("n") * (F.col("msd") + F.col("mean") * F.col("mean"))), 1).alias("q"))
 
 
 @query(f"""{_CODES}, l AS (SELECT e.k, any_value(e.y) AS y, arg_max(s.s / s.n, e.radius) FILTER (WHERE s.n >= 2) AS value, max(e.radius) FILTER (WHERE s.n >= 2) AS radius FROM e LEFT JOIN s USING (radius, key) WHERE e.shard = 0 GROUP BY e.k)
