@@ -107,9 +107,14 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
+def sketch_width(n: int, percent: int) -> int:
+    """Classes of a sketch of ``n`` features: a power of two, about 8 for each allowed difference."""
+    return 1 << max(6, (8 * allowed(2 * n, percent)).bit_length())
+
+
 def sketch(features: np.ndarray, percent: int) -> bytes:
-    """Parities of the numbers of features in as many classes as a power of two, about 8 for each allowed difference."""
-    width = 1 << max(6, (8 * allowed(2 * len(features), percent)).bit_length())
+    """Parities of the numbers of features in each of some classes."""
+    width = sketch_width(len(features), percent)
     place = (mix(features + U(0xA0761D6478BD642F)) & U(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
 

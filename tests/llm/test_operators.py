@@ -233,7 +233,7 @@ def line_links(table):
     """Lines in order, and by brute force the pairs that link."""
     rows = [(r["doc_id"], r["text"]) for r in table.orderBy("doc_id").collect()]
     sets = [{t[k : k + lines.SHINGLE] for k in range(len(t) - lines.SHINGLE + 1)} for _, t in rows]
-    return rows, {(i, j) for j in range(len(rows)) for i in range(j) if len(sets[i] & sets[j]) >= lines.SIMILARITY * len(sets[i] | sets[j])}
+    return rows, {(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= lines.PERCENT * len(sets[i] | sets[j])}
 
 
 def firsts(rows, linked):
