@@ -6,14 +6,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bins of the equi-width histogram behind :func:`with_range_shard`; the driver sees one row for each.
-HISTOGRAM_BINS = 1 << 16
+#: Bins of a level of the histograms behind :func:`range_shards`, of which the driver sees one row each, and shards.
+HISTOGRAM_BINS, MOST_SHARDS = 1 << 16, 1 << 15
 
 
 _local: dict[str, str] = {}
@@ -109,45 +110,75 @@ def by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(values[rows[0]]), rows
 
 
-class Cuts:
-    """Where an integer key is cut into ascending shards: equal bins from ``low`` on, and the first bin of each further shard."""
+_EXACT = "decimal(38,0)"  # a difference of two longs can exceed a long
+_NODES = "_node int, _bin long, _next int, _next_low decimal(38,0), _next_width decimal(38,0), _first int, _parts int"
 
-    def __init__(self, low: int, width: int, bins: list[int]):
-        self.low, self.width, self.bins = low, width, bins
 
-    def bin_of(self, key: str):
-        exact = "decimal(38,0)"  # a difference of two longs can exceed a long
-        return F.floor((F.col(key).cast(exact) - F.lit(self.low).cast(exact)) / F.lit(self.width).cast(exact)).cast("int")
+class Shards:
+    """How an integer key is cut into ascending shards: a tree of bins, a table for each of its levels."""
 
+    def __init__(self, low: int, width: int):
+        self.low, self.width, self.levels, self.count = low, width, [], 1
 
-def range_cuts(df: DataFrame, key: str, weight, target: int) -> Cuts:
-    """Cuts for shards of about ``target`` of ``weight`` each.
+    def place(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` with the leaf of each row: ``_first`` shard, and the ``_parts`` that share it if one key fills several."""
+        out = df.withColumns({"_node": F.lit(0), "_low": F.lit(self.low).cast(_EXACT), "_width": F.lit(self.width).cast(_EXACT), "_first": F.lit(None).cast("int"), "_parts": F.lit(None).cast("int")})
+        for table in self.levels:
+            nodes = F.broadcast(df.sparkSession.createDataFrame(table, _NODES).withColumnsRenamed({"_first": "_f", "_parts": "_p", "_node": "_n"}))  # HISTOGRAM_BINS rows, about
+            found = out.withColumn("_at", self.bin_of(key)).join(nodes, (F.col("_node") == F.col("_n")) & (F.col("_at") == F.col("_bin")), "left")
+            out = found.withColumns({"_first": F.coalesce("_first", "_f"), "_parts": F.coalesce("_parts", "_p"), "_node": F.col("_next"), "_low": F.col("_next_low"), "_width": F.col("_next_width")}).drop("_at", "_n", "_bin", "_next", "_next_low", "_next_width", "_f", "_p")
+        return out
 
-    They depend on the rows alone (a histogram over equal key ranges, cut where the running weight
-    reaches ``target``), so the same table always gives the same shards.
+    @staticmethod
+    def bin_of(key: str):
+        return F.floor((F.col(key).cast(_EXACT) - F.col("_low")) / F.col("_width")).cast("long")
+
+    def add(self, df: DataFrame, key: str, sub, to: str = "_shard") -> DataFrame:
+        """``df`` with its shard; null keys go to shard 0.  ``sub`` (0 to 2^32 - 1) parts the rows of a key that fills several."""
+        shard = F.col("_first") + F.when(F.col("_parts") > 1, F.floor(sub * F.col("_parts") / float(1 << 32)).cast("int")).otherwise(0)
+        return self.place(df, key).withColumn(to, F.coalesce(shard, F.lit(0))).drop("_node", "_low", "_width", "_first", "_parts")
+
+
+def range_shards(slim: DataFrame, key: str, weight: str, target: int) -> Shards:
+    """Shards of about ``target`` of ``weight`` each, MOST_SHARDS at most, from a written table of keys and weights.
+
+    They depend on the rows alone.  A histogram over equal key ranges is taken, bins that weigh more than the target get a
+    histogram of their own, and so on down to single keys, so far outliers and dense runs do no harm.  The driver sees
+    HISTOGRAM_BINS rows of a level, about.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    low, high, total = slim.where(F.col(key).isNotNull()).agg(F.min(key), F.max(key), F.sum(weight)).first()
     if low is None:
-        return Cuts(0, 1, [])
-    cuts = Cuts(int(low), max(1, -(-(int(high) - int(low) + 1) // HISTOGRAM_BINS)), [])
-    sums = df.where(F.col(key).isNotNull()).groupBy(cuts.bin_of(key).alias("bin")).agg(F.sum(weight).cast("double").alias("w"))
-    total = 0.0
-    for row in sums.orderBy("bin").collect():  # HISTOGRAM_BINS rows at most
-        if total >= target:
-            cuts.bins.append(row["bin"])
-            total = 0.0
-        total += row["w"] or 0.0
-    return cuts
-
-
-def with_shard(df: DataFrame, key: str, cuts: Cuts, shard: str = "_shard") -> tuple[DataFrame, int]:
-    """Add the shard number of ``key``; equal keys share a shard, null keys go to shard 0, before all others."""
-    if not cuts.bins:
-        return df.withColumn(shard, F.lit(0)), 1
-    number = np.searchsorted(np.array(cuts.bins), np.arange(HISTOGRAM_BINS + 1), side="right")
-    table = df.sparkSession.createDataFrame(list(enumerate(number.tolist())), f"_bin int, {shard} int")  # HISTOGRAM_BINS rows
-    out = df.withColumn("_bin", cuts.bin_of(key)).join(F.broadcast(table), "_bin", "left").drop("_bin")
-    return out.withColumn(shard, F.coalesce(shard, F.lit(0))), len(cuts.bins) + 1
+        return Shards(0, 1)
+    target = max(target, int(total or 0) // MOST_SHARDS)
+    out = Shards(int(low), max(1, -(-(int(high) - int(low) + 1) // HISTOGRAM_BINS)))
+    rows, nodes, leaves = slim.where(F.col(key).isNotNull()), {0: (out.low, out.width)}, []
+    while nodes:
+        placed = out.place(rows, key).where("_first IS NULL AND _node IS NOT NULL").withColumn("_bin", out.bin_of(key))
+        sums = placed.groupBy("_node", "_bin").agg(F.sum(weight).cast("double").alias("w")).collect()
+        heavy = [r for r in sums if (r["w"] or 0) > target and nodes[r["_node"]][1] > 1]
+        fine, table, further, number = max(2, HISTOGRAM_BINS // max(1, len(heavy))), [], {}, 1 + max(nodes)
+        for r in sums:
+            start, width = nodes[r["_node"]][0] + r["_bin"] * nodes[r["_node"]][1], nodes[r["_node"]][1]
+            row = {"_node": r["_node"], "_bin": r["_bin"], "_next": None, "_next_low": None, "_next_width": None, "_first": None, "_parts": None}
+            if (r["w"] or 0) > target and width > 1:
+                row |= {"_next": number, "_next_low": Decimal(start), "_next_width": Decimal(max(1, -(-width // fine)))}
+                further[number] = (start, int(row["_next_width"]))
+                number += 1
+            else:
+                leaves.append((start, r["w"] or 0.0, row))
+            table.append(row)
+        out.levels.append(table)
+        nodes = further
+    shard, total = 0, 0.0
+    for _, w, row in sorted(leaves, key=lambda x: x[0]):
+        if total and total + min(w, target) > target:
+            shard, total = shard + 1, 0.0
+        row["_parts"] = max(1, -(-int(w) // target))
+        row["_first"] = shard
+        shard, total = (shard + row["_parts"], 0.0) if row["_parts"] > 1 else (shard, total + w)
+    out.count = shard + 1
+    out.levels = [[tuple(r.values()) for r in t] for t in out.levels]
+    return out
 
 
 MANIFEST = "name string, temp string, shard int, part int, rows long, bytes long, sha256 string"

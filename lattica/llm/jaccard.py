@@ -4,7 +4,9 @@ Two sets link when 100 * |both| >= percent * |either|.  Sets fall into size band
 the same or the next band.  For each band a hash deals all features to first-level partitions, and each of those
 to three second-level ones; there are so many first-level partitions that linked sets differ by one feature at
 most in one of them, so they agree on two of its three parts.  A signature is the hash of a set's features in
-two parts: linked sets share one for certain.
+two parts: linked sets share one for certain.  As there are some spare partitions, linked sets agree in so many more: a
+set that has no feature in some two parts, in no more partitions than that, leaves such signatures out, on which unlike
+sets would meet.
 
 1.  Every slice of documents makes its sets and signatures, joins equal signatures on the spot, and sends each
     signature once, in a packed row for each bucket of signatures.  A bucket names for every signature the
@@ -37,10 +39,14 @@ from pyspark.sql import functions as F
 from lattica.llm import common
 
 WORDS, PERCENT = 4, 85
+#: Documents of one signature that a slice sends by themselves; beyond, its smallest stands for them.
+TOGETHER = 3
 #: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
 #: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles).
 BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
-PARTS = 3
+#: Second-level partitions; first-level ones beyond those that linked sets need to agree on one, and one more for 64 allowed
+#: differences: few sets have empty parts in more.
+PARTS, SPARE = 3, 3
 U = np.uint64
 
 
@@ -96,20 +102,24 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
         k = allowed(2 * (firsts[tag + 1] - 1), percent)
         if not k or allowed(n + firsts[tag + 1] - 1, percent) == 0:
             continue  # equal sets alone could link
-        first = k // 2 + 1
+        spare = SPARE + k // 64
+        first = k // 2 + 1 + spare
         cell = (spread >> U(32)) % U(first) * U(PARTS) + (spread & U(0xFFFFFFFF)) % U(PARTS)
         sums = np.zeros(first * PARTS, U)
         np.add.at(sums, cell.astype(np.int64), value)
         sums = sums.reshape(first, PARTS)
         without = sums.sum(axis=1, dtype=U)[:, None] - sums
         place = np.arange(first * PARTS, dtype=U).reshape(first, PARTS) + U(tag << 40)
-        out.append(mix(without + mix(place)).reshape(-1))
+        found = mix(without + mix(place))
+        filled = np.bincount(cell.astype(np.int64), minlength=first * PARTS).reshape(first, PARTS)
+        none = filled.sum(axis=1)[:, None] == filled
+        out.append(found[~none] if none.any(axis=1).sum() <= spare else found.reshape(-1))
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def sketch_width(n: int, percent: int) -> int:
-    """Classes of a sketch of ``n`` features: a power of two, about 8 for each allowed difference."""
-    return 1 << max(6, (8 * allowed(2 * n, percent)).bit_length())
+    """Classes of a sketch of ``n`` features: a power of two, 3 to 6 for each allowed difference."""
+    return 1 << max(6, (3 * allowed(2 * n, percent)).bit_length())
 
 
 def sketch(features: np.ndarray, percent: int) -> bytes:
@@ -127,15 +137,21 @@ def fold(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def pairs_of(signs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once with its smallest document, and the distinct pairs (that document, another)."""
+def pairs_of(signs: np.ndarray, docs: np.ndarray, most: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures and their documents, and distinct pairs (smallest document of a signature, another).
+
+    A signature of more than ``most`` documents keeps its smallest one alone; the pairs are those of such signatures.
+    """
     order = np.lexsort((docs, signs))
     signs, docs = signs[order], docs[order]
     head = np.concatenate(([True], signs[1:] != signs[:-1])) if len(signs) else np.zeros(0, bool)
-    leader = docs[head][np.cumsum(head) - 1]
-    other = leader != docs
+    group = np.cumsum(head) - 1
+    large = (np.bincount(group) > most)[group] if len(signs) else head
+    leader = docs[head][group]
+    other = large & (leader != docs)
     pairs = np.unique(np.stack((leader[other], docs[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return signs[head], docs[head], pairs
+    kept = head | ~large
+    return signs[kept], docs[kept], pairs
 
 
 PACKED = "kind int, bucket int, doc long, n long, h1 long, h2 long, blob binary"
@@ -145,7 +161,8 @@ FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int
 
 
 def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Kind 0: a row per document with its set's size, hash and sketch.  Kind 1: candidate pairs (leader, document)."""
+    """Kind 0: a row per document with its set's size, hash and sketch.  Kinds 1 and 2: candidate pairs (leader, document)
+    among what slices sent, and within a slice."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -162,7 +179,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     signs.append(signatures(s, percent))
                     owners.append(np.full(len(signs[-1]), doc, np.int64))
             if signs:
-                once, leaders, pairs = pairs_of(np.concatenate(signs), np.concatenate(owners))
+                once, leaders, pairs = pairs_of(np.concatenate(signs), np.concatenate(owners), TOGETHER)
                 for b, some in common.by_value(((once >> U(20)) % U(buckets)).astype(np.int64)):
                     rows.append({"kind": 1, "bucket": b, "n": len(some), "blob": once[some].tobytes() + leaders[some].astype(np.int64).tobytes()})
                 if len(pairs):
@@ -172,7 +189,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
         signs, owners = [], []
-        of_pairs = lambda p: pa.RecordBatch.from_arrays([pa.array(np.ones(len(p), np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.nulls(len(p), pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
+        of_pairs = lambda p, kind: pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.nulls(len(p), pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             plain = batch.filter(pa.array(kinds == 0))
@@ -181,12 +198,12 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for k in np.flatnonzero(kinds > 0).tolist():
                 data = np.frombuffer(batch.column("blob")[k].as_buffer(), np.int64)
                 if kinds[k] == 2:
-                    yield of_pairs(data.reshape(-1, 2))
+                    yield of_pairs(data.reshape(-1, 2), 2)
                 else:
                     signs.append(data[: len(data) // 2].view(U).copy())
                     owners.append(data[len(data) // 2 :].copy())
         if signs:
-            yield of_pairs(pairs_of(np.concatenate(signs), np.concatenate(owners))[2])
+            yield of_pairs(pairs_of(np.concatenate(signs), np.concatenate(owners))[2], 1)
 
     packed = docs.mapInArrow(sign, PACKED).repartitionById(buckets, "bucket")
     return common.materialize(packed.mapInArrow(lead, FOUND), "part-enum")
@@ -255,19 +272,20 @@ BLOCKS_ARROW = pa.schema([("cluster", pa.int64()), ("band", pa.int32()), ("block
 
 
 def _around_leaders(pairs: DataFrame) -> DataFrame:
-    """(cluster, doc): for each leader itself, the documents it leads, and those that these lead in turn.
+    """(cluster, doc): for each leader of ``pairs`` (a, b, own) itself, the documents it leads, and those that these lead in
+    their slices (``own`` pairs) in turn.
 
-    A slice's leader of a signature leads the slice's documents, and the smallest of the slices' leaders leads these: so
+    Slices send all documents of a signature but where these are many; then the slice's leader stands for the others.  So
     any two documents that share a signature are in the cluster of its leader.
     """
     near = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("doc"))
-    further = pairs.select(F.col("a").alias("cluster"), F.col("b").alias("m")).join(pairs.select(F.col("a").alias("m"), F.col("b").alias("doc")), "m").select("cluster", "doc")
-    own = pairs.select(F.col("a").alias("cluster"), F.col("a").alias("doc"))
-    return near.unionAll(further).unionAll(own).distinct()
+    own = pairs.where("own").select(F.col("a").alias("m"), F.col("b").alias("doc"))
+    further = pairs.where("NOT own").select(F.col("a").alias("cluster"), F.col("b").alias("m")).join(own, "m").select("cluster", "doc")
+    return near.unionAll(further).unionAll(pairs.select(F.col("a").alias("cluster"), F.col("a").alias("doc"))).distinct()
 
 
 def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link though no leader joined them: from the documents around each leader of ``pairs``.
+    """Pairs (a, b) that may link though no leader joined them: from the documents around each leader of ``pairs`` (a, b, own).
 
     Documents of a cluster are dealt to blocks by size band and component.  Blocks of the same and of neighbouring bands
     meet, one pair of blocks to a row; a block holds ``BLOCK_BYTES`` of sketches at most, whatever the cluster's size.
@@ -368,10 +386,10 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key:
     # A document id of several sets is linked with each one's copies, but stays in pairs for the sets of its own.
     several = whole.join(copies.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "h1", "h2").distinct().groupBy("doc").count().where("count > 1")
     stood_for = common.materialize(copies.join(several, "doc", "left_anti"), "stood-for")
-    pairs = found.where("kind = 1").select("a", "b").distinct()
+    pairs = found.where("kind > 0").select("a", "b", (F.col("kind") == 2).alias("own")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(stood_for.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    led = common.materialize(pairs.where("a <> b").select("a", "b").distinct(), "pairs")
+    led = common.materialize(pairs.where("a <> b").select("a", "b", "own").distinct(), "pairs")
     pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     once = whole.join(stood_for.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if stood_for.limit(1).count() else whole.select("doc", "n", "sketch")
     side = lambda c, n, s: once.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))

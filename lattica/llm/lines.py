@@ -160,7 +160,7 @@ def split_and_sign(docs: DataFrame, size: int, bands: int, percent: int, buckets
             return
         names, seconds = names[place], seconds[place]
         yield _batch(len(names), kind=np.ones(len(names), np.int32), h1=names, h2=seconds, n=sizes, sketch=sketches)
-        once, leaders, pairs = jaccard.pairs_of(keys.reshape(-1), np.repeat(names, bands))
+        once, leaders, pairs = jaccard.pairs_of(keys.reshape(-1), np.repeat(names, bands), jaccard.TOGETHER)
         if len(pairs):
             yield _batch(len(pairs), kind=np.full(len(pairs), 3, np.int32), h1=pairs[:, 0], h2=pairs[:, 1])
         packed = [(k, len(some), once[some].tobytes() + leaders[some].tobytes()) for k, some in common.by_value(((once >> U(20)) % U(buckets)).astype(np.int64))]
@@ -170,7 +170,7 @@ def split_and_sign(docs: DataFrame, size: int, bands: int, percent: int, buckets
 
 
 def lead(found: DataFrame, buckets: int) -> DataFrame:
-    """Distinct pairs (a, b): a bucket's leader and another of the lines that slices send for its keys, and the slices' own."""
+    """Distinct pairs (a, b, own): a bucket's leader and another of the lines that slices send for its keys, and the slices' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
@@ -185,8 +185,8 @@ def lead(found: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     sent = found.where("kind = 2").select("bucket", "keys").repartitionById(buckets, "bucket").select("keys")
-    own = found.where("kind = 3").select(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    return common.materialize(sent.mapInArrow(run, "a long, b long").unionAll(own).distinct(), "line-pairs")
+    own = found.where("kind = 3").select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.lit(True).alias("own"))
+    return common.materialize(sent.mapInArrow(run, "a long, b long").withColumn("own", F.lit(False)).unionAll(own).distinct(), "line-pairs")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def links(docs: DataFrame, found: DataFrame, buckets: int, size: int, percent: i
     lines = common.materialize(lines.join(ends, "doc", "left_semi"), "line-sketches")
     side = lambda c, n, s: lines.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     both = lambda pairs: pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
-    likely = common.materialize(jaccard.may_link(both(led), percent), "line-likely")
+    likely = common.materialize(jaccard.may_link(both(led.select("a", "b").distinct()), percent), "line-likely")
     checked = lambda pairs: jaccard.verify(line_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), pairs, sets_of, percent)
     out = checked(likely)
     more = jaccard.unsettled(led, lines, common.connected_components(out), percent).join(likely, ["a", "b"], "left_anti")
@@ -233,7 +233,7 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     first = first.where("lines > 1").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "first")
     out = classes.join(first, (F.col("c1") == F.col("d1")) & F.col("c2").eqNullSafe(F.col("d2")), "left")
     kept = F.col("first").isNull() | F.struct("doc", "copy", "line_no").eqNullSafe(F.col("first"))
-    return out.select("doc", "copy", "line_no", "h1", "h2", F.coalesce(F.col("first.doc"), F.col("doc")).alias("class_doc"), F.coalesce(F.col("first.line_no"), F.col("line_no")).alias("class_line"), kept.alias("kept"))
+    return out.select("doc", "copy", "line_no", "h1", "h2", F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("first.doc")).alias("class_doc"), F.coalesce(F.col("first.line_no"), F.col("line_no")).alias("class_line"), kept.alias("kept"))
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids in binary files, a wavelet matrix per block of tokens.
 
 A file holds the ids of consecutive documents: a JSON header, the documents' ids and ends, and for each block
-of tokens one bit-plane per bit of an id, most significant first, each compressed on its own.  A block's
+of tokens one bit-plane per bit of an id, most significant first, and the planes' rank directories, each compressed
+on its own.  A block's
 planes are a wavelet matrix: tokens are stably dealt by the bit at hand before the next plane is written, so
 with ranks over the planes any token is read, any id counted in any range, and any occurrence found without
 decoding the rest.
@@ -10,7 +11,8 @@ Documents are dealt to ascending ranges of their ids by a deterministic histogra
 are committed through temporary names and a manifest.
 
 Defined results: a null text is the empty text and has the end id alone; null ids come first; rows that
-repeat a document id are documents of their own, in the order of their texts; an empty table gives no file
+repeat a document id are documents of their own, in the order of their texts (of a hash of these where one id
+fills several shards); an empty table gives no file
 and no row; other columns are ignored.
 """
 
@@ -21,7 +23,7 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 from lattica.llm import common
 
 VOCABULARY, END = "byte_bpe_50k.json", 0
-MAGIC = b"LWM1"
+MAGIC = b"LWM2"
 BLOCK = 1 << 18
 #: Tokens at which a file closes, bytes of text of a range shard, entries of each generation of a worker's cache.
-ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 7 << 16
+ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 5 << 17
 
 #: The vocabulary spells bytes as visible characters: those that are visible as themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,7 +51,8 @@ class Tokens:
     that is not a plain space or newline, or with a special string go to the library whole.
     """
 
-    ODD = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b" \xc2", b"\n\xc2", b" \xe1", b"\n\xe1", b" \xe2", b"\n\xe2", b" \xe3", b"\n\xe3", b"<|")
+    ODD = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"<|")
+    ODD_BEYOND_ASCII = (*ODD, b" \xc2", b"\n\xc2", b" \xe1", b"\n\xe1", b" \xe2", b"\n\xe2", b" \xe3", b"\n\xe3")
 
     def __init__(self, name: str):
         import public_tokenizers
@@ -118,7 +121,7 @@ class Tokens:
             if not t:
                 continue
             led = b"\n" + t  # the first piece counts as one after a newline, whose id is dropped below
-            if t[0] <= 32 or t[-1] <= 32 or any(x in led for x in self.ODD):
+            if t[0] <= 32 or t[-1] <= 32 or any(x in led for x in (self.ODD if led.isascii() else self.ODD_BEYOND_ASCII)):
                 whole.append(k)
             else:
                 pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
@@ -146,10 +149,15 @@ class Ranks:
 
     STEP = 512
 
-    def __init__(self, packed: np.ndarray, n: int):
+    def __init__(self, packed: np.ndarray, n: int, before: np.ndarray | None = None):
         self.packed, self.n = packed, n
-        steps = np.pad(packed, (0, -len(packed) % (self.STEP // 8))).reshape(-1, self.STEP // 8)
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(steps).sum(axis=1, dtype=np.int64))))
+        self.before = self.directory(packed) if before is None else before
+
+    @classmethod
+    def directory(cls, packed: np.ndarray) -> np.ndarray:
+        """Set bits before each step, and in all."""
+        words = np.pad(packed, (0, -len(packed) % (cls.STEP // 8))).view(np.uint64).reshape(-1, cls.STEP // 64)
+        return np.concatenate(([0], np.cumsum(np.bitwise_count(words).sum(axis=1, dtype=np.int64)))).astype("<u4")
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3] >> (7 - (i & 7))) & 1
@@ -182,9 +190,10 @@ class Ranks:
 class WaveletMatrix:
     """Access, counting and occurrence lookup in a block of ids, from its bit-planes."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
+    def __init__(self, planes: list[np.ndarray], n: int, directories: Callable[[], np.ndarray] | None = None):
         self.n, self.bits = n, len(planes)
         self.raw = planes
+        self._directories = directories
         self._ranks: list[Ranks] | None = None
 
     @classmethod
@@ -200,7 +209,8 @@ class WaveletMatrix:
     @property
     def ranks(self) -> list[Ranks]:
         if self._ranks is None:
-            self._ranks = [Ranks(p, self.n) for p in self.raw]
+            known = [None] * self.bits if self._directories is None else self._directories().reshape(self.bits, -1)
+            self._ranks = [Ranks(p, self.n, d) for p, d in zip(self.raw, known, strict=True)]
         return self._ranks
 
     def access(self, i: int) -> int:
@@ -247,12 +257,11 @@ class WaveletMatrix:
         """All ids: the planes are undone from the last to the first."""
         now = None
         for b, plane in enumerate(reversed(self.raw)):
-            ones = np.unpackbits(plane, count=self.n).view(bool)
+            bits = np.unpackbits(plane, count=self.n)
             back = np.zeros(self.n, kind)
             if now is not None:
-                zeros = self.n - int(np.count_nonzero(ones))
-                back[~ones], back[ones] = now[:zeros], now[zeros:]
-            back |= ones.astype(kind) << kind.type(b)
+                back[np.concatenate((np.flatnonzero(bits == 0), np.flatnonzero(bits)))] = now
+            back |= bits.astype(kind) << kind.type(b)
             now = back
         return np.zeros(self.n, kind) if now is None else now
 
@@ -265,7 +274,9 @@ def pack(shard: int, part: int, doc_ids: list[int | None], ends: list[int], ids:
     known = np.array([x is not None for x in doc_ids], np.uint8)
     parts = [squeeze(x.tobytes()) for x in (known, np.array([x or 0 for x in doc_ids], np.int64), np.array(ends, np.int64))]
     for at in range(0, len(ids), BLOCK):
-        parts += [squeeze(p.tobytes()) for p in WaveletMatrix.build(ids[at : at + BLOCK], bits).raw]
+        planes = WaveletMatrix.build(ids[at : at + BLOCK], bits).raw
+        parts += [squeeze(p.tobytes()) for p in planes]
+        parts.append(squeeze(b"".join(Ranks.directory(p).tobytes() for p in planes)))
     head = json.dumps({"shard": shard, "part": part, "docs": len(doc_ids), "tokens": len(ids), "bits": bits, "block": BLOCK, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
@@ -290,10 +301,15 @@ class TokenFile:
         self.doc_ids = [i if k else None for k, i in zip(known.tolist(), ids.tolist(), strict=True)]
         self.ends = np.frombuffer(self.part(2), np.int64)
         self.kind = np.dtype("<u2" if self.head["bits"] <= 16 else "<u4")
+        self._held: tuple[int | None, WaveletMatrix | None] = (None, None)
 
     def block(self, k: int) -> WaveletMatrix:
-        bits, n = self.head["bits"], min(self.head["block"], self.head["tokens"] - k * self.head["block"])
-        return WaveletMatrix([np.frombuffer(self.part(3 + k * bits + b), np.uint8) for b in range(bits)], n)
+        if self._held[0] != k:
+            bits, n = self.head["bits"], min(self.head["block"], self.head["tokens"] - k * self.head["block"])
+            first = 3 + k * (bits + 1)
+            planes = [np.frombuffer(self.part(first + b), np.uint8) for b in range(bits)]
+            self._held = (k, WaveletMatrix(planes, n, lambda: np.frombuffer(self.part(first + bits), "<u4")))
+        return self._held[1]
 
     @property
     def blocks(self) -> int:
@@ -325,9 +341,10 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end: int = END, rol
     """Write the ids of ``docs`` (doc_id, text) as ``.lwm`` files below ``uri``; gives the written manifest."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = common.range_cuts(rows, "doc_id", F.octet_length("text") + 8, shard_bytes)
-    sharded, shards = common.with_shard(rows, "doc_id", cuts)
-    ordered = sharded.repartitionById(shards, "_shard").sortWithinPartitions("doc_id", "text")
+    sizes = common.materialize(rows.select("doc_id", (F.octet_length("text") + 8).alias("w")), "token-sizes")
+    shards = common.range_shards(sizes, "doc_id", "w", shard_bytes)
+    sharded = shards.add(rows, "doc_id", F.crc32("text"))
+    ordered = sharded.repartitionById(shards.count, "_shard").sortWithinPartitions("doc_id", "text")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = common.held(("tokens", name), lambda: Tokens(name))

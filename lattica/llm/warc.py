@@ -62,11 +62,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return _header(pairs) + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, uri: str, roll_bytes: int = 32 << 20, shard_bytes: int = 256 << 20, revisit_from: int = 0) -> DataFrame:
+def write(pages: DataFrame, uri: str, roll_bytes: int = 32 << 20, shard_bytes: int = 16 << 20, revisit_from: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as ``.warc.gz`` files below ``uri``; gives the written manifest.
 
     ``roll_bytes``: a file closes once its compressed size has reached this.  ``shard_bytes``: payload bytes
-    of a range shard, about.  ``revisit_from``: equal payloads of fewer bytes are all responses.
+    of a range shard, about; a page id that fills more is parted by its payloads' digests.  ``revisit_from``: equal payloads of fewer bytes are all responses.
 
     The payload is shuffled once: the copies' decisions travel as small rows of their own, which sort
     just before the record they belong to, so the writing task needs no join.
@@ -85,9 +85,9 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = 32 << 20, shard_bytes: i
     both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.unhex(F.sha1("payload")).alias("digest"), F.lit(None).cast("long").alias("leader")).unionByName(
         revisits.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "leader")
     )
-    cuts = common.range_cuts(keys, "page_id", F.col("n") + 512, shard_bytes)
-    both, shards = common.with_shard(both, "page_id", cuts)
-    ordered = both.repartitionById(shards, "_shard").sortWithinPartitions("page_id", "digest", "kind", "url")
+    shards = common.range_shards(keys.select("page_id", (F.col("n") + 512).alias("w")), "page_id", "w", shard_bytes)
+    both = shards.add(both, "page_id", F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"))
+    ordered = both.repartitionById(shards.count, "_shard").sortWithinPartitions("page_id", "digest", "kind", "url")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, out, part, n, shard, group, led, ordinal = [], io.BytesIO(), 0, 0, None, None, None, 0

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import common, decontaminate, jaccard, lines, mixing, substrings, token_counts, token_files, topk, toxicity, warc
 
@@ -357,3 +358,108 @@ def test_connected_components(spark):
             up[y] = x
     got = {r["v"]: r["component"] for r in common.connected_components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
     assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)} | {v: find(v) for v in got}
+
+
+def test_jaccard_pairs_that_no_leader_settles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(jaccard, "STEP_BYTES", 64)
+    seen = []
+    unsettled = jaccard.unsettled
+    monkeypatch.setattr(jaccard, "unsettled", lambda *a: seen.append(unsettled(*a)) or seen[-1])
+    # Small sets that share most of their shingles with the smallest one, and all but a few with one another.
+    base = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 60):
+        rows.append((2 * k, " ".join([*base[:40], *(f"x{k}y{j}" for j in range(20))])))
+        rows.append((2 * k + 1, " ".join([*base[:40], *(f"x{k}y{j}" for j in range(19)), "z"])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want, _ = components_of(texts(table), 2, 80)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(table, 2, 80).collect()} == want
+    assert seen[0].count() > 0
+
+
+def test_pairs_of_leaves_small_groups_alone():
+    signs, docs = np.array([5, 5, 5, 7, 7, 9], np.uint64), np.array([3, 1, 2, 4, 6, 8])
+    s, d, p = jaccard.pairs_of(signs, docs, 2)
+    assert s.tolist() == [5, 7, 7, 9] and d.tolist() == [1, 4, 6, 8] and p.tolist() == [[1, 2], [1, 3]]
+
+
+def test_range_shards_with_a_far_id_and_a_hot_one(spark):
+    rows = [(k, 10) for k in range(20_000)] + [(1 << 62, 10), (-(1 << 63), 10)] + [(30_000, 10)] * 5000
+    keys = spark.createDataFrame(rows, "id long, w int").withColumn("sub", (F.rand(1) * (1 << 32)).cast("long"))
+    keys = common.materialize(keys.unionAll(spark.createDataFrame([(None, 1, 0)], keys.schema)), "keys")
+    shards = common.range_shards(keys.select("id", "w"), "id", "w", 2000)
+    got = shards.add(keys, "id", F.col("sub")).groupBy("_shard").agg(F.sum("w").alias("w"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("_shard").collect()
+    assert [r["_shard"] for r in got] == list(range(shards.count)) and 120 <= shards.count <= 260
+    assert max(r["w"] for r in got) <= 4000
+    assert all(a["high"] <= b["low"] for a, b in zip(got, got[1:], strict=False))
+    assert common.range_shards(keys.select("id", "w").limit(0), "id", "w", 2000).count == 1
+
+
+def test_mixing_weights_are_those_of_plain_fitting(spark):
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 500, (4, 3, 5))
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", int(tokens[a, b, c])) for a in range(4) for b in range(3) for c in range(5)], "source string, lang string, topic string, tokens long")
+    goals = [rng.random(4), rng.random(3), rng.random(5)]
+    goals[0][2] = 0  # nothing of one source
+    want = tokens.astype(float)
+    for _ in range(300):
+        for axis, g in enumerate(goals):
+            now = want.sum(axis=tuple(x for x in range(3) if x != axis))
+            want = want * np.expand_dims(g / g.sum() * tokens.sum() / np.maximum(now, 1e-300) * (now > 0), [x for x in range(3) if x != axis])
+    targets = {d: spark.createDataFrame([(f"{d[0]}{k}", float(x)) for k, x in enumerate(g)] + [("no such value", 1.0)][: int(d != "source")], "value string, share double") for d, g in zip(("source", "lang", "topic"), goals, strict=True)}
+    for r in mixing.rake(cells, targets, tolerance=1e-9, sweeps=300).collect():
+        a, b, c = (int(r[d][1:]) for d in ("source", "lang", "topic"))
+        assert r["tokens"] * r["weight"] == pytest.approx(want[a, b, c], rel=1e-4, abs=1e-6) if r["tokens"] else r["weight"] == 1.0
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(1, None, "a", "x", 1), (1, "one two", "a", None, 2), (2, "", None, "x", 3), (None, "three", "b", "x", 4), (1, "one two", "a", None, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, tokens int")
+    out, names = mixing.mixed(table, keep=1.0)
+    got = out.collect()
+    assert len(got) == 5 and sorted(r[names["tokens"]] for r in got) == [0, 0, 1, 2, 2] and out.columns[:5] == table.columns
+    assert mixing.sample(table, keep=1.0, temper=1.0).count() == 5
+
+
+def test_token_files_of_odd_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(8)
+    parts = ["\xa0", "　", " ", "\x85", " ", "\x1c", " ", "\n", "a", "Bc", "é", "漢", ".", ",", "'s", "1", "\t", "\r\n", "…"]
+    texts_ = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(6000)] + parts
+    tokens = token_files.Tokens(token_files.VOCABULARY)
+    for text, ids in zip(texts_, tokens.encode([t.encode() for t in texts_]), strict=True):
+        assert np.frombuffer(ids, tokens.kind).tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_line_signatures_keep_their_recall():
+    rng = np.random.default_rng(9)
+    kinds = ["abcdefghijklmnopqrstuvwxyz     ", "".join(map(chr, range(0x4E00, 0x5200))), "abcdefghij0123456789/=&?", "(){};= \tabcdef"]
+    hit = total = 0
+    for k in range(800):
+        n = int(rng.integers(30, 200))
+        t = list(rng.choice(list(kinds[k % 4]), n))
+        near = list(t)
+        for _ in range(max(1, n // 60)):
+            near[int(rng.integers(0, n))] = "#"
+        a, b = "".join(t).strip(" ").encode(), "".join(near).strip(" ").encode()
+        x, y = (set(s.tolist()) for s in lines.line_sets([a, b], lines.SHINGLE))
+        if 100 * len(x & y) >= lines.PERCENT * len(x | y):
+            place, sizes, keys, sketches = lines.sign([a, b], lines.SHINGLE, lines.BANDS, lines.PERCENT)
+            assert sizes.tolist() == [len(x), len(y)]
+            total, hit = total + 1, hit + bool((keys[0] == keys[1]).any())
+            u, v = (np.frombuffer(s, np.uint8)[None, :] for s in sketches)
+            w = min(u.shape[1], v.shape[1])
+            assert int(np.bitwise_count(jaccard.fold(u, w) ^ jaccard.fold(v, w)).sum()) <= jaccard.allowed(len(x) + len(y), lines.PERCENT)
+    assert total > 300 and hit / total > 0.98
+
+
+def test_fuzzy_lines_of_odd_rows(spark):
+    long = "x" * 50 + "abcdefghij " * 20_000
+    rows = [(None, "same line here\nother"), (1, "same line here"), (2, long), (3, long[:-5]), (1, "same line here"), (4, None)]
+    table = spark.createDataFrame([(*r, "k", 7) for r in rows], "doc_id long, text string, kind string, h1 int").repartition(2)
+    got = {(r["doc"], r["line_no"]): (r["class_doc"], r["kept"]) for r in lines.components(table).collect()}
+    assert got == {(None, 0): (None, True), (None, 1): (None, True), (1, 0): (None, False), (2, 0): (2, True), (3, 0): (2, False)}
