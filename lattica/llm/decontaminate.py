@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from lattica.llm import common
 
 WINDOW = 10
-#: Bytes of benchmark text that one broadcast may hold.
-SHARD_BYTES = 16 << 20
+#: Bytes of benchmark text of one broadcast.  A window takes 40 bytes there and starts at a word, so at most 20 bytes go with
+#: each of text, and 20 MB for the tables.
+SHARD_BYTES = 6 << 20
 #: Upper ends of the length classes of patterns, in bytes; a class's scan looks at the bytes of its shortest pattern.
 CLASSES = (4, 8, 16, 32, 1 << 62)
 TABLE_BITS = 20
@@ -46,49 +47,40 @@ def normal(text: bytes) -> tuple[bytes, int]:
     return (b" " + b" ".join(words) + b" ") if words else b"", len(words)
 
 
-def windows(text: bytes, words: int) -> set[bytes]:
-    """Distinct windows of an item, each as a byte string between spaces."""
-    every = [w for w in text.translate(NORMAL).split(b" ") if w]
-    if not every:
-        return set()
-    return {b" " + b" ".join(every[i : i + words]) + b" " for i in range(max(1, len(every) - words + 1))}
-
-
 class LengthClass:
-    """Shift table and suffix-hash buckets of patterns of similar lengths."""
+    """Shift table and suffix-hash buckets of patterns of similar lengths: places in the items' common text.
 
-    def __init__(self, patterns: list[bytes]):
-        self.m = m = min(map(len, patterns))
+    A bucket holds the patterns with the same block at the end of their first ``m`` bytes and the same eight bytes in
+    front; it is a run of an array sorted by a hash of both.
+    """
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, numbers: np.ndarray, m: int):
+        self.m = m
         self.block = block = min(8, max(1, m // 2))
-        self.mask = np.uint64((1 << (8 * block)) - 1)
-        heads = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(len(patterns), m)
+        self.mask, self.front = np.uint64((1 << (8 * block)) - 1), np.uint64((1 << (8 * min(8, m))) - 1)
+        words = words_of(text)
         self.shift = np.full(1 << TABLE_BITS, m - block + 1, np.int32)
         for end in range(block, m + 1):
-            blocks = self.blocks(np.pad(heads[:, end - block : end], ((0, 0), (0, 8 - block))))
-            np.minimum.at(self.shift, self.slot(blocks), m - end)
-        last = self.blocks(np.pad(heads[:, m - block :], ((0, 0), (0, 8 - block))))
-        self.buckets: dict[int, list[tuple[bytes, int]]] = {}
-        for key, p in zip(last.tolist(), patterns, strict=True):
-            self.buckets.setdefault(key, []).append(p)
-        self.suffixes = np.array(sorted(self.buckets), np.uint64)
-
-    def blocks(self, rows: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(rows).view(np.uint64).reshape(-1) & self.mask
+            np.minimum.at(self.shift, self.slot(words[starts + (end - block)] & self.mask), m - end)
+        keys = self.key(words[starts + (m - block)] & self.mask, words[starts] & self.front)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers = keys[order], numbers[order]
 
     @staticmethod
     def slot(blocks: np.ndarray) -> np.ndarray:
         return (blocks * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
-    def find(self, text: bytes) -> list[tuple[int, bytes]]:
-        """Every occurrence of the class's patterns in ``text``: (start, pattern)."""
-        n, m, block = len(text), self.m, self.block
-        if n < m:
-            return []
-        padded = np.frombuffer(text + bytes(8), np.uint8)
-        words = np.ndarray((n + 1,), np.uint64, padded, 0, (1,))  # the eight bytes from each position on
+    @staticmethod
+    def key(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return (last * np.uint64(0x9E3779B97F4A7C15)) ^ (first * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def candidates(self, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the ``n`` bytes of ``text`` and patterns whose bucket they fall into."""
+        m, block = self.m, self.block
+        words, hits = words_of(text), []
         lanes = max(1, min(LANES, n // 256))
-        edges = np.linspace(0, n - m + 1, lanes + 1).astype(np.int64)
-        at, stop, hits = edges[:-1].copy(), edges[1:], []
+        edges = np.linspace(0, max(0, n - m + 1), lanes + 1).astype(np.int64)
+        at, stop = edges[:-1].copy(), edges[1:]
         live = at < stop
         at, stop = at[live], stop[live]
         while at.size:
@@ -96,35 +88,66 @@ class LengthClass:
             step = self.shift[self.slot(found)]
             zero = np.flatnonzero(step == 0)
             if zero.size:
-                places = np.searchsorted(self.suffixes, found[zero])
-                places[places == self.suffixes.size] = 0
-                same = self.suffixes[places] == found[zero]
-                hits += zip(at[zero[same]].tolist(), found[zero[same]].tolist(), strict=True)
+                hits.append(at[zero])
                 step[zero] = 1
             at += step
             live = at < stop
             if not live.all():
                 at, stop = at[live], stop[live]
-        return [(start, p) for start, key in hits for p in self.buckets[key] if text.startswith(p, start)]
+        spots = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+        keys = self.key(words[spots + (m - block)] & self.mask, words[spots] & self.front)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        many = high - low
+        offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(spots, many), self.numbers[np.repeat(low, many) + offset]
+
+
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, of an array that ends with eight bytes more."""
+    return np.ndarray((len(text) - 7,), np.uint64, text, 0, (1,))
 
 
 class Patterns:
-    """The search over all windows of some items."""
+    """The search over all windows of some items: their texts in one buffer, and a place, a length and an item per window."""
 
     def __init__(self, items: list[tuple[str, bytes]], words: int = WINDOW):
-        of: dict[bytes, set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        parts, starts, lengths, counts, owners, at = [], [], [], [], [], 0
         for item, text in items:
-            for p in windows(text, words):
-                of.setdefault(p, set()).add(item)
-        self.items = {p: tuple(sorted(x)) for p, x in of.items()}
-        self.length = {p: p.count(b" ") - 1 for p in of}
-        self.classes = []
-        low = 0
+            spelled, n = normal(text)
+            if not n:
+                continue
+            spaces = np.flatnonzero(np.frombuffer(spelled, np.uint8) == 32)
+            size = min(n, words)
+            starts.append(at + spaces[: n - size + 1])
+            lengths.append(spaces[size:] - spaces[: n - size + 1] + 1)
+            counts.append(np.full(n - size + 1, size))
+            owners.append(np.full(n - size + 1, number[item]))
+            parts.append(spelled)
+            at += len(spelled)
+        self.text = b"".join(parts)
+        none = np.zeros(0, np.int64)
+        start, self.length, self.count, self.owner = (np.concatenate(x or [none]) for x in (starts, lengths, counts, owners))
+        self.start, self.length, self.count, self.owner = start.astype(np.int64), self.length.astype(np.int32), self.count.astype(np.int16), self.owner.astype(np.int32)
+        buffer, self.classes, low = np.frombuffer(self.text + bytes(8), np.uint8), [], 0
         for high in CLASSES:
-            if some := [p for p in of if low < len(p) <= high]:
-                self.classes.append(LengthClass(sorted(some)))
+            some = np.flatnonzero((self.length > low) & (self.length <= high))
+            if len(some):
+                self.classes.append(LengthClass(buffer, self.start[some], some.astype(np.int32), int(self.length[some].min())))
             low = high
 
+    def find(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence of a pattern in ``text``: where, and which."""
+        buffer, places, which = np.frombuffer(text + bytes(8), np.uint8), [], []
+        for c in self.classes:
+            for at, p in zip(*(x.tolist() for x in c.candidates(buffer, len(text))), strict=True):
+                begin, n = int(self.start[p]), int(self.length[p])
+                if text[at : at + n] == self.text[begin : begin + n]:
+                    places.append(at)
+                    which.append(p)
+        return np.array(places, np.int64), np.array(which, np.int64)
+
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: its number of words, the hit word ranges (merged, ascending), the items found."""
         made = [normal(t) for t in texts]
@@ -132,16 +155,14 @@ class Patterns:
         joined = b"\n".join(t for t, _ in made)
         starts = np.cumsum([0] + [len(t) + 1 for t, _ in made])
         out = [(n, [], []) for _, n in made]
-        by_text: dict[int, list[tuple[int, bytes]]] = {}
-        hits = [x for c in self.classes for x in c.find(joined)]
-        owners = np.searchsorted(starts, np.array([h[0] for h in hits], np.int64), side="right") - 1
-        for owner, (start, p) in zip(owners.tolist(), hits, strict=True):
-            by_text.setdefault(owner, []).append((start - int(starts[owner]), p))
-        for k, found in by_text.items():
+        at, which = self.find(joined)
+        owners = np.searchsorted(starts, at, side="right") - 1
+        for k in np.unique(owners).tolist():
+            mine = owners == k
             spaces = np.flatnonzero(np.frombuffer(made[k][0], np.uint8) == 32)
-            first = np.searchsorted(spaces, np.array([s for s, _ in found], np.int64))
-            ranges = sorted((int(i), int(i) + self.length[p]) for i, (_, p) in zip(first, found, strict=True))
-            out[k] = (made[k][1], merge(ranges), sorted(set().union(*(self.items[p] for _, p in found))))
+            first = np.searchsorted(spaces, at[mine] - int(starts[k]))
+            ranges = zip(first.tolist(), (first + self.count[which[mine]]).tolist(), strict=True)
+            out[k] = (made[k][1], merge(list(ranges)), [self.names[x] for x in np.unique(self.owner[which[mine]]).tolist()])
         return out
 
 
@@ -183,6 +204,9 @@ def find(docs: DataFrame, items: DataFrame, words: int = WINDOW, key: str = "doc
             search = patterns.value
             for batch in common.text_slices(batches, "text", 4 << 20):
                 got = search.search(common.text_bytes(batch, "text"))
+                if shard:  # the first pass has a row for every document
+                    rows_ = pa.array([k for k, (_, s, _) in enumerate(got) if s], pa.int64())
+                    batch, got = batch.take(rows_), [g for g in got if g[1]]
                 spans = [[{"start": a, "stop": b} for a, b in s] for _, s, _ in got]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array([n for n, _, _ in got], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([x for _, _, x in got], pa.list_(pa.string()))],

@@ -8,17 +8,19 @@ the score's slices.
 The top rows are selected from the most significant slice downward; rows that tie on every slice at the
 boundary are resolved by their ids.  Every row is indexed and every score exact.
 
-Queries come in blocks against the index's blocks, a few bytes of results each, so neither side is ever
-whole in one place.
+The index streams past broadcast queries, which come in shards of a bounded number of bytes, one pass for each; every task
+keeps its best rows for each query, so only these are shuffled.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; vectors are
 compared with those of their own length; an empty vector scores 0 with others of length 0; rows that repeat
 a vec_id are rows of their own, and a query skips all rows of its id; rows with a null id take no part.
-Components beyond 2^24 in magnitude after scaling are an error: their sums could pass a long.
+Vectors with a component beyond 2^24 after scaling are kept in blocks of their own, whose numbers are Python's; a score
+beyond a long counts as the nearest long.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +31,24 @@ from pyspark.sql import functions as F
 from lattica.llm import common
 
 SCALE = 256
-#: Rows of an index block, and queries of a query block.
-BLOCK_ROWS, QUERY_ROWS = 1 << 15, 1 << 8
-MOST = 1 << 24
+#: Rows of an index block, and bytes of queries of a broadcast.
+BLOCK_ROWS, QUERY_BYTES = 1 << 14, 16 << 20
+MOST, LONG = 1 << 24, (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows that take part: ``id`` and ``x``, the integer components."""
+    """Rows that take part: ``id`` and ``x``, the components."""
     fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & F.forall(F.col(vector), lambda v: F.coalesce(~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")), F.lit(False)))
-    ints = F.transform(F.col(vector), lambda v: F.floor(v.cast("double") * SCALE).cast("long"))
-    rows = vectors.where(fine).select(F.col(key).cast("long").alias("id"), ints.alias("x"))
-    large = F.exists("x", lambda v: F.abs(v) > MOST)
-    return rows.withColumn("x", F.when(large, F.raise_error(F.lit("a component is too large for the index"))).otherwise(F.col("x")))
+    return vectors.where(fine).select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda v: v.cast("double")).alias("x"))
+
+
+def integers(x: np.ndarray) -> np.ndarray:
+    """Components quantised: 64-bit integers, or Python's where one is large."""
+    scaled = x * SCALE  # a power of two: exact, or infinite for a component that is nearly so
+    if np.isfinite(scaled).all():
+        scaled = np.floor(scaled)
+        return scaled.astype(np.int64) if not scaled.size or np.abs(scaled).max() <= MOST else np.array([[int(v) for v in row] for row in scaled.tolist()], object).reshape(x.shape)
+    return np.array([[int(v) * SCALE if abs(v) > 1 << 53 else int(np.floor(v * SCALE)) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
 def slices_of(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
@@ -138,7 +146,7 @@ def select_top(slices: list[np.ndarray], among: np.ndarray, k: int, ids: np.ndar
 class Block:
     """A block of the index, ready to answer queries."""
 
-    def __init__(self, ids: np.ndarray, low: np.ndarray, slices: list[tuple[int, int, bytes]]):
+    def __init__(self, ids: np.ndarray, low: list[int], slices: list[tuple[int, int, bytes]]):
         self.ids, self.low = ids, low
         self.words = -(-len(ids) // 64)
         self.of: dict[int, list[tuple[int, int]]] = {}
@@ -163,22 +171,22 @@ class Block:
             among = among & ~pad(np.packbits(mine))
         rows = select_top(scores, among, k, self.ids)
         # What every row of the block scores for the attributes' least values is added back.
-        base = int(query @ self.low)
-        total = np.zeros(len(rows), np.int64)
-        place, mask = rows >> 3, 7 - (rows & 7)
+        base = sum(a * b for a, b in zip(query.tolist(), self.low, strict=True))
+        total = [base] * len(rows)
         for i, s in enumerate(scores):
-            bit = (s.view(np.uint8)[place] >> mask.astype(np.uint8)) & 1
-            total += bit.astype(np.int64) * (-(1 << i) if i == len(scores) - 1 else 1 << i)
-        return [(int(self.ids[r]), int(t) + base) for r, t in zip(rows, total, strict=True)]
+            bits = (s.view(np.uint8)[rows >> 3] >> (7 - (rows & 7)).astype(np.uint8)) & 1
+            weight = -(1 << i) if i == len(scores) - 1 else 1 << i
+            total = [t + weight if bit else t for t, bit in zip(total, bits.tolist(), strict=True)]
+        return [(int(self.ids[r]), t) for r, t in zip(rows, total, strict=True)]
 
 
-INDEX = "dim int, block string, ids binary, low binary, slices array<struct<d:int,bit:int,bitmap:binary>>"
+INDEX = "dim int, block string, ids binary, low string, slices array<struct<d:int,bit:int,bitmap:binary>>"
 SLICES = pa.list_(pa.struct([("d", pa.int32()), ("bit", pa.int32()), ("bitmap", pa.binary())]))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of ``most`` rows of one length at most; the rest of a partition comes last."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(ids, integer vectors) of ``most`` rows at most, of one length and with or without large components; a partition's rest comes last."""
+    held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         ids = batch.column("id").to_numpy()
         x = batch.column("x")
@@ -186,17 +194,21 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         flat, offsets = x.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(dims)))
         for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
-            got = flat[(offsets[rows][:, None] + np.arange(dim)).astype(np.int64)] if dim else np.zeros((len(rows), 0), np.int64)
-            held.setdefault(dim, []).append((ids[rows], got))
-            if sum(len(i) for i, _ in held[dim]) >= most:
-                i, v = (np.concatenate(y) for y in zip(*held.pop(dim), strict=True))
-                while len(i) >= most:
-                    yield i[:most], v[:most]
-                    i, v = i[most:], v[most:]
-                if len(i):
-                    held[dim] = [(i, v)]
+            got = flat[(offsets[rows][:, None] + np.arange(dim)).astype(np.int64)] if dim else np.zeros((len(rows), 0))
+            large = (np.abs(got) * SCALE > MOST).any(axis=1)
+            for kind in np.unique(large).tolist():
+                some = large == kind
+                held.setdefault((dim, kind), []).append((ids[rows[some]], got[some]))
+                if sum(len(i) for i, _ in held[dim, kind]) >= most:
+                    i, v = (np.concatenate(y) for y in zip(*held.pop((dim, kind)), strict=True))
+                    while len(i) >= most:
+                        yield i[:most], integers(v[:most])
+                        i, v = i[most:], v[most:]
+                    if len(i):
+                        held[dim, kind] = [(i, v)]
     for parts in held.values():
-        yield tuple(np.concatenate(y) for y in zip(*parts, strict=True))
+        i, v = (np.concatenate(y) for y in zip(*parts, strict=True))
+        yield i, integers(v)
 
 
 def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -205,8 +217,8 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", bl
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _runs(batches, block_rows):
             low, slices = slices_of(x) if x.shape[1] else (np.zeros(0, np.int64), [])
-            row = {"dim": x.shape[1], "block": str(ids[0]), "ids": ids.astype(np.int64).tobytes(), "low": low.astype(np.int64).tobytes(), "slices": [{"d": d, "bit": b, "bitmap": m.tobytes()} for d, b, m in slices]}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("block", pa.string()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", SLICES)]))
+            row = {"dim": x.shape[1], "block": str(ids[0]), "ids": ids.astype(np.int64).tobytes(), "low": json.dumps(low.tolist()), "slices": [{"d": d, "bit": b, "bitmap": m.tobytes()} for d, b, m in slices]}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("block", pa.string()), ("ids", pa.binary()), ("low", pa.string()), ("slices", SLICES)]))
 
     rows = quantised(vectors, key, vector)
     n = rows.count()
@@ -214,31 +226,40 @@ def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", bl
     return common.materialize(rows.mapInArrow(pack, INDEX), "bit-slices")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The ``k`` highest scores of each query: query_id, rank, vec_id, score."""
-
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _runs(batches, query_rows):
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([x.shape[1]], pa.int32()), "q_ids": pa.array([ids.astype(np.int64).tobytes()]), "q_x": pa.array([x.astype(np.int64).tobytes()])})
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                block = Block(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64), [(s["d"], s["bit"], s["bitmap"]) for s in row["slices"]])
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                x = np.frombuffer(row["q_x"], np.int64).reshape(len(q_ids), row["dim"])
-                out = [(n, q, i, s) for n, q in enumerate(q_ids.tolist()) for i, s in block.top(x[n], q, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)] + [pa.array([row["q_key"]] * len(out), pa.string())], names=["n", "query_id", "vec_id", "score", "q_key"])
-
-    blocks = common.materialize(quantised(queries, key, vector).coalesce(64).mapInArrow(bundle, "dim int, q_ids binary, q_x binary"), "query-blocks")
-    blocks = blocks.withColumn("q_key", F.sha2(F.concat("q_ids", "q_x"), 256))
-    # Blocks of queries against blocks of the index: a row per pair of blocks of one length.
-    parts = index.count() * blocks.count()
-    pairs = index.join(blocks, "dim").repartition(max(1, min(parts, 1 << 16)))
-    found = pairs.select("dim", "ids", "low", "slices", "q_ids", "q_x", "q_key").mapInArrow(answer, "n long, query_id long, vec_id long, score long, q_key string")
-    order = Window.partitionBy("q_key", "n").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = index.sparkSession
+    asked = quantised(queries, key, vector).withColumn("bytes", 8 * F.size("x") + 64)
+    total = asked.agg(F.sum("bytes")).first()[0] or 0
+    shards = max(1, -(-total // query_bytes))
+    asked = common.materialize(asked.withColumns({"n": F.monotonically_increasing_id()}).withColumn("shard", F.pmod(F.xxhash64("n"), F.lit(shards))), "queries")
+    found = []
+    for shard in range(shards):  # a pass over the index for each QUERY_BYTES of queries
+        rows = asked.where(F.col("shard") == shard).select("n", "id", "x").toArrow()
+        vectors = [(n, q, integers(np.array([x]).reshape(1, -1))[0]) for n, q, x in zip(*(rows.column(c).to_pylist() for c in ("n", "id", "x")), strict=True)]
+        held = spark.sparkContext.broadcast(vectors)
+
+        def answer(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    row = batch.slice(at, 1).to_pylist()[0]
+                    block = Block(np.frombuffer(row["ids"], np.int64), json.loads(row["low"]), [(s["d"], s["bit"], s["bitmap"]) for s in row["slices"]])
+                    for n, q, x in held.value:
+                        if len(x) == row["dim"]:
+                            got = best.get(n, (q, []))[1] + block.top(x, q, k)
+                            best[n] = (q, sorted(got, key=lambda r: (-r[1], r[0]))[:k])
+            out = [(n, q, i, max(-LONG - 1, min(LONG, s))) for n, (q, rows) in best.items() for i, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["n", "query_id", "vec_id", "score"])
+
+        part = index.mapInArrow(answer, "n long, query_id long, vec_id long, score long")
+        found.append(common.materialize(part, "nearest"))
+        held.unpersist()
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionAll(part)
+    order = Window.partitionBy("n").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,10 +113,10 @@ def test_signatures_of_linked_sets_meet():
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
-    rows += [(200, rows[50][1]), (201, rows[50][1]), (202, None), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6), (205, [1.0, 2.0]), (250, [1.0, 3.0]), (None, [0.0] * 6)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    rows += [(200, rows[50][1]), (201, rows[50][1]), (202, None), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6), (205, [1.0, 2.0]), (250, [1.0, 3.0]), (None, [0.0] * 6), (206, [70000.0, -1e9, 0.5, 1e12, 0.0, 1.0]), (300, [1e9, 1.0, 2e5, 0.0, -3.0, 0.25])]
+    table = spark.createDataFrame([(*r, "k", 1) for r in rows], "vec_id long, embedding array<float>, id string, x int").repartition(3)
     got = defaultdict(list)
-    for r in topk.search(topk.build(table, block_rows=32), table.where("vec_id % 50 = 0"), 5, query_rows=2).collect():
+    for r in topk.search(topk.build(table, block_rows=32), table.where("vec_id % 50 = 0"), 5, query_bytes=300).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     ints = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in v] for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
     for q in [i for i in ints if i % 50 == 0]:
@@ -463,3 +463,15 @@ def test_fuzzy_lines_of_odd_rows(spark):
     table = spark.createDataFrame([(*r, "k", 7) for r in rows], "doc_id long, text string, kind string, h1 int").repartition(2)
     got = {(r["doc"], r["line_no"]): (r["class_doc"], r["kept"]) for r in lines.components(table).collect()}
     assert got == {(None, 0): (None, True), (None, 1): (None, True), (1, 0): (None, False), (2, 0): (2, True), (3, 0): (2, False)}
+
+
+def test_patterns_are_small_beside_their_text():
+    import pickle
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(5000)]
+    items = [(str(k), " ".join(rng.choice(words, 400)).encode()) for k in range(500)]
+    size = sum(len(t) for _, t in items)
+    made = decontaminate.Patterns(items)
+    assert len(pickle.dumps(made)) < 20 * size + (21 << 20)
+    assert sorted(x for _, _, found in made.search([items[7][1], b"nothing " * 30]) for x in found) == ["7"]
