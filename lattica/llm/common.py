@@ -3,6 +3,8 @@ shards, committed binary files and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,8 +76,13 @@ def held(key, make: Callable):
 
 
 def release() -> None:
-    """Drop what the worker keeps: tasks that need their memory for other things begin with this."""
+    """Drop what the worker keeps, and give its memory back: tasks that need it for other things begin with this."""
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ WORDS, PERCENT = 4, 85
 TOGETHER = 3
 #: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
 #: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles).
-BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 32 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
+BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 8 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
 #: Second-level partitions; first-level ones beyond those that linked sets need to agree on one, and one more for 64 allowed
 #: differences: few sets have empty parts in more.
 PARTS, SPARE = 3, 3
@@ -168,7 +168,7 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", 2 << 20):
             ids = batch.column("doc").to_pylist()
             sets = shingle_sets(common.text_bytes(batch, "text"), words)
             rows, signs, owners = [], [], []
@@ -203,7 +203,9 @@ def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     signs.append(data[: len(data) // 2].view(U).copy())
                     owners.append(data[len(data) // 2 :].copy())
         if signs:
-            yield of_pairs(pairs_of(np.concatenate(signs), np.concatenate(owners))[2], 1)
+            whole, owner = np.concatenate(signs), np.concatenate(owners)
+            signs, owners = [], []
+            yield of_pairs(pairs_of(whole, owner)[2], 1)
 
     packed = docs.mapInArrow(sign, PACKED).repartitionById(buckets, "bucket")
     return common.materialize(packed.mapInArrow(lead, FOUND), "part-enum")
@@ -247,7 +249,8 @@ def verify(docs: DataFrame, pairs: DataFrame, sets_of: Callable, percent: int) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mains = None, []
-        for batch in common.text_slices(batches, "text"):
+        common.release()
+        for batch in common.text_slices(batches, "text", 2 << 20):
             out = []
             sets = sets_of(common.text_bytes(batch, "text"))
             for hub, copy, doc, kind, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "copy", "doc", "kind")), sets, strict=True):

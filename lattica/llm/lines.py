@@ -38,7 +38,7 @@ from lattica.llm import common, jaccard
 #: Characters of a shingle; per cent of similarity at which lines link; bands, and minima of each.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 12, 4
 #: Bytes of text for each bucket of keys, and of a slice of documents; lines that are signed at once (at most 1 << 18).
-BUCKET_BYTES, SLICE_BYTES, SIGNED = 32 << 20, 2 << 20, 1 << 16
+BUCKET_BYTES, SLICE_BYTES, SIGNED = 16 << 20, 2 << 20, 1 << 16
 U = np.uint64
 
 

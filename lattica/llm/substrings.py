@@ -246,14 +246,11 @@ def _shared_names(slices: DataFrame, length: int, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(name)) - 1
             name, low, high = name[first], doc[first], doc[last]
-            order, edges = _cut(((name >> U(17)) % U(buckets)).astype(np.int64), buckets)
             # Names that two documents of the slice share are marked.
             mark = (low != high).astype(np.uint8)
-            for b in range(buckets):
-                some = order[edges[b] : edges[b + 1]]
-                if len(some):
-                    blob = name[some].tobytes() + mark[some].tobytes()
-                    yield pa.RecordBatch.from_pylist([{"slice": row["slice"], "bucket": b, "n": len(some), "blob": blob}], schema=PACKED_ARROW)
+            for b, some in common.by_value(((name >> U(17)) % U(buckets)).astype(np.int64)):
+                blob = name[some].tobytes() + mark[some].tobytes()
+                yield pa.RecordBatch.from_pylist([{"slice": row["slice"], "bucket": b, "n": len(some), "blob": blob}], schema=PACKED_ARROW)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices_, names, owners, sets = [], [], [], []
@@ -304,12 +301,9 @@ def _repeated_prefixes(slices: DataFrame, length: int, buckets: int) -> DataFram
             number, name, rel = np.array(number, np.uint32), np.array(name, U), np.array(rel, np.uint8)
             doc = np.array([least[k] for k in number.tolist()], np.int64)
             size = np.array([len(c) for c in content], np.uint16)
-            order, edges = _cut(((name >> U(17)) % U(buckets)).astype(np.int64), buckets)
-            for b in range(buckets):
-                some = order[edges[b] : edges[b + 1]]
-                if len(some):
-                    blob = b"".join(x[some].tobytes() for x in (doc, number, size, rel)) + b"".join(content[k] for k in some.tolist())
-                    yield pa.RecordBatch.from_pylist([{"slice": row["slice"], "bucket": b, "n": len(some), "blob": _squeeze(blob)}], schema=PACKED_ARROW)
+            for b, some in common.by_value(((name >> U(17)) % U(buckets)).astype(np.int64)):
+                blob = b"".join(x[some].tobytes() for x in (doc, number, size, rel)) + b"".join(content[k] for k in some.tolist())
+                yield pa.RecordBatch.from_pylist([{"slice": row["slice"], "bucket": b, "n": len(some), "blob": _squeeze(blob)}], schema=PACKED_ARROW)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices_, owners, docs, numbers, which = [], [], [], [], []

@@ -124,7 +124,7 @@ def with_features(docs: DataFrame, text: str, lexicon: dict[str, float], to: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = common.held(mark, lambda: Kinds(shared.value))
-        for batch in common.text_slices(batches, text):
+        for batch in common.text_slices(batches, text, 2 << 20):
             got = kinds.features(common.text_bytes(batch, text))
             column = pa.FixedSizeListArray.from_arrays(pa.array(got.reshape(-1)), len(NAMES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, to])
@@ -146,7 +146,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter(), Counter()]
-        for batch in common.text_slices(batches, "text"):
+        for batch in common.text_slices(batches, "text", 2 << 20):
             for label, data in zip(batch.column("label").to_pylist(), common.text_bytes(batch, "text"), strict=True):
                 plain = {w.lower().strip(EDGES) for w in data.decode().split()}
                 counts[label > 0].update({t for w in plain for t in tokens(w)})
