@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.queries import core, curation, more
+from lattica.queries import core, curation, extra, more
 
-QUERIES: dict = core.QUERIES | more.QUERIES | curation.QUERIES
-ORACLE_SQL: dict = core.ORACLE_SQL | more.ORACLE_SQL | curation.ORACLE_SQL
+QUERIES: dict = core.QUERIES | more.QUERIES | curation.QUERIES | extra.QUERIES
+ORACLE_SQL: dict = core.ORACLE_SQL | more.ORACLE_SQL | curation.ORACLE_SQL | extra.ORACLE_SQL

@@ -41,3 +41,17 @@ def block(z: Column) -> Column:
 def half_steps(x: Column) -> Column:
     """A value rounded to the next half, ties to even, with one decimal."""
     return F.format_number(F.bround(x * 2, 0) / 2, 1)
+
+
+def canonical_key(text: Column, mirror: Column) -> Column:
+    """The smaller of a canonical text and that of its mirror image."""
+    return F.least(text, mirror)
+
+
+def subset_of(text: Column, prefixes: dict[str, str]) -> Column:
+    """The subset that a text's prefix stands for; a text with none of the prefixes is an error."""
+    out = None
+    for prefix, name in prefixes.items():
+        out = F.when(text.startswith(prefix), F.lit(name)) if out is None else out.when(text.startswith(prefix), F.lit(name))
+    wrong = F.raise_error(F.concat(F.lit("no subset for "), text)).cast("string")
+    return wrong if out is None else out.otherwise(wrong)

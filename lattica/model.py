@@ -87,6 +87,12 @@ class Model:
             value = "shrunk"
         return predict.back_off(self.labels(self.config, graph), classes, self.whole, self.config.minimum_support, value)
 
+    def predict_loo(self, graph: Graph) -> DataFrame:
+        """Predictions for the training nodes, each left out of its classes; only plain and count-shrunk models have them."""
+        if not estimate.supports_loo(self.config.shrinkage):
+            raise ValueError(f"no leave-one-out prediction with {self.config.shrinkage}")
+        return predict.leave_one_out(self.labels(self.config, graph), self.classes, graph.nodes, self.whole, self.config.minimum_support)
+
     def save(self, path: str) -> None:
         """Class tables by level, the global row, and the configuration: plain Parquet and JSON, written by Spark."""
         self.classes.write.partitionBy("level").parquet(f"{path}/classes")

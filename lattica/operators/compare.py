@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import distributions as dist
+from lattica.operators import order
+from lattica.operators.rounds import settle
 
 
 def unmatched(scores: DataFrame) -> DataFrame:
@@ -79,3 +81,23 @@ def select_depth(curve_: DataFrame, tolerance: float = 0.005) -> DataFrame:
     """The shallowest depth within ``tolerance`` of the best mean: one row."""
     best = curve_.agg(F.min("mean").alias("best"))
     return curve_.crossJoin(F.broadcast(best)).where(F.col("mean") <= F.col("best") * (1 + tolerance)).agg(F.min("depth").alias("depth"))  # one row
+
+
+def interval(k: int, mean: float, se: float, level: float = 0.95) -> tuple[float, float]:
+    """The t interval of a mean over ``k`` samples with the (corrected) error ``se``."""
+    q = dist.t_quantile(0.5 + level / 2, k - 1)
+    return mean - q * se, mean + q * se
+
+
+def best_value(curve_: DataFrame, larger: bool = False) -> DataFrame:
+    """The best mean over depths, and the shallowest depth that has it: one row."""
+    key = F.struct((F.col("mean") if larger else -F.col("mean")).alias("m"), (-F.col("depth")).alias("d"))
+    return curve_.agg(F.max_by("mean", key).alias("mean"), F.max_by("depth", key).alias("depth"))
+
+
+def axis_order(labels: DataFrame, label: str) -> DataFrame:
+    """``label`` and its place: by number if all labels are numbers, else by text."""
+    once = labels.select(label).distinct().withColumn("_x", F.expr(f"try_cast(`{label}` AS double)"))
+    text = once.agg(F.max(F.col("_x").isNull().cast("int")).alias("_text"))
+    placed = once.crossJoin(F.broadcast(text)).withColumn("_key", F.when(F.col("_text") == 0, F.col("_x")))  # one row
+    return order.numbered(settle(placed), [F.col("_key"), F.col(label)], "place").select(label, "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.rounds import settle
+
 #: Bond length, 1-3 contact and longer contact as ratios of the sum of radii.
 LONG_BOND, CLOSE_13, CLOSE = 1.25, 1.05, 1.15
 
@@ -59,9 +61,34 @@ def robust_line(rows: DataFrame, group: str, x: str, y: str, rounds: int = 4, wi
     used, fit = data, None
     for k in range(rounds):
         slope = F.covar_pop("x", "y") / F.var_pop("x")
-        fit = used.groupBy("g").agg(slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"), F.count("*").alias("n_used")).persist()
+        fit = settle(used.groupBy("g").agg(slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"), F.count("*").alias("n_used")))
         if k + 1 < rounds:
-            off = used.join(fit, "g").select("g", "x", "y", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("off")).persist()
+            off = used.join(fit, "g").select("g", "x", "y", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("off"))
             mad = off.groupBy("g").agg((F.median("off") * 1.4826).alias("spread"))
-            used = off.join(mad, "g").where(F.col("off") <= width * F.col("spread")).select("g", "x", "y").persist()
+            used = settle(off.join(mad, "g").where(F.col("off") <= width * F.col("spread")).select("g", "x", "y"))
     return fit.withColumnRenamed("g", group)
+
+
+def residual_scores(rows: DataFrame, fit: DataFrame, group: str, x: str, y: str, record: str) -> DataFrame:
+    """``record``, n, rms of residuals from each group's line, over 1.4826 times the group's median absolute residual."""
+    off = rows.join(fit, group).withColumn("_off", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
+    spread = off.groupBy(group).agg((1.4826 * F.percentile_approx(F.abs("_off"), 0.5, 1_000_000)).alias("_spread"))
+    z = F.col("_off") / F.col("_spread")
+    return off.join(spread, group).groupBy(record).agg(F.count("*").alias("n"), F.sqrt(F.avg(z * z)).alias("rms"))
+
+
+def text_ordinals(rows: DataFrame, group: str, index: str, to: str) -> DataFrame:
+    """``rows`` with the place of ``index`` among its group's indexes in the order of their texts."""
+    return rows.withColumn(to, F.row_number().over(Window.partitionBy(group).orderBy(F.col(index).cast("string"))) - 1)
+
+
+def stale(runs: DataFrame, sidecars: DataFrame, key: str, made: str, of: str) -> DataFrame:
+    """Runs without a complete sidecar that is as new as they are: ``key``, and whether it is missing."""
+    newest = sidecars.groupBy(key).agg(F.max(of).alias("_of"))
+    return runs.join(newest, key, "left").where(F.col("_of").isNull() | (F.col("_of") < F.col(made))).select(key, F.col("_of").isNull().alias("missing"))
+
+
+def verdict(perceived: Column, reported: Column) -> Column:
+    """How two sets of elements compare: same, fewer, more, other, or none on both sides."""
+    only_p, only_r = F.size(F.array_except(perceived, reported)), F.size(F.array_except(reported, perceived))
+    return F.when((F.size(perceived) == 0) & (F.size(reported) == 0), "none").when((only_p == 0) & (only_r == 0), "same").when(only_p == 0, "fewer").when(only_r == 0, "more").otherwise("other")

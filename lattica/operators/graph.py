@@ -72,6 +72,17 @@ def within_hops(graph: Graph, marked: DataFrame, hops: int) -> DataFrame:
     return out.groupBy("node_id").agg(F.min("distance").alias("distance"))
 
 
+def subset_masks(graph: Graph, marks: dict[str, DataFrame]) -> DataFrame:
+    """node_id, mask: two bits for each set of marked nodes, in order: at most one edge away, at most two."""
+    out = None
+    for k, marked in enumerate(marks.values()):
+        near = within_hops(graph, marked, 2)
+        bits = near.select("node_id", (F.when(F.col("distance") <= 1, 3).otherwise(2) * (4**k)).cast("long").alias("bits"))
+        out = bits if out is None else out.unionAll(bits)
+    sums = out.groupBy("node_id").agg(F.bit_or("bits").alias("mask"))
+    return graph.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("mask", F.lit(0)).alias("mask"))
+
+
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
     """Codes of a column's distinct values in order: (value, code); one more code, the number of values, means unknown."""
     values = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()

@@ -78,3 +78,47 @@ def fold_leaves(nodes: DataFrame, edges: DataFrame, foldable: Column, y: str) ->
     sums = heavy.groupBy(F.col("to").alias("node_id")).agg(F.sum("_add").alias("_add"), F.count("*").alias("n_folded"))
     kept = nodes.join(heavy.select("node_id"), "node_id", "left_anti").join(sums, "node_id", "left")
     return kept.withColumn(y, F.col(y) + F.coalesce("_add", F.lit(0.0))).withColumn("n_folded", F.coalesce("n_folded", F.lit(0))).drop("_add")
+
+
+def drawn_pairs(rows: DataFrame, key: str, order: list[str], row: str, value: str, most: int) -> DataFrame:
+    """At most ``most`` unordered pairs of rows of each key, spread evenly over all of its pairs: key, a, b, d.
+
+    Pairs are numbered, not made: of a key with more than ``most``, one is drawn from each of ``most`` equal ranges of
+    numbers, and only the rows that it names are joined.
+    """
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("long"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_pairs") / most))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_pairs"), F.lit(most)) - 1))
+    drawn = sizes.withColumn("_step", step).select(key, "_step", number.alias("_i")).withColumn("_t", F.col("_i") * F.col("_step") + F.pmod(F.col("_i") * 2654435761, F.col("_step")))
+    high = F.floor((1 + F.sqrt(1 + 8 * F.col("_t").cast("double"))) / 2)
+    drawn = drawn.withColumn("_b", high).withColumn("_a", (F.col("_t") - F.col("_b") * (F.col("_b") - 1) / 2).cast("long"))
+    side = lambda a: placed.select(key, F.col("_place").cast("long").alias(f"_{a}"), F.col(row).alias(a), F.col(value).alias(f"_v{a}"))
+    out = drawn.join(side("a"), [key, "_a"]).join(side("b"), [key, "_b"])
+    return out.select(key, "a", "b", F.abs(F.col("_va") - F.col("_vb")).alias("d"))
+
+
+def triangle_bounds(sides: DataFrame) -> DataFrame:
+    """n, q999 and longest of the shortest sides of :func:`triangles`: one row."""
+    return sides.agg(F.count("*").alias("n"), F.percentile("d1", 0.999).alias("q999"), F.max("d1").alias("longest"))
+
+
+def size_report(groups: DataFrame, size: str, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """How group sizes are distributed: n, singles, largest, and percentiles: one row."""
+    return groups.agg(F.count("*").alias("n"), F.count(F.when(F.col(size) == 1, 1)).alias("singles"), F.max(size).alias("largest"), *(F.percentile(size, q).alias(f"p{round(100 * q)}") for q in at))
+
+
+def in_several(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """Keys whose rows are in more than one group: none, where groups keep keys whole."""
+    return rows.select(key, group).distinct().groupBy(key).agg(F.count("*").alias("n_groups")).where("n_groups > 1")
+
+
+def sorted_discrepancy(x: Column, y: Column) -> Column:
+    """The largest difference of two arrays' values in ascending order."""
+    return F.array_max(F.zip_with(F.sort_array(x), F.sort_array(y), lambda a, b: F.abs(a - b)))
+
+
+def separate(rows: DataFrame, subset: Column, keys: list[str], member: str, names: list[str]) -> dict[str, DataFrame]:
+    """The rows of each subset, with n_rows and n_members of their groups within it."""
+    marked = rows.withColumn("_subset", subset)
+    return {name: group_counts(marked.where(F.col("_subset") == name).drop("_subset"), keys, member) for name in names}

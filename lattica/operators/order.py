@@ -16,14 +16,14 @@ def _ranged(rows: DataFrame, by: list[str | Column], weight: Column) -> tuple[Da
     out = settle(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     sums = out.groupBy("_range").agg(F.sum(weight).alias("_sum"))
     before = F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")  # a row per range
-    return out, sums.select("_range", before.alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
+    return out, sums.select("_range", before.alias("_ahead"), F.sum("_sum").over(Window.partitionBy()).alias("_whole"))
 
 
 def numbered(rows: DataFrame, by: list[str | Column], to: str) -> DataFrame:
     """``rows`` with their place, from 0 on, in the order ``by``, which must tell rows apart."""
     out, offsets = _ranged(rows, by, F.lit(1).cast("long"))
     out = out.withColumn(to, F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1)
-    return out.join(F.broadcast(offsets), "_range").withColumn(to, F.col(to) + F.col("_before")).drop("_range", "_before", "_total")
+    return out.join(F.broadcast(offsets), "_range").withColumn(to, F.col(to) + F.col("_ahead")).drop("_range", "_ahead", "_whole")
 
 
 def running(rows: DataFrame, by: list[str | Column], weight: str, before: str, total: str) -> DataFrame:
@@ -31,4 +31,4 @@ def running(rows: DataFrame, by: list[str | Column], weight: str, before: str, t
     out, offsets = _ranged(rows, by, F.col(weight))
     inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(*by)) - F.col(weight)
     out = out.withColumn(before, inside).join(F.broadcast(offsets), "_range")
-    return out.withColumn(before, F.col(before) + F.col("_before")).withColumnRenamed("_total", total).drop("_range", "_before")
+    return out.withColumn(before, F.col(before) + F.col("_ahead")).withColumnRenamed("_whole", total).drop("_range", "_ahead")

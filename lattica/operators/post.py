@@ -64,3 +64,12 @@ def weighted_quantiles(rows: DataFrame, x: str, weight: str, at: list[float]) ->
     )
     inside = F.col("lo.x") + (F.col("hi.x") - F.col("lo.x")) * (F.col("q") - F.col("lo.p")) / (F.col("hi.p") - F.col("lo.p"))
     return near.select("q", F.when(F.col("lo").isNull(), F.col("hi.x")).when(F.col("hi").isNull(), F.col("lo.x")).otherwise(inside).alias("value"))
+
+
+def bundle(columns: dict[str, str], true: str) -> list[Column]:
+    """Aggregates rmse and mae of several predictions of one target, named by their prefixes."""
+    out = []
+    for prefix, column in columns.items():
+        d = F.col(column) - F.col(true)
+        out += [F.sqrt(F.avg(d * d)).alias(f"{prefix}_rmse"), F.avg(F.abs(d)).alias(f"{prefix}_mae")]
+    return out

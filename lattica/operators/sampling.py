@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import order
+from lattica.operators.rounds import settle
 
 MULTIPLIER, MODULUS = 2654435761, 1 << 32
 
@@ -52,3 +53,19 @@ def by_cumulative_size(rows: DataFrame, by: str, size: str, parts: int) -> DataF
     """``rows`` with ``part``: cut where the running size passes a multiple of its total over ``parts``."""
     out = order.running(rows, [by], size, "_before", "_total")
     return out.withColumn("part", F.least(F.floor(F.col("_before") * parts / F.col("_total")), F.lit(parts - 1))).drop("_before", "_total")
+
+
+def sequential_fill(clusters: DataFrame, by: list[str], size: str, train: float, val: float) -> DataFrame:
+    """``clusters`` with ``split``: in the order ``by`` to train, then val, then test.
+
+    A split ends before the first cluster that would take it past its share of all rows; what is left is test.
+    """
+    rows = settle(order.running(clusters, by, size, "_before", "_total"))
+    total = rows.agg(F.max("_total")).first()[0] or 0
+    after = F.col("_before") + F.col(size)
+    first = rows.where(after > train * total).agg(F.min("_before")).first()[0]
+    if first is None:
+        return rows.withColumn("split", F.lit("train")).drop("_before", "_total")
+    second = rows.where((F.col("_before") >= first) & (after - first > val * total)).agg(F.min("_before")).first()[0]
+    split = F.when(F.col("_before") < first, "train").when(F.lit(second is None) | (F.col("_before") < F.lit(second if second is not None else 0)), "val").otherwise("test")
+    return rows.withColumn("split", split).drop("_before", "_total")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +183,51 @@ def _turns(goals: list[float], filled: list[int], size: int, left: int) -> tuple
     return (turn, times) if times > 1 else (turn[:1], 1)
 
 
+def stratified_fill(clusters: DataFrame, strata: list[str], shares: list[tuple[str, float]]) -> DataFrame:
+    """cluster, split: largest clusters first, each into the split that lacks most of the cluster's strata.
+
+    ``clusters``: cluster, and a column with the number of its rows in each of ``strata``.  What a split lacks of a stratum
+    is weighted by the cluster's share in it; clusters of one composition are dealt at once, as in :func:`fill_splits`.
+    """
+    size = reduce(lambda a, b: a + b, (F.col(x) for x in strata))
+    kinds = clusters.groupBy(*strata).agg(F.count("*").alias("n")).orderBy(F.desc(size), *(F.desc(x) for x in strata)).collect()  # distinct compositions
+    totals = [sum(r[x] * r["n"] for r in kinds) for x in strata]
+    filled, runs, place = [[0] * len(strata) for _ in shares], [], 0
+    for r in kinds:
+        weight = [r[x] / sum(r[y] for y in strata) for x in strata]
+        step = sum(w * r[x] / t for w, x, t in zip(weight, strata, totals, strict=True) if t)
+        left = r["n"]
+        while left:
+            lack = [sum(w * (share - f / t) for w, f, t in zip(weight, filled[k], totals, strict=True) if t) for k, (_, share) in enumerate(shares)]
+            turn, times = _turns(lack, [0.0] * len(shares), step, left)
+            for k in turn:
+                filled[k] = [f + r[x] * times for f, x in zip(filled[k], strata, strict=True)]
+            runs.append((*(r[x] for x in strata), place, place + len(turn) * times, [shares[k][0] for k in turn]))
+            place += len(turn) * times
+            left -= len(turn) * times
+    kinds_of = ", ".join(f"`{x}` long" for x in strata)
+    table = clusters.sparkSession.createDataFrame(runs, f"{kinds_of}, low long, high long, turns array<string>")
+    slim = clusters.select("cluster", *(F.col(x).cast("long").alias(x) for x in strata))
+    placed = order.numbered(settle(slim), [F.desc(size), *(F.desc(x) for x in strata), F.col("cluster")], "place")
+    dealt = placed.join(F.broadcast(table), strata).where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))  # a few rows for each composition
+    return dealt.select("cluster", F.element_at("turns", ((F.col("place") - F.col("low")) % F.size("turns")).cast("int") + 1).alias("split"))
+
+
+def shard_names(n: int) -> list[tuple[str, float]]:
+    """Equal shares of shards s00, s01, ..."""
+    return [(f"s{k:02d}", 1 / n) for k in range(n)]
+
+
+def whole_clusters(clusters: DataFrame, shares: list[tuple[str, float]], shards: int) -> DataFrame:
+    """cluster, split, shard: clusters dealt to splits, and those of the first split to shards; an empty shard is an error."""
+    split = settle(fill_splits(clusters, shares))
+    train = settle(clusters.join(split.where(F.col("split") == shares[0][0]).select("cluster"), "cluster", "left_semi"))
+    shard = settle(fill_splits(train, shard_names(shards)))
+    if shard.select("split").distinct().count() < shards:
+        raise ValueError("a shard is empty")
+    return split.join(shard.select("cluster", F.col("split").alias("shard")), "cluster", "left")
+
+
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
 

@@ -26,7 +26,7 @@ def query(text: str | None = None):
 
 
 @query("""WITH a AS (SELECT o_custkey AS g, o_orderkey AS id, o_totalprice / 50000 AS x, dayofyear(o_orderdate) / 60.0 AS y, (o_orderkey % 7) / 2.0 AS z, 0.2 + (o_orderkey % 3) / 10.0 AS rad,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey % 4 = 0),
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 p AS (SELECT a.g, abs(a.n - b.n) AS hops, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / (a.rad + b.rad) AS ratio FROM a JOIN a b ON a.g = b.g AND a.id < b.id),
 f AS (SELECT g, max(ratio) FILTER (WHERE hops = 1) AS bond, min(ratio) FILTER (WHERE hops = 2) AS c13, min(ratio) FILTER (WHERE hops >= 3) AS c FROM p GROUP BY g)
 SELECT coalesce(bond > 1.25, false) AS long_bond, coalesce(c13 < 1.05, false) AS close_13, coalesce(c < 1.15, false) AS close, coalesce(bond > 1.25, false) OR coalesce(c13 < 1.05, false) OR coalesce(c < 1.15, false) AS geometry, count(*) AS n FROM f GROUP BY ALL""")
@@ -34,7 +34,7 @@ def spatial_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact flags of customers' orders read as chains of points."""
     from pyspark.sql import Window
 
-    o = graphs.table(spark, sf_dir, "orders").where("o_custkey % 4 = 0")
+    o = graphs.table(spark, sf_dir, "orders")
     atoms = o.select(
         F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("node_id"), (F.col("o_totalprice") / 50000).alias("x"), (F.dayofyear("o_orderdate") / 60.0).alias("y"),
         (F.pmod("o_orderkey", F.lit(7)) / 2.0).alias("z"), (0.2 + F.pmod("o_orderkey", F.lit(3)) / 10.0).alias("radius"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"),

@@ -122,10 +122,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("y"), path.alias("path"))
 
 
-@query(f"{_PATHS} SELECT left(node, 1) AS kind, count(*) AS n_nodes, CAST(sum(n) AS BIGINT) AS n, round(avg(mean), 4) AS mean, round(avg(std), 4) AS std FROM s GROUP BY 1")
+@query(f"{_PATHS}, a AS (SELECT node, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS std FROM (SELECT unnest(path) AS node, y FROM p) GROUP BY node) SELECT left(node, 1) AS kind, count(*) AS n_nodes, CAST(sum(n) AS BIGINT) AS n, round(avg(mean), 4) AS mean, round(avg(std), 4) AS std FROM a GROUP BY 1")
 def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances below each node of region, nation and segment paths."""
-    s = lookup.path_stats(_paths(spark, sf_dir).where("k % 3 <> 0"), "path", "y")
+    s = lookup.path_stats(_paths(spark, sf_dir), "path", "y")
     return s.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n"), r(F.avg("mean"), 4).alias("mean"), r(F.avg("std"), 4).alias("std"))
 
 
@@ -149,11 +149,11 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("y"), F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("code"), F.pmod("p_partkey", F.lit(4)).alias("shard"))
 
 
-@query(f"{_CODES} SELECT CAST(radius AS INT) AS radius, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n, round(avg(s / n), 4) AS mean, round(sum(q), 1) AS q FROM s GROUP BY radius")
+@query(f"{_CODES}, a AS (SELECT radius, key, sum(y) AS s, sum(y * y) AS q, count(*) AS n FROM e GROUP BY radius, key) SELECT CAST(radius AS INT) AS radius, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n, round(avg(s / n), 4) AS mean, round(sum(q), 1) AS q FROM a GROUP BY radius")
 def prefix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the prefixes of part codes, from three shards merged by key."""
+    """Sums over the prefixes of part codes, from four shards merged by key."""
     rows = _codes(spark, sf_dir)
-    parts = [lookup.prefix_sums(rows.where(F.col("shard") == k), "code", "y", "/", 3) for k in (1, 2, 3)]
+    parts = [lookup.prefix_sums(rows.where(F.col("shard") == k), "code", "y", "/", 3) for k in range(4)]
     s = lookup.merge_sums(parts)
     return s.groupBy("radius").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"), r(F.avg("mean"), 4).alias("mean"), r(F.sum(F.col("n") * (F.col("msd") + F.col("mean") * F.col("mean"))), 1).alias("q"))
 
@@ -243,13 +243,24 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.neighbour_counts(keys, pairs).groupBy("neighbours").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Centres in order, as a recursion over the keys: each that is free takes its free neighbours.
+_BUTINA = f"""{_BITS}, m AS MATERIALIZED (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near), nb AS (SELECT vec_id, list(y) FILTER (WHERE y IS NOT NULL) AS others, count(y) AS k FROM v LEFT JOIN m ON x = vec_id GROUP BY vec_id),
+turn AS MATERIALIZED (SELECT vec_id, list_prepend(vec_id, coalesce(others, [])) AS others, row_number() OVER (ORDER BY k DESC, vec_id DESC) AS i FROM nb),
+b(i, taken, centre, got) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[], CAST(NULL AS BIGINT), []::BIGINT[] UNION ALL
+  SELECT i, list_concat(taken, g), vec_id, g FROM (SELECT turn.i, taken, vec_id, CASE WHEN list_contains(taken, vec_id) THEN []::BIGINT[] ELSE list_filter(others, lambda x: NOT list_contains(taken, x)) END AS g FROM b JOIN turn ON turn.i = b.i + 1)),
+butina AS (SELECT unnest(got) AS key, centre FROM b)"""
+
+
+@query(f"WITH RECURSIVE {_BUTINA} SELECT key, centre FROM butina")
 def butina(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Butina clusters of the sign-bit sets: key and centre."""
     return similarity.butina(*_near(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BUTINA}, c AS (SELECT centre AS cluster, count(*) AS size FROM butina GROUP BY 1), o AS MATERIALIZED (SELECT cluster, size, row_number() OVER (ORDER BY size DESC, cluster) AS i, sum(size) OVER () AS total FROM c),
+d(i, filled, size, k) AS (SELECT CAST(0 AS BIGINT), [0, 0, 0]::DOUBLE[], CAST(0 AS BIGINT), 0 UNION ALL
+  SELECT i, list_transform(filled, lambda x, j: CASE WHEN j = k THEN x + size ELSE x END), size, k FROM (SELECT o.i, filled, o.size, list_position([0.8 * total - filled[1], 0.1 * total - filled[2], 0.1 * total - filled[3]], list_max([0.8 * total - filled[1], 0.1 * total - filled[2], 0.1 * total - filled[3]])) AS k FROM d JOIN o ON o.i = d.i + 1))
+SELECT ['train', 'val', 'test'][k] AS split, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_rows FROM d WHERE i > 0 GROUP BY 1""")
 def cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole clusters dealt to train, validation and test: sizes of each."""
     clusters = similarity.butina(*_near(spark, sf_dir)).groupBy(F.col("centre").alias("cluster")).agg(F.count("*").alias("size"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.groups import isolated
+
 SPLITS = ("train", "val", "test")
 
 
@@ -54,7 +60,7 @@ def record_field(name: str) -> Column:
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """Metrics of run folders ``<root>/<experiment>/<run>/metrics.json``: experiment, run, metric, value; values that aren't finite fall out."""
     files = spark.read.option("wholetext", True).text(f"{root}/*/*/metrics.json")
-    parts = F.split(F.input_file_name(), "/")
+    parts = F.split(F.regexp_replace(F.input_file_name(), "/part-[^/]*$", ""), "/")
     rows = files.select(F.element_at(parts, -3).alias("experiment"), F.element_at(parts, -2).alias("run"), F.explode(F.from_json("value", "map<string,double>")).alias("metric", "value"))
     return rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
 
@@ -62,7 +68,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """experiment, run, field, text of ``manifest.json`` files, one level deep."""
     files = spark.read.option("wholetext", True).text(f"{root}/*/*/manifest.json")
-    parts = F.split(F.input_file_name(), "/")
+    parts = F.split(F.regexp_replace(F.input_file_name(), "/part-[^/]*$", ""), "/")
     return files.select(F.element_at(parts, -3).alias("experiment"), F.element_at(parts, -2).alias("run"), F.explode(F.from_json("value", "map<string,string>")).alias("field", "text"))
 
 
@@ -77,3 +83,140 @@ def markdown(table: DataFrame) -> str:
     lines = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
     lines += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in table.toLocalIterator()]
     return "\n".join(lines)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: Spark's marker comes last."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def replace_store(rows: DataFrame, path: str) -> DataFrame:
+    """Write ``rows`` beside ``path`` and put them in its place by renames; readers see the old rows or the new."""
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    rows.write.parquet(new)
+    where, files = _files(spark, path)
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    had = files.exists(where)
+    if had and not files.rename(where, to(old)):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(to(new), where):
+        if had:
+            files.rename(to(old), where)
+        raise OSError(f"{path} can't be written")
+    if had:
+        files.delete(to(old), True)
+    return spark.read.parquet(path)
+
+
+def annotate(spark: SparkSession, path: str, columns: dict[str, Column], stale: tuple[str, ...] = ()) -> DataFrame:
+    """Add derived columns to a store in place; columns that they make stale go."""
+    return replace_store(spark.read.parquet(path).drop(*stale).withColumns(columns), path)
+
+
+def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; it is made first unless it was written to its end before."""
+    return spark.read.parquet(path) if committed(spark, path) else replace_store(make(), path)
+
+
+def _text(spark: SparkSession, path: str, text: str) -> None:
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def cached(spark: SparkSession, path: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept at ``path`` for ``key``; the key is written last, and another key there is an error."""
+    said = json.dumps(key, sort_keys=True)
+    if committed(spark, f"{path}/key"):
+        if spark.read.text(f"{path}/key").first()[0] != said:
+            raise ValueError(f"{path} was made for another key")
+        return spark.read.parquet(f"{path}/rows")
+    out = replace_store(make(), f"{path}/rows")
+    _text(spark, f"{path}/key", said)
+    return out
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a store, from its files' footers."""
+    return spark.read.parquet(path).count()
+
+
+def drop_isolated(spark: SparkSession, path: str, group: list[str], record: str, y: str, threshold: float) -> dict:
+    """Drop records with a value that is isolated in its group from a store, once: the summary beside it tells by the row count."""
+    summary = f"{path.rstrip('/')}.curated"
+    if committed(spark, summary):
+        said = json.loads(spark.read.text(summary).first()[0])
+        if said["rows_after"] == row_count(spark, path) and said["threshold"] == threshold:
+            return said
+    rows = spark.read.parquet(path)
+    before = rows.count()
+    bad = isolated(rows, group, y, threshold).where("isolated").select(record).distinct()
+    after = replace_store(rows.join(bad, record, "left_anti").select(rows.columns), path).count()
+    said = {"rows_before": before, "rows_after": after, "threshold": threshold}
+    _text(spark, summary, json.dumps(said))
+    return said
+
+
+def check_domain(rows: DataFrame, column: str, allowed: tuple) -> DataFrame:
+    """``rows``, of which one with another value of ``column`` is an error when it is read."""
+    fine = F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit(f"{column} can't be "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast("boolean")
+    return rows.where(F.when(fine, True).otherwise(wrong))
+
+
+def load_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Auxiliary states; a column that an older file lacks is null."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def ragged(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """key, at, value: the elements of an array column."""
+    return rows.select(key, F.posexplode(values).alias("at", "value"))
+
+
+def write_run(spark: SparkSession, root: str, experiment: str, run: str, metrics: dict[str, float], manifest: dict[str, str], predictions: DataFrame | None = None) -> None:
+    """Predictions, metrics and manifest of a run as tables of one line; the manifest is written last and stands for all."""
+    at = f"{root}/{experiment}/{run}"
+    if committed(spark, f"{at}/manifest.json"):
+        raise ValueError(f"{at} was written before")
+    if predictions is not None:
+        replace_store(predictions, f"{at}/predictions")
+    _text(spark, f"{at}/metrics.json", json.dumps(metrics))
+    _text(spark, f"{at}/manifest.json", json.dumps(manifest))
+
+
+def commits(manifests: DataFrame, field: str = "commit") -> DataFrame:
+    """experiment and the distinct commits that its runs were made with."""
+    return manifests.where(F.col("field") == field).groupBy("experiment").agg(F.sort_array(F.collect_set("text")).alias("commits"))
+
+
+def flatten(config: dict, prefix: str = "") -> dict[str, object]:
+    """A nested configuration as names with dots."""
+    out: dict[str, object] = {}
+    for k, v in config.items():
+        out |= flatten(v, f"{prefix}{k}.") if isinstance(v, dict) else {f"{prefix}{k}": v}
+    return out
+
+
+def configured(defaults: dict, given: dict, overrides: tuple[str, ...] = ()) -> dict[str, object]:
+    """``defaults`` with what was given, and ``a.b=value`` overrides (values as JSON, else text); an unknown name is an error."""
+    out = flatten(defaults)
+    new = flatten(given)
+    for item in overrides:
+        name, _, text = item.partition("=")
+        try:
+            new[name] = json.loads(text)
+        except ValueError:
+            new[name] = text
+    if unknown := set(new) - set(out):
+        raise ValueError(f"unknown settings {sorted(unknown)}")
+    return out | new
