@@ -69,7 +69,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     out, at = [], 0
     for w, n in zip(split, counts.tolist(), strict=True):
         if n >= words:
-            out.append(np.unique(rolled[at : at + n - words + 1]))
+            out.append(common.distinct(rolled[at : at + n - words + 1]))
         else:
             out.append(np.array([xxhash.xxh64_intdigest(b" ".join(w), n)] if n else [], U))
         at += n

@@ -60,7 +60,7 @@ def shingle_hashes(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
 def line_sets(lines: list[bytes], size: int) -> list[np.ndarray]:
     """Each line's distinct shingles as ascending 64-bit hashes."""
     hashes, per = shingle_hashes(lines, size)
-    return [np.unique(x) for x in np.split(hashes, np.cumsum(per)[:-1])] if len(per) else []
+    return [common.distinct(x) for x in np.split(hashes, np.cumsum(per)[:-1])] if len(per) else []
 
 
 def probes(bins: int) -> np.ndarray:
@@ -75,11 +75,13 @@ def sign(lines: list[bytes], size: int, bands: int, percent: int) -> tuple[np.nd
     owner = np.repeat(np.arange(len(lines)), per)
     # Line, bin and value in one number: sorted, a bin's first is its minimum.
     packed = (owner.astype(U) << U(46)) | ((hashes >> U(40)) % U(bins)) << U(40) | (hashes & U((1 << 40) - 1))
-    packed = np.unique(packed)
+    packed = common.distinct(packed)
     line = (packed >> U(46)).astype(np.int64)
     slot = (packed >> U(40)).astype(np.int64)
-    place, local, sizes = np.unique(line, return_inverse=True, return_counts=True)
-    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+    heads = lambda x: np.append(True, x[1:] != x[:-1]) if len(x) else np.zeros(0, bool)
+    starts, first = np.flatnonzero(heads(line)), np.flatnonzero(heads(slot))
+    place, sizes = line[starts], np.diff(np.append(starts, len(line)))
+    local = np.repeat(np.arange(len(place)), sizes)
     minima = np.full((len(place), bins), -1, np.int64)
     minima[local[first], slot[first] & 63] = (packed[first] & U((1 << 40) - 1)).astype(np.int64)
     gaps = np.flatnonzero((minima < 0).any(axis=1))

@@ -184,7 +184,7 @@ def prefix_names(buffer: np.ndarray, starts: np.ndarray, phase: np.ndarray, leng
     words = words_at(buffer).byteswap()  # so that numbers have the order of the bytes
     sampled = starts + (phase == 0)
     step, body = 24, length - 2
-    wanted = np.unique(np.concatenate([sampled + k for k in range(0, body - step + 1, step)] + [sampled + (body - step)]))
+    wanted = common.distinct(np.concatenate([sampled + k for k in range(0, body - step + 1, step)] + [sampled + (body - step)]))
     triple = rank(words[wanted], words[wanted + 8], words[wanted + 16])
     name = lambda at: triple[np.searchsorted(wanted, at)]
     again = rank(*(name(sampled + k) for k in range(0, body - step + 1, step)), name(sampled + (body - step)))
