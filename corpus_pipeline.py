@@ -8,6 +8,8 @@ Rows that share a document id are judged together; a null id or text never remov
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold."""
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, to="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = f"_score_{uuid.uuid4().hex}"
+    return model.score(docs, to=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
