@@ -36,7 +36,7 @@ VOCABULARY, END = "byte_bpe_50k.json", 0
 MAGIC = b"LWM2"
 BLOCK = 1 << 18
 #: Tokens at which a file closes, bytes of text of a range shard, entries of each generation of a worker's cache.
-ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 7 << 16
+ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 5 << 17
 
 #: The vocabulary spells bytes as visible characters: those that are visible as themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -115,8 +115,8 @@ class Tokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        cut, whole, lacking = [], [], set()
-        get = self.now.get
+        cut, whole, lacking, out = [], [], set(), [b""] * len(texts)
+        get, join, skip = self.now.get, b"".join, len(self.newline)
         for k, t in enumerate(texts):
             if not t:
                 continue
@@ -126,19 +126,18 @@ class Tokens:
             else:
                 pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
                 ids = list(map(get, pieces))
-                if None in ids:
+                try:
+                    out[k] = join(ids)[skip:]
+                except TypeError:  # some are None
                     gaps = [i for i, x in enumerate(ids) if x is None]
                     lacking.update([pieces[i] for i in gaps])
                     cut.append((k, ids, [(i, pieces[i]) for i in gaps]))
-                else:
-                    cut.append((k, ids, ()))
-        out = [b""] * len(texts)
         self.learn(lacking)
-        skip, now = len(self.newline), self.now
+        now = self.now
         for k, ids, gaps in cut:
             for i, piece in gaps:
                 ids[i] = now[piece]
-            out[k] = b"".join(ids)[skip:]
+            out[k] = join(ids)[skip:]
         for k, ids in zip(whole, self.ask([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
         return out
@@ -257,11 +256,12 @@ class WaveletMatrix:
         """All ids: the planes are undone from the last to the first."""
         now = None
         for b, plane in enumerate(reversed(self.raw)):
-            bits = np.unpackbits(plane, count=self.n)
+            ones = np.unpackbits(plane, count=self.n).view(bool)
             back = np.zeros(self.n, kind)
             if now is not None:
-                back[np.concatenate((np.flatnonzero(bits == 0), np.flatnonzero(bits)))] = now
-            back |= bits.astype(kind) << kind.type(b)
+                zeros = self.n - int(np.count_nonzero(ones))
+                back[~ones], back[ones] = now[:zeros], now[zeros:]
+            back |= ones.astype(kind) << kind.type(b)
             now = back
         return np.zeros(self.n, kind) if now is None else now
 
