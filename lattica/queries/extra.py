@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica import crossval, predictors
 from lattica.functions import elements
-from lattica.operators import compare, curate, estimate, graph, groups, lookup, post, sampling, similarity, stats
+from lattica.operators import compare, curate, estimate, graph, groups, lookup, post, sampling, similarity, stats, stereo
 from lattica.operators.rounds import settle
 from lattica.plans import graphs
 from lattica.queries import sql
@@ -419,3 +419,49 @@ def cv_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.join(g.nodes.select("node_id", F.pmod("graph_id", F.lit(10)).alias("shard"), "y"), "node_id")
     out = crossval.run(rows, 5, 2, [1, 3], [crossval.Variant("one", 1), crossval.Variant("three", 3)])
     return out.select("variant", "depth", "repeat", "fold", "n", r("rmse").alias("rmse"), r("mae").alias("mae"))
+
+
+_SLOTS = """i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n, (l_partkey * 7919) % 1000 AS fp FROM lineitem),
+s AS (SELECT l_orderkey, max(CASE WHEN n = 1 THEN fp END) AS f0, max(CASE WHEN n = 2 THEN fp END) AS f1, max(CASE WHEN n = 3 THEN fp END) AS f2, max(CASE WHEN n = 4 THEN fp END) AS f3, count(*) AS k FROM i GROUP BY 1)"""
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first four items of every order as nodes n0 to n3, and fingerprints of the nodes."""
+    items = graphs.table(spark, sf_dir, "lineitem")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*items.columns))
+    rows = settle(items.select("l_orderkey", number.alias("n"), (F.col("l_orderkey") * 1000 + number).alias("node_id"), (F.col("l_partkey") * 7919 % 1000).alias("fp")))
+    wide = rows.groupBy("l_orderkey").agg(*(F.max(F.when(F.col("n") == k + 1, F.col("node_id"))).alias(f"n{k}") for k in range(4)), F.count("*").alias("k"))
+    return wide, rows.select("node_id", "fp")
+
+
+@query(f"""WITH {_SLOTS}, c AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END AS parity, f0 = f1 OR f0 = f2 OR f1 = f2 OR coalesce(f0 = f3 OR f1 = f3 OR f2 = f3, false) AS tie,
+(CASE WHEN f0 > f1 THEN 1 ELSE 0 END + CASE WHEN f0 > f2 THEN 1 ELSE 0 END + CASE WHEN f1 > f2 THEN 1 ELSE 0 END + CASE WHEN f0 > f3 THEN 1 ELSE 0 END + CASE WHEN f1 > f3 THEN 1 ELSE 0 END + CASE WHEN f2 > f3 THEN 1 ELSE 0 END) % 2 AS odd FROM s WHERE k >= 3)
+SELECT CAST(CASE WHEN tie THEN 0 WHEN (CASE WHEN odd = 1 THEN -parity ELSE parity END) > 0 THEN 1 ELSE 2 END AS INT) AS code, count(*) AS n FROM c GROUP BY 1""")
+def tetrahedral_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of three items or more read as centres, their parts' numbers as fingerprints."""
+    wide, fp = _slots(spark, sf_dir)
+    centres = wide.where("k >= 3").select(F.col("l_orderkey").alias("centre"), "n0", "n1", "n2", "n3", F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(-1).alias("parity"))
+    return stereo.tetrahedral_codes(centres, fp).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SLOTS}, b AS (SELECT x.f0 AS a1, x.f1 AS a2, y.f0 AS b1, y.f1 AS b2, x.l_orderkey % 2 AS cis FROM s x JOIN s y ON y.l_orderkey = x.l_orderkey + 1),
+w AS (SELECT cis, a2 IS NULL OR a1 > a2 AS af, b2 IS NULL OR b1 > b2 AS bf, coalesce(a1 = a2, false) OR coalesce(b1 = b2, false) AS tie FROM b)
+SELECT CAST(CASE WHEN tie THEN 0 WHEN (cis + af::INT + bf::INT) % 2 = 1 THEN 1 ELSE 2 END AS INT) AS code, count(*) AS n FROM w GROUP BY 1""")
+def cis_trans_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring orders read as double bonds, their first two items as the atoms that control the ends."""
+    wide, fp = _slots(spark, sf_dir)
+    a = wide.select("l_orderkey", F.col("n0").alias("a1"), F.col("n1").alias("a2"))
+    b = wide.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("n0").alias("b1"), F.col("n1").alias("b2"))
+    bonds = a.join(b, "l_orderkey").select(F.col("l_orderkey").alias("bond"), "a1", "a2", "b1", "b2", (F.col("l_orderkey") % 2).alias("cis"))
+    return stereo.cis_trans_codes(bonds, fp).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS k, coalesce(list(DISTINCT l_returnflag) FILTER (WHERE l_quantity > 25), []) AS p, coalesce(list(DISTINCT l_returnflag) FILTER (WHERE l_discount > 0.03), []) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+d AS (SELECT len(p) + len(q) AS every, len(list_filter(p, lambda x: NOT list_contains(q, x))) AS po, len(list_filter(q, lambda x: NOT list_contains(p, x))) AS qo FROM p)
+SELECT CASE WHEN every = 0 THEN 'none' WHEN po = 0 AND qo = 0 THEN 'same' WHEN po = 0 THEN 'fewer' WHEN qo = 0 THEN 'more' ELSE 'other' END AS verdict, count(*) AS n FROM d GROUP BY 1""")
+def set_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the flags of an order's large items compare with those of its cheap ones."""
+    items = graphs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_returnflag"))).alias("p"), F.collect_set(F.when(F.col("l_discount") > 0.03, F.col("l_returnflag"))).alias("q"))
+    rows = graphs.table(spark, sf_dir, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    empty = F.array().cast("array<string>")
+    return rows.groupBy(curate.verdict(F.coalesce("p", empty), F.coalesce("q", empty)).alias("verdict")).agg(F.count("*").alias("n"))
