@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a level of the histograms behind :func:`range_shards`, of which the driver sees one row each, and shards.
 HISTOGRAM_BINS, MOST_SHARDS = 1 << 16, 1 << 15
+#: Rows of an Arrow batch between Spark and the Python workers.
+BATCH_ROWS = 1000
 
 
 _local: dict[str, str] = {}
@@ -27,6 +29,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     The folder is ``spark.checkpoint.dir``; only a local session that has none gets a temporary one.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
@@ -41,6 +44,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have BATCH_ROWS rows at most: texts are long, and a batch is held twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage,
     and a lost executor loses none of it."""

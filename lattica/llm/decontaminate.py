@@ -185,6 +185,7 @@ def find(docs: DataFrame, items: DataFrame, words: int = WINDOW, key: str = "doc
     One pass and no shuffle while the items' texts are within ``shard_bytes``.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
     bench = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -108,8 +108,8 @@ def scale_for(weights: DataFrame, keep: float) -> float:
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, keep: float = KEEP, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, seed: int = 0, carry: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with four more columns, and their names by what they hold: tokens, weight, probability, kept.
 
-    Texts are evaluated once: rows with their cells and tokens are written, with those columns of ``docs`` that ``carry``
-    names (all by default).
+    With ``carry`` texts are evaluated once: rows with their cells and tokens are written, with those columns of ``docs`` that
+    it names.  Without, all columns are passed on, and texts are read twice rather than written once more.
     """
     names = {n: f"_{n}_{uuid.uuid4().hex}" for n in (*DIMENSIONS, "tokens", "weight", "probability", "kept")}
     carried = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
@@ -122,7 +122,8 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
         token_count(text).alias(names["tokens"]),
         draw.alias(names["kept"]),
     )
-    made = common.materialize(made, "mixed")
+    if carry is not None:
+        made = common.materialize(made, "mixed")
     cells = made.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = common.materialize(cells, "cells")
     weights = common.materialize(rake(cells, targets or {d: tempered(cells, d, temper) for d in DIMENSIONS}), "weights")
