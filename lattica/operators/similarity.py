@@ -63,7 +63,8 @@ def _near_pairs(x: pa.StructArray, y: pa.StructArray, near: float, one: bool) ->
             hi, hj = min(i + STEP_ROWS, len(kx)), min(j + STEP_ROWS, len(ky))
             both = np.zeros((hi - i, hj - j), np.float32)
             for low in range(0, len(names), STEP_BITS):
-                both += _matrix(ox, fx, i, hi, low) @ _matrix(oy, fy, j, hj, low).T
+                width = min(STEP_BITS, len(names) - low)
+                both += _matrix(ox, fx, i, hi, low, width) @ _matrix(oy, fy, j, hj, low, width).T
             either = nx[i:hi, None] + ny[None, j:hj] - both
             fine = (both >= either * near - 1e-9) & (either > 0)
             fine &= (kx[i:hi, None] < ky[None, j:hj]) if one else kx[i:hi, None] != ky[None, j:hj]
@@ -73,12 +74,12 @@ def _near_pairs(x: pa.StructArray, y: pa.StructArray, near: float, one: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(both[r, c].astype(np.int32)), pa.array(either[r, c].astype(np.int32))], names=["a", "b", "both", "either"])
 
 
-def _matrix(offsets: np.ndarray, bits: np.ndarray, start: int, stop: int, low: int) -> np.ndarray:
-    """Rows ``start`` to ``stop`` over STEP_BITS columns from ``low`` on, as zeros and ones."""
+def _matrix(offsets: np.ndarray, bits: np.ndarray, start: int, stop: int, low: int, width: int) -> np.ndarray:
+    """Rows ``start`` to ``stop`` over ``width`` columns from ``low`` on, as zeros and ones."""
     some = bits[offsets[start] : offsets[stop]] - low
     rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
-    inside = (some >= 0) & (some < STEP_BITS)
-    out = np.zeros((stop - start, min(STEP_BITS, max(1, int(bits.max(initial=0)) + 1))), np.float32)
+    inside = (some >= 0) & (some < width)
+    out = np.zeros((stop - start, width), np.float32)
     out[rows[inside], some[inside]] = 1
     return out
 

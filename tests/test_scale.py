@@ -29,7 +29,7 @@ def test_near_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "STEP_BITS", 8)
     rng = np.random.default_rng(1)
     sets = {k: set(rng.choice(40, rng.integers(1, 30), replace=False).tolist()) for k in range(60)}
-    sets |= {60: set(sets[0]), 61: sets[1] | {39}}
+    sets |= {60: set(sets[0]), 61: sets[1] | {39}, 62: {1}, 63: {1, 77}}
     bits = spark.createDataFrame([(k, int(b)) for k, s in sets.items() for b in s], "key long, bit int")
     for cutoff in (0.0, 0.5, 0.8):
         want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= (1 - cutoff) * len(sets[a] | sets[b]) - 1e-9}
