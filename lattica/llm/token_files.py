@@ -36,7 +36,7 @@ VOCABULARY, END = "byte_bpe_50k.json", 0
 MAGIC = b"LWM2"
 BLOCK = 1 << 18
 #: Tokens at which a file closes, bytes of text of a range shard, entries of each generation of a worker's cache.
-ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 5 << 17
+ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 3 << 17
 
 #: The vocabulary spells bytes as visible characters: those that are visible as themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
