@@ -154,7 +154,8 @@ class Shards:
 
     @staticmethod
     def bin_of(key: str):
-        return F.floor((F.col(key).cast(_EXACT) - F.col("_low")) / F.col("_width")).cast("long")
+        """The key's bin, by whole division: a quotient of decimals is rounded to few digits before it could be floored."""
+        return F.call_function("div", F.col(key).cast(_EXACT) - F.col("_low"), F.col("_width")).cast("long")
 
     def add(self, df: DataFrame, key: str, sub, to: str = "_shard") -> DataFrame:
         """``df`` with its shard; null keys go to shard 0.  ``sub`` (0 to 2^32 - 1) parts the rows of a key that fills several."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, jaccard, lines, mixing, substrings, token_counts, token_files, topk, toxicity, warc
+from lattica.llm import align, decontaminate, host_rules, jaccard, lines, mixing, phrases, substrings, token_counts, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_mixing": mixing.op9_mixing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_align": align.op12_align,
+    "op13_host_rules": host_rules.op13_host_rules,
 }
-ORACLE_SQL = {"op1_warc": warc.SQL, "op3_topk": topk.SQL, "op4_decontaminate": decontaminate.SQL}
+ORACLE_SQL = {"op1_warc": warc.SQL, "op3_topk": topk.SQL, "op4_decontaminate": decontaminate.SQL, "op11_phrases": phrases.SQL, "op13_host_rules": host_rules.SQL}
