@@ -18,6 +18,7 @@ empty digest.  Repeated rows each get a row and count each; other columns are ig
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -33,8 +34,8 @@ from lattica.llm import common
 KEPT_BYTES, KEPT = 64, 200_000
 #: Id pairs of a broadcast: 17 bytes each.
 SHARD_PAIRS = 2_000_000
-#: A piece ends before a space after a character that isn't white space.
-_PIECE_END = re.compile(r"(?<=\S) ")
+#: A piece ends before a space after a character that is no white space; a last space belongs to the piece before it.
+_PIECE_END = re.compile(r"(?<=\S) (?!\Z)")
 
 
 def byte_level() -> dict[str, int]:
@@ -62,13 +63,12 @@ class Tokenizers:
         self.bytes_a = [bytes(of[c] for c in w) if all(c in of for c in w) else w.encode() for w, _ in words]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.length_a, self.length_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.text_a, self.text_b = [str(k) for k in range(len(words))], [str(k) for k in range(len(pieces))]
+        self.size_b = len(pieces)
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece has a space after another character, so texts can't be cut there")
 
-    @property
-    def size_b(self) -> int:
-        return len(self.bytes_b)
-
     def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each piece, which begins with a space."""
         a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -91,30 +91,51 @@ class Windows:
         """(text of the groups, number of groups, codes of the linked pairs) of a window whose bytes agree."""
         got = self.windows.get((a, b))
         if got is None:
-            ends_a, ends_b = (np.cumsum([len(table[t]) for t in ids]) for table, ids in ((self.of.bytes_a, a), (self.of.bytes_b, b)))
-            _, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            groups, la, lb = [], 0, 0
-            for x, y in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-                groups.append(",".join(map(str, a[la:x])) + "|" + ",".join(map(str, b[lb:y])))
-                la, lb = x, y
-            codes = [a[x] * self.of.size_b + b[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            of = self.of
+            length_a, length_b, text_a, text_b, size = of.length_a, of.length_b, of.text_a, of.text_b, of.size_b
+            groups, codes, y, end_a, end_b, own, other = [], [], 0, 0, 0, "", ""
+            for t in a:
+                own = f"{own},{text_a[t]}" if own else text_a[t]
+                end_a += length_a[t]
+                while end_b < end_a:
+                    u = b[y]
+                    other = f"{other},{text_b[u]}" if other else text_b[u]
+                    end_b += length_b[u]
+                    y += 1
+                if end_a == end_b:
+                    groups.append(f"{own}|{other}")
+                    codes.append(t * size + u)
+                    own = other = ""
             got = (";".join(groups), len(groups), codes)
             if len(a) + len(b) <= KEPT_BYTES:
                 self.windows[a, b] = got
         return got
 
+    def shared(self, a, b) -> list[tuple[int, int]]:
+        """How many tokens of each lie before every byte at which tokens of both end."""
+        length_a, length_b = self.of.length_a, self.of.length_b
+        out, y, end_a, end_b = [], 0, 0, 0
+        for x, t in enumerate(a, 1):
+            end_a += length_a[t]
+            while end_b < end_a and y < len(b):
+                end_b += length_b[b[y]]
+                y += 1
+            if end_a == end_b:
+                out.append((x, y))
+        return out
+
     def cut(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
         """A piece's windows joined: (n_a, n_b, groups, number of groups, codes); None if the tokens' bytes differ from it."""
         ba, bb, data = self.of.bytes_a, self.of.bytes_b, piece.encode()
         if b"".join([ba[t] for t in a]) != data or b"".join([bb[t] for t in b]) != data:
             return None
-        ends_a, ends_b = np.cumsum([len(ba[t]) for t in a]), np.cumsum([len(bb[t]) for t in b])
-        _, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        cuts = [(x + 1, y + 1) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x + 1 == len(a) or ba[a[x + 1]][:1] == b" " == bb[b[y + 1]][:1]]
+        if data.find(b" ", 1) < 0:  # no further space, so no anchor inside
+            return len(a), len(b), *self.window(tuple(a), tuple(b))
         found, la, lb = [], 0, 0
-        for x, y in cuts:
-            found.append(self.window(tuple(a[la:x]), tuple(b[lb:y])))
-            la, lb = x, y
+        for x, y in self.shared(a, b):
+            if x == len(a) or ba[a[x]][:1] == b" " == bb[b[y]][:1]:
+                found.append(self.window(tuple(a[la:x]), tuple(b[lb:y])))
+                la, lb = x, y
         return len(a), len(b), ";".join(w[0] for w in found), sum(w[1] for w in found), [c for w in found for c in w[2]]
 
     def learn(self, wanted: set[str]) -> dict[str, tuple | None]:
@@ -151,8 +172,7 @@ def tokenise(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.held(("align", a, b), lambda: Windows(Tokenizers(a, b)))
+    def slices(batches: Iterator[pa.RecordBatch], known: Windows) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text", 1 << 20):
             pieces = [split(t or "") for t in batch.column(1).to_pylist()]
             long = known.learn(set().union(*pieces))
@@ -171,6 +191,14 @@ def tokenise(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *(x.split()[0] for x in _OUT.split(", "))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common.held(("align", a, b), lambda: Windows(Tokenizers(a, b)))
+        gc.disable()  # what is kept has no cycles, and looking for them takes longer than the work
+        try:
+            yield from slices(batches, known)
+        finally:
+            gc.enable()
+
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, {_OUT}")
 
 

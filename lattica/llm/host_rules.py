@@ -28,6 +28,8 @@ from lattica.llm import common
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 #: A host whose shrunk failure rate is above this is rejected.
 MOST_FAILED = 0.5
+#: The prior weighs as much as so many documents at least, so a host of one document is never judged by that alone.
+LEAST_WEIGHT = 2.0
 #: Hosts of up to so many rows are broadcast (a name and a rate each); beyond, documents are salted by SALTS.
 BROADCAST_HOSTS, SALTS = 200_000, 32
 
@@ -93,7 +95,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
 
     The prior's mean is that of all documents.  Its weight, alpha + beta, comes from the variance of the hosts' rates
     beyond what drawing alone explains, each host counted by its documents; where there is no such variance, all hosts
-    get the common rate.
+    get the common rate.  Its weight is LEAST_WEIGHT at least.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("base_failed"), 1)).alias("failed"))
     hosts = common.materialize(hosts, "hosts")
@@ -103,7 +105,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     within = F.col("m") * (1 - F.col("m"))
     # E[s] = within * ((k - 1) * (1 - r) + r * (N - squares / N)), where r = 1 / (alpha + beta + 1)
     r = (F.col("s") / within - (F.col("k") - 1)) / (F.col("total") - F.col("squares") / F.col("total") - (F.col("k") - 1))
-    prior = whole.crossJoin(F.broadcast(spread)).select("m", F.when((within > 0) & (F.col("k") > 1), F.least(F.lit(1.0), r)).alias("r"))
+    prior = whole.crossJoin(F.broadcast(spread)).select("m", F.when((within > 0) & (F.col("k") > 1), F.least(F.lit(1 / (1 + LEAST_WEIGHT)), r)).alias("r"))
     out = hosts.crossJoin(F.broadcast(prior))  # one row
     weight = F.when(F.col("r") > 0, 1 / F.col("r") - 1)
     out = out.withColumns({"alpha": F.col("m") * weight, "beta": (1 - F.col("m")) * weight})
@@ -143,7 +145,7 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM b GROUP BY source),
 t AS (SELECT count(*) AS k, sum(n) AS total, sum(n * n) AS sq, sum(f) / sum(n) AS m FROM h),
 v AS (SELECT t.*, (SELECT sum(h.n * (h.f / h.n - t.m) ** 2) FROM h) AS s FROM t),
-p AS (SELECT m, CASE WHEN m * (1 - m) > 0 AND k > 1 THEN least(1.0, (s / (m * (1 - m)) - (k - 1)) / (total - sq / total - (k - 1))) END AS r FROM v),
+p AS (SELECT m, CASE WHEN m * (1 - m) > 0 AND k > 1 THEN least(1.0 / 3.0, (s / (m * (1 - m)) - (k - 1)) / (total - sq / total - (k - 1))) END AS r FROM v),
 good AS (SELECT source, CASE WHEN r > 0 THEN (f + m * (1 / r - 1)) / (n + 1 / r - 1) ELSE m END <= 0.5 AS ok FROM h, p)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND ok AS kept

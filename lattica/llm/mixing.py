@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import common
 
-TEMPER, KEEP, TOLERANCE, SWEEPS = 0.7, 0.7, 1e-5, 60
+TEMPER, KEEP, TOLERANCE, SWEEPS = 0.7, 0.7, 1e-5, 500
 DIMENSIONS = ("source", "lang", "topic")
 UNIT = 1 << 53
 
@@ -55,7 +55,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     """Weights of ``cells`` (one column per dimension, and ``tokens``) that bring them to ``targets``.
 
     ``targets``: for each dimension a table (value, share).  Gives ``cells`` with a column ``weight``.  A sweep fits the
-    dimensions in turn in one plan over the cells, and ends after it moved no weight by more than ``tolerance``.
+    dimensions in turn in one plan over the cells, and ends after it moved no weight by more than ``tolerance``.  Targets
+    that ``sweeps`` sweeps don't reach so closely are an error.
     """
     dims = list(targets)
     full = cells.where("tokens > 0")
@@ -78,8 +79,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         new = common.materialize(new, "raked")
         moved = new.agg(F.max(F.abs(F.col("weight") - F.col("_old")) / F.greatest(F.col("_old"), F.lit(1e-300)))).first()[0]
         now = new.drop("_old")
-        if moved < tolerance:
+        if moved is None or moved < tolerance:
             break
+    else:
+        raise ValueError(f"after {sweeps} sweeps weights still moved by {moved}, more than {tolerance}")
     return cells.join(now.select(*dims, "weight"), dims, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
