@@ -48,16 +48,28 @@ def fold_models(parts: DataFrame, held: DataFrame) -> DataFrame:
     return left.select("repeat", "fold", "level", "cid", "parent", combined(F.col("_parts")).alias("_all")).select("repeat", "fold", "level", "cid", "parent", "_all.*")
 
 
+def _rounded(parts: DataFrame) -> DataFrame:
+    return parts.withColumns({c: F.format_string("%.9e", c) for c in ("mean", "msd")})
+
+
+def _digest(table: DataFrame) -> str:
+    """Rows and the sum of their hashes: the same for the same rows in any order."""
+    n, total = table.agg(F.count("*"), F.sum(F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
 def run(rows: DataFrame, folds: int, repeats: int, depths: Sequence[int], variants: Sequence[Variant], cache: str | None = None) -> DataFrame:
     """variant, depth, repeat, fold, n, rmse, mae of held-out rows; ``rows``: node_id, shard, level, cid, parent, y, a row per level.
 
-    With ``cache`` the fold models are written there once and read again by a later run over the same plan.
+    With ``cache`` the fold models are written there once and read again by a later run over the same shard fits and plan;
+    other fits or another plan there are an error.  Sums of floats may differ in a last digit from run to run, so digests
+    are taken of means and variances rounded to nine digits.
     """
     spark = rows.sparkSession
     parts = settle(fit_shards(rows))
     plan_ = settle(plan(parts.select("shard").distinct(), folds, repeats))
     held = plan_.groupBy("repeat", "fold").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    models = stores.cached(spark, cache, {"folds": folds, "repeats": repeats}, lambda: fold_models(parts, held)) if cache else settle(fold_models(parts, held))
+    models = stores.cached(spark, cache, {"folds": folds, "repeats": repeats, "plan": _digest(plan_), "parts": _digest(_rounded(parts))}, lambda: fold_models(parts, held)) if cache else settle(fold_models(parts, held))
     totals = parts.where("level = 0").groupBy("shard").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
     outside = held.crossJoin(totals).where(~F.array_contains("shards", F.col("shard")))  # a row per shard and fold
     whole = outside.groupBy("repeat", "fold").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("whole"))

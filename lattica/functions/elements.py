@@ -40,7 +40,7 @@ def block(z: Column) -> Column:
 
 def half_steps(x: Column) -> Column:
     """A value rounded to the next half, ties to even, with one decimal."""
-    return F.format_number(F.bround(x * 2, 0) / 2, 1)
+    return F.format_string("%.1f", F.bround(x * 2, 0) / 2)
 
 
 def canonical_key(text: Column, mirror: Column) -> Column:

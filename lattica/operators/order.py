@@ -29,6 +29,7 @@ def numbered(rows: DataFrame, by: list[str | Column], to: str) -> DataFrame:
 def running(rows: DataFrame, by: list[str | Column], weight: str, before: str, total: str) -> DataFrame:
     """``rows`` with the sum of ``weight`` over the rows before each in the order ``by``, and over all."""
     out, offsets = _ranged(rows, by, F.col(weight))
-    inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(*by)) - F.col(weight)
+    frame = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)  # by rows: those with equal keys don't count each other
+    inside = F.coalesce(F.sum(weight).over(frame), F.lit(0))
     out = out.withColumn(before, inside).join(F.broadcast(offsets), "_range")
     return out.withColumn(before, F.col(before) + F.col("_ahead")).withColumnRenamed("_whole", total).drop("_range", "_ahead")
