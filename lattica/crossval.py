@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import sampling
 from lattica.operators.rounds import settle
-from lattica.operators.stats import combined
+from lattica.operators.stats import left_out
 from lattica.sources import stores
 
 
@@ -36,16 +36,45 @@ def fit_shards(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "level", "cid").agg(F.first("parent").alias("parent"), F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("msd"))
 
 
-def fold_models(parts: DataFrame, held: DataFrame) -> DataFrame:
+def fold_models(parts: DataFrame, plan_: DataFrame) -> DataFrame:
     """repeat, fold, level, cid, parent, n, mean, msd: of every fold the classes of all shards that it doesn't hold out.
 
-    ``held``: repeat, fold, shards (an array), a row for each fold of each repeat.  A class's parts meet once.
+    ``plan_``: repeat, fold, shard; a row for each shard and repeat, so it is broadcast.  Shards become folds' parts first; see
+    :func:`lattica.operators.stats.left_out`.
     """
-    part = F.struct(F.col("shard").alias("g"), F.col("n"), F.col("mean"), F.col("msd"))
-    met = parts.groupBy("level", "cid").agg(F.first("parent").alias("parent"), F.collect_list(part).alias("_parts"))  # a part for each shard
-    each = met.crossJoin(F.broadcast(held))  # folds times repeats: a handful
-    left = each.withColumn("_parts", F.filter("_parts", lambda p: ~F.array_contains("shards", p["g"]))).where(F.size("_parts") > 0)
-    return left.select("repeat", "fold", "level", "cid", "parent", combined(F.col("_parts")).alias("_all")).select("repeat", "fold", "level", "cid", "parent", "_all.*")
+    folds = plan_.groupBy("repeat").agg(F.collect_set("fold").alias("_folds"))
+    return left_out(parts.join(F.broadcast(plan_), "shard"), ["repeat"], "fold", folds)
+
+
+def floors(rows: DataFrame, outer: list[str], inner: list[str], y: str, shard: str) -> DataFrame:
+    """shard, n, sse, sse_outer: squared deviations from the means of two nested groupings, ``inner`` within ``outer``; additive over shards.
+
+    Rows become a part for each group and shard in one pass; both means are merges of such parts.  Rows whose ``y`` is null take no part,
+    null keys are keys like others, also in joins.
+    """
+    keys = [*outer, *(c for c in inner if c not in outer)]
+    parts = settle(rows.where(F.col(y).isNotNull()).groupBy(*keys, shard).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("msd")))
+    out = parts.withColumn("_i", F.struct(*keys))
+    out = out.withColumn("_o", F.struct(*outer))
+    mean = lambda at, to: out.groupBy(at).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias(to))
+    out = out.join(mean("_i", "_mi"), "_i").join(mean("_o", "_mo"), "_o")
+    about = lambda m: F.sum(F.col("n") * (F.col("msd") + (F.col("mean") - F.col(m)) * (F.col("mean") - F.col(m))))
+    return out.groupBy(F.col(shard).alias("shard")).agg(F.sum("n").alias("n"), about("_mi").alias("sse"), about("_mo").alias("sse_outer"))
+
+
+def training_floors(floors_: DataFrame, plan_: DataFrame) -> DataFrame:
+    """repeat, fold, n, sse, sse_outer, within, within_outer: floors of the shards that a fold trains on, the variance within structures of its model.
+
+    A plan has a row for each shard and repeat; folds' sums are met with one another, not subtracted from a total.
+    """
+    per = plan_.join(floors_, "shard").groupBy("repeat", "fold").agg(*(F.sum(c).alias(c) for c in ("n", "sse", "sse_outer")))
+    others = F.filter("_all", lambda p: p["fold"] != F.col("fold"))
+    met = per.groupBy("repeat").agg(F.collect_list(F.struct("fold", "n", "sse", "sse_outer")).alias("_all"))  # folds: a handful
+    rows = plan_.select("repeat", "fold").distinct().join(met, "repeat").withColumn("_all", others)
+    total = lambda c, zero: F.aggregate("_all", zero, lambda s, p: s + p[c])
+    rows = rows.select("repeat", "fold", total("n", F.lit(0).cast("long")).alias("n"), *(total(c, F.lit(0.0)).alias(c) for c in ("sse", "sse_outer")))
+    some = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    return rows.withColumn("within", some("sse")).withColumn("within_outer", some("sse_outer"))
 
 
 def _rounded(parts: DataFrame) -> DataFrame:
@@ -69,7 +98,7 @@ def run(rows: DataFrame, folds: int, repeats: int, depths: Sequence[int], varian
     parts = settle(fit_shards(rows))
     plan_ = settle(plan(parts.select("shard").distinct(), folds, repeats))
     held = plan_.groupBy("repeat", "fold").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    models = stores.cached(spark, cache, {"folds": folds, "repeats": repeats, "plan": _digest(plan_), "parts": _digest(_rounded(parts))}, lambda: fold_models(parts, held)) if cache else settle(fold_models(parts, held))
+    models = stores.cached(spark, cache, {"folds": folds, "repeats": repeats, "plan": _digest(plan_), "parts": _digest(_rounded(parts))}, lambda: fold_models(parts, plan_)) if cache else settle(fold_models(parts, plan_))
     totals = parts.where("level = 0").groupBy("shard").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
     outside = held.crossJoin(totals).where(~F.array_contains("shards", F.col("shard")))  # a row per shard and fold
     whole = outside.groupBy("repeat", "fold").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("whole"))

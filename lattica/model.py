@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lattica.operators import estimate, predict, refine, stats
 from lattica.operators.graph import Graph
+from lattica.sources import stores
 
 FORMAT = 1
+SCHEMA = "cid long, parent long, n long, mean double, msd double, level int"
 
 
 @dataclass(frozen=True)
@@ -94,21 +96,43 @@ class Model:
         return predict.leave_one_out(self.labels(self.config, graph), self.classes, graph.nodes, self.whole, self.config.minimum_support)
 
     def save(self, path: str) -> None:
-        """Class tables by level, the global row, and the configuration: plain Parquet and JSON, written by Spark."""
-        self.classes.write.partitionBy("level").parquet(f"{path}/classes")
-        self.whole.write.parquet(f"{path}/whole")
-        text = json.dumps(asdict(self.config) | {"format": FORMAT, "digest": self.config.digest})
-        self.classes.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/config")
+        """Class tables by level, the global row, and last the configuration with the tables' digest: plain Parquet and JSON, written by Spark.
+
+        A model there already is an error.  The configuration stands for the whole: without it nothing can be loaded.
+        """
+        spark = self.classes.sparkSession
+        if stores.exists(spark, f"{path}/config"):
+            raise ValueError(f"a model is at {path}")
+        self.classes.write.mode("overwrite").partitionBy("level").parquet(f"{path}/classes")
+        self.whole.write.mode("overwrite").parquet(f"{path}/whole")
+        text = json.dumps(asdict(self.config) | {"format": FORMAT, "digest": self.config.digest, "content": _content(spark, path)})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/config")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Model:
-        """Read a saved model; an unknown format or a digest that doesn't fit is an error."""
+    def load(cls, spark: SparkSession, path: str, verify: bool = False) -> Model:
+        """Read a saved model; an unknown format, a digest that doesn't fit and a model that wasn't written to its end are errors.
+
+        The number of classes is checked by the files' footers; ``verify`` reads all classes and checks their digest.
+        """
+        if not all(stores.committed(spark, f"{path}/{t}") for t in ("classes", "whole", "config")):
+            raise ValueError(f"no whole model is at {path}")
         data = json.loads(spark.read.text(f"{path}/config").first()[0])
         if data.pop("format") != FORMAT:
             raise ValueError("unknown format")
-        digest = data.pop("digest")
+        digest, content = data.pop("digest"), data.pop("content", None)
         config = Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in data.items()})
         if config.digest != digest:
             raise ValueError("the configuration doesn't fit its digest")
-        schema = "cid long, parent long, n long, mean double, msd double, level int"
-        return cls(config, spark.read.schema(schema).parquet(f"{path}/classes"), spark.read.parquet(f"{path}/whole"))
+        out = cls(config, spark.read.schema(SCHEMA).parquet(f"{path}/classes"), spark.read.parquet(f"{path}/whole"))
+        if content is not None:
+            found = _content(spark, path) if verify else f"{out.classes.count()}:"
+            if not content.startswith(found):
+                raise ValueError("the classes aren't those that were saved")
+        return out
+
+
+def _content(spark: SparkSession, path: str) -> str:
+    """Number and hash sum of the classes as they are on disk: the same in any order of rows."""
+    classes = spark.read.schema(SCHEMA).parquet(f"{path}/classes")
+    n, total = classes.agg(F.count("*"), F.sum(F.xxhash64(*sorted(classes.columns)).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"

@@ -33,3 +33,16 @@ def running(rows: DataFrame, by: list[str | Column], weight: str, before: str, t
     inside = F.coalesce(F.sum(weight).over(frame), F.lit(0))
     out = out.withColumn(before, inside).join(F.broadcast(offsets), "_range")
     return out.withColumn(before, F.col(before) + F.col("_ahead")).withColumnRenamed("_whole", total).drop("_range", "_ahead")
+
+
+def numbered_within(rows: DataFrame, groups: list[str], by: list[str | Column], to: str, size: str | None = None) -> DataFrame:
+    """``rows`` with their place in their group, from 0 on, in the order ``by``, and the group's ``size``.
+
+    Rows are numbered over all groups in range partitions, and a group's first number is taken away, so a group
+    with most of the rows is no task of its own.  Null is a group like others.
+    """
+    same = F.struct(*(F.col(c) for c in groups)) if groups else F.struct(F.lit(0).alias("all"))
+    out = settle(numbered(rows.withColumn("_group", same), ["_group", *by], to))
+    sizes = out.groupBy("_group").agg(F.min(to).alias("_first"), F.count("*").alias("_size"))
+    out = out.join(sizes, "_group").withColumn(to, F.col(to) - F.col("_first"))
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_group", "_first", "_size")

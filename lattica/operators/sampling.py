@@ -28,19 +28,24 @@ def graph_folds(graphs: DataFrame, key: str, folds: int, seed: int = 0) -> DataF
     return placed.crossJoin(F.broadcast(n)).select(key, fold.cast("int").alias("fold"))  # one row
 
 
+def _in_strata(rows: DataFrame, key: str, strata: list[str], seed: int) -> DataFrame:
+    """``rows`` with their place ``_place`` in a seeded order of their stratum, and the stratum's size ``_size_of``."""
+    return order.numbered_within(rows, strata, [hash_order(key, seed), F.col(key)], "_place", "_size_of")
+
+
 def partition(rows: DataFrame, key: str, strata: list[str], parts: int, seed: int = 0) -> DataFrame:
     """``rows`` with ``part``: disjoint parts of every stratum, of sizes that differ by one at most."""
-    w = Window.partitionBy(*strata).orderBy(hash_order(key, seed), key)
-    return rows.withColumn("part", F.ntile(parts).over(w) - 1)
+    placed = _in_strata(rows, key, strata, seed)
+    small, more, place = F.floor(F.col("_size_of") / parts), F.col("_size_of") % parts, F.col("_place")
+    part = F.when(place < more * (small + 1), F.floor(place / (small + 1))).otherwise(more + F.floor((place - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    return placed.withColumn("part", part.cast("int")).drop("_place", "_size_of")
 
 
 def stratified_sample(rows: DataFrame, key: str, strata: list[str], share: float, stores: int = 1, seed: int = 0) -> DataFrame:
     """``stores`` disjoint samples with ``share`` of every stratum: the rows that one of them takes, with ``store``."""
-    w = Window.partitionBy(*strata)
-    target = F.floor(F.count("*").over(w) * F.lit(share) + F.lit(0.5))
-    place = F.row_number().over(w.orderBy(hash_order(key, seed), key)) - 1
-    out = rows.withColumn("_target", target).withColumn("_place", place).where(F.col("_place") < F.col("_target") * stores)
-    return out.withColumn("store", F.floor(F.col("_place") / F.col("_target"))).drop("_target", "_place")
+    target = F.floor(F.col("_size_of") * F.lit(share) + F.lit(0.5))
+    out = _in_strata(rows, key, strata, seed).withColumn("_target", target).where(F.col("_place") < F.col("_target") * stores)
+    return out.withColumn("store", F.floor(F.col("_place") / F.col("_target"))).drop("_target", "_place", "_size_of")
 
 
 def capped(rows: DataFrame, group: list[str], key: str, most: int, seed: int = 0) -> DataFrame:

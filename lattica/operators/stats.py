@@ -58,16 +58,53 @@ def empty_like(stats: DataFrame) -> DataFrame:
     return stats.limit(0)
 
 
+def _pair(a: Column, b: Column) -> Column:
+    """n, mean, msd of two parts together, either of which may be of no rows."""
+    n = a["n"] + b["n"]
+    some, gap = n > 0, b["mean"] - a["mean"]
+    mean = F.when(some, a["mean"] + gap * b["n"] / n).otherwise(0.0)
+    msd = F.when(some, (a["n"] * a["msd"] + b["n"] * b["msd"]) / n + gap * gap * (a["n"] / n) * (b["n"] / n)).otherwise(0.0)
+    return F.struct(n.alias("n"), mean.alias("mean"), msd.alias("msd"))
+
+
+def _scan(parts: Column) -> Column:
+    """The parts before each place of an array together, and all of them: one merge for each part."""
+    nothing = F.array(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("msd")))
+    return F.aggregate(parts, nothing, lambda seen, p: F.concat(seen, F.array(_pair(F.element_at(seen, -1), p))))
+
+
+def left_out(parts: DataFrame, keys: list[str], fold: str, folds: DataFrame) -> DataFrame:
+    """``keys``, level, cid, parent, n, mean, msd of all of a class's parts but those of one fold, for each fold.
+
+    ``parts``: ``keys``, ``fold``, level, cid, parent, n, mean, msd; any number of parts for a class and fold.  ``folds``: a row for
+    each value of ``keys`` (one row without keys) with ``_folds``, an array of all its folds: few, so it is broadcast.  The parts of
+    a fold are combined first.  What comes before a fold and what comes after it are scans in both directions, so that k folds
+    take 3 k merges for a class, none of them a subtraction.  A class that a fold lacks is whole for it.
+    """
+    at = [*keys, "level", "cid"]
+    placed = parts.repartition(*at)  # both groupings below keep to it
+    one = placed.groupBy(*at, fold).agg(F.first("parent").alias("parent"), combined(F.collect_list(F.struct("n", "mean", "msd"))).alias("_part"))
+    met = one.groupBy(*at).agg(F.first("parent").alias("parent"), F.array_sort(F.collect_list(F.struct(F.col(fold).alias("f"), F.col("_part").alias("p")))).alias("_all"))
+    several = lambda x: F.transform(x, lambda y: y["p"])
+    met = met.withColumn("_ahead", _scan(several(F.col("_all")))).withColumn("_behind", F.reverse(_scan(several(F.reverse("_all")))))
+    k = F.size("_all")
+    zipped = F.arrays_zip(F.transform("_all", lambda y: y["f"]).alias("f"), F.slice("_ahead", F.lit(1), k).alias("a"), F.slice("_behind", F.lit(2), k).alias("b"))
+    present = F.transform(zipped, lambda z: F.struct(z["f"].alias("f"), _pair(z["a"], z["b"]).alias("s")))
+    met = met.select(*at, "parent", present.alias("_out"), F.transform("_all", lambda y: y["f"]).alias("_had"), F.element_at("_ahead", -1).alias("_sum"))
+    met = met.join(F.broadcast(folds), keys) if keys else met.crossJoin(F.broadcast(folds))  # a row for each value of the keys
+    absent = F.transform(F.array_except("_folds", "_had"), lambda f: F.struct(f.alias("f"), F.col("_sum").alias("s")))
+    rows = met.select(*at, "parent", F.explode(F.concat("_out", absent)).alias("_r")).where("_r.s.n > 0")
+    return rows.select(*keys, F.col("_r.f").alias(fold), "level", "cid", "parent", "_r.s.*")
+
+
 def leave_one_group_out(parts: DataFrame, group: str, groups: DataFrame) -> DataFrame:
-    """Statistics of all groups but one, for each of ``groups`` (a table of group values): one job, no loop over folds.
+    """fold, level, cid, parent, n, mean, msd of all groups but ``fold``, for each of ``groups`` (a table of group values): one job.
 
-    ``parts``: class statistics with a column ``group``.  A class's parts meet once; each fold combines the others'.
+    ``parts``: class statistics with a column ``group``; see :func:`left_out`.
     """
-    folds = F.broadcast(groups.agg(F.collect_set(group).alias("_folds")))  # one row: the folds are a handful
-    rows = parts.groupBy("level", "cid").agg(F.first("parent").alias("parent"), F.collect_list(F.struct(F.col(group).alias("g"), F.col("n"), F.col("mean"), F.col("msd"))).alias("_parts"))
-    each = rows.crossJoin(folds).select("level", "cid", "parent", "_parts", F.explode("_folds").alias("fold"))
-    left = each.withColumn("_parts", F.filter("_parts", lambda p: p["g"] != F.col("fold"))).where(F.size("_parts") > 0)
-    return left.select("fold", "level", "cid", "parent", combined(F.col("_parts")).alias("_all")).select("fold", "level", "cid", "parent", "_all.*")
+    kind = parts.schema[group].dataType
+    folds = groups.agg(F.collect_set(F.col(group).cast(kind)).alias("_folds"))  # one row: the folds are a handful
+    return left_out(parts, [], group, folds).withColumnRenamed(group, "fold")
 
 
 def truncate(stats: DataFrame, level: int) -> DataFrame:

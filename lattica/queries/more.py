@@ -244,11 +244,12 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Centres in order, as a recursion over the keys: each that is free takes its free neighbours.
-_BUTINA = f"""{_BITS}, m AS MATERIALIZED (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near), nb AS (SELECT vec_id, list(y) FILTER (WHERE y IS NOT NULL) AS others, count(y) AS k FROM v LEFT JOIN m ON x = vec_id GROUP BY vec_id),
+BUTINA_OF = """m AS MATERIALIZED (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near), nb AS (SELECT vec_id, list(y) FILTER (WHERE y IS NOT NULL) AS others, count(y) AS k FROM v LEFT JOIN m ON x = vec_id GROUP BY vec_id),
 turn AS MATERIALIZED (SELECT vec_id, list_prepend(vec_id, coalesce(others, [])) AS others, row_number() OVER (ORDER BY k DESC, vec_id DESC) AS i FROM nb),
 b(i, taken, centre, got) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[], CAST(NULL AS BIGINT), []::BIGINT[] UNION ALL
   SELECT i, list_concat(taken, g), vec_id, g FROM (SELECT turn.i, taken, vec_id, CASE WHEN list_contains(taken, vec_id) THEN []::BIGINT[] ELSE list_filter(others, lambda x: NOT list_contains(taken, x)) END AS g FROM b JOIN turn ON turn.i = b.i + 1)),
 butina AS (SELECT unnest(got) AS key, centre FROM b)"""
+_BUTINA = f"{_BITS}, {BUTINA_OF}"
 
 
 @query(f"WITH RECURSIVE {_BUTINA} SELECT key, centre FROM butina")
@@ -362,7 +363,8 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = settle(rows.groupBy("fold", "level", "cid").agg(F.first("parent").alias("parent"), F.count("*").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("msd")))
     folds = spark.range(5).select(F.col("id").alias("group"))
     models = stats.leave_one_group_out(parts.withColumnRenamed("fold", "group"), "group", folds)
-    whole = fold.join(F.broadcast(spark.range(5).select(F.col("id").alias("held"))), F.col("fold") != F.col("held")).groupBy("held").agg(F.avg("y").alias("all")).withColumnRenamed("held", "fold")
+    per = settle(fold.groupBy("fold").agg(F.count("y").alias("_n"), F.avg("y").alias("_mean")))  # a row for each fold
+    whole = per.select(F.col("fold").alias("held")).crossJoin(per).where("held <> fold").groupBy(F.col("held").alias("fold")).agg((F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("all"))
     found = rows.select("node_id", "fold", "y", "level", "cid").join(models.where("n >= 2").select("fold", "level", "cid", "mean"), ["fold", "level", "cid"], "left")
     depths = spark.range(4).select(F.col("id").cast("int").alias("depth"))
     pred = found.join(F.broadcast(depths), F.col("level") <= F.col("depth")).groupBy("depth", "fold", "node_id").agg(F.first("y").alias("y"), F.max_by("mean", F.when(F.col("mean").isNotNull(), F.col("level"))).alias("value"))

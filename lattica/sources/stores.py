@@ -6,10 +6,12 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import order
 from lattica.operators.groups import isolated
+from lattica.operators.rounds import settle
 
 SPLITS = ("train", "val", "test")
 
@@ -21,6 +23,7 @@ def load_store(spark: SparkSession, path: str, splits: tuple[str, ...] = SPLITS,
     """
     if unknown := set(splits) - set(SPLITS):
         raise ValueError(f"unknown splits {sorted(unknown)}")
+    repair(spark, path)
     rows = spark.read.parquet(path)
     if limit is not None:
         if ordinal is None:
@@ -42,13 +45,50 @@ def write_store(rows: DataFrame, path: str, by: str | None = None, split_column:
 
 
 def records(spark: SparkSession, path: str, separator: str = "$$$$\n") -> DataFrame:
-    """Multi-line records of text files, with their number in the file: file, number, record; empty ones fall out.
+    """Multi-line records of text files, with their number in their file from 0 on: file, number, record.
 
-    Spark splits large files at the separator, so a file needs no task of its own.
+    Spark splits large files at the separator, so a file needs no task of its own.  Rows of one split are numbered where they
+    were read; what a file has before a split is a running sum over its splits, a row for each.  Empty records have no number.
     """
     lines = spark.read.option("lineSep", separator).text(path)
-    rows = lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("record"))
-    return rows.where(F.trim("record") != "")
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("record"))
+    rows = settle(rows.where(F.trim("record") != ""))
+    splits = rows.groupBy("file", "_from").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("file").orderBy("_from")) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy("file", "_from").orderBy("_at")) - 1
+    out = rows.withColumn("_place", place).join(splits.select("file", "_from", ahead.alias("_ahead")), ["file", "_from"])
+    return out.select("file", (F.col("_ahead") + F.col("_place")).alias("number"), "record")
+
+
+def typed_records(rows: DataFrame, scalars: dict[str, str], lists: dict[str, str], required: tuple[str, ...], length: str, separator: str = "|") -> tuple[DataFrame, DataFrame]:
+    """Two tables from one scan of ``rows`` (file, number, record), keyed by file and number: accepted records, and rejected ones with ``reason``.
+
+    ``scalars`` are fields and their types, ``lists`` fields of values between separators and the type of a value.  A record
+    is rejected, by the first reason that holds, if a required field is missing, if a value isn't of its type, if ``length`` (one of
+    the scalars) is null or a list has another number of values than it tells.  A list that a record lacks is null unless it is required.
+    """
+    text = lambda c: F.trim(record_field(c))
+    cut = lambda c: F.split(text(c), f"\\Q{separator}\\E", -1)
+    wide = rows.select("file", "number", *(text(c).alias(f"_{c}") for c in scalars), *(cut(c).alias(f"_{c}") for c in lists))
+    value = {c: F.expr(f"try_cast(`_{c}` AS {t})") for c, t in scalars.items()} | {c: F.expr(f"transform(`_{c}`, x -> try_cast(trim(x) AS {t}))") for c, t in lists.items()}
+    wide = settle(wide.select("*", *(v.alias(c) for c, v in value.items())))
+    reason = None
+    tests = [(F.col(f"_{c}").isNull(), f"{c} is missing") for c in required]
+    tests += [(F.col(f"_{c}").isNotNull() & F.col(c).isNull(), f"{c} is not {t}") for c, t in scalars.items()]
+    tests += [(F.exists(c, lambda x: x.isNull()), f"{c} has values that are not {t}") for c, t in lists.items()]
+    tests += [(F.col(length).isNull(), f"{length} is missing")] if lists else []
+    tests += [(F.size(c) != F.col(length), f"{c} has another length") for c in lists]
+    for test, why in tests:
+        reason = F.when(test, why) if reason is None else reason.when(test, why)
+    judged = wide.withColumn("reason", F.lit(None).cast("string") if reason is None else reason)
+    fine = judged.where("reason IS NULL").select("file", "number", *scalars, *lists)
+    return fine, judged.where("reason IS NOT NULL").select("file", "number", "reason")
+
+
+def with_ordinals(rows: DataFrame, group: str, prefix: str, to: str) -> DataFrame:
+    """``rows`` (file, number, ...) with an id ``to`` made of ``prefix`` and their place in their group, in the order of files."""
+    out = order.numbered_within(rows, [group], [F.col("file"), F.col("number")], "_place")
+    return out.withColumn(to, F.concat(F.lit(prefix), F.col("_place").cast("string"))).drop("_place")
 
 
 def record_field(name: str) -> Column:
@@ -100,8 +140,30 @@ def committed(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def repair(spark: SparkSession, path: str) -> bool:
+    """Put back what :func:`replace_store` left beside ``path`` if it ended between its two renames; whether there was something.
+
+    Whole new rows go first, then the old ones; a copy without Spark's last marker is never used.
+    """
+    where, files = _files(spark, path)
+    if files.exists(where):
+        return False
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    for kind in ("new", "old"):
+        for status in files.globStatus(to(f"{path.rstrip('/')}.{kind}-*")) or []:
+            found = status.getPath().toString()
+            if committed(spark, found):
+                return bool(files.rename(to(found), where))
+    return False
+
+
 def replace_store(rows: DataFrame, path: str) -> DataFrame:
-    """Write ``rows`` beside ``path`` and put them in its place by renames; readers see the old rows or the new."""
+    """Write ``rows`` beside ``path`` and put them in its place.
+
+    Two renames: between them nothing is at ``path``, and a reader of that moment gets an error, never half a table.  A
+    run that ends there leaves whole rows beside it, which :func:`repair` puts back; :func:`stage`, :func:`annotate` and
+    :func:`load_store` call it first.
+    """
     spark, mark = rows.sparkSession, uuid.uuid4().hex
     new, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
     rows.write.parquet(new)
@@ -121,11 +183,13 @@ def replace_store(rows: DataFrame, path: str) -> DataFrame:
 
 def annotate(spark: SparkSession, path: str, columns: dict[str, Column], stale: tuple[str, ...] = ()) -> DataFrame:
     """Add derived columns to a store in place; columns that they make stale go."""
+    repair(spark, path)
     return replace_store(spark.read.parquet(path).drop(*stale).withColumns(columns), path)
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``; it is made first unless it was written to its end before."""
+    repair(spark, path)
     return spark.read.parquet(path) if committed(spark, path) else replace_store(make(), path)
 
 
