@@ -8,9 +8,10 @@ two parts: linked sets share one for certain.  As there are some spare partition
 set that has no feature in some two parts, in no more partitions than that, leaves such signatures out, on which unlike
 sets would meet.
 
-1.  Every slice of documents makes its sets and signatures, joins equal signatures on the spot, and sends each
-    signature once, in a packed row for each bucket of signatures.  A bucket names for every signature the
-    smallest document as leader: pairs (leader, document), never pairs of all.
+1.  Every slice of documents makes its sets, and signatures of each distinct set, and sends these in a packed row for each
+    bucket of signatures.  A bucket names for every signature the smallest document as leader: pairs (leader, document),
+    never pairs of all.  As similar documents share signatures in many buckets, the same pair comes from many: pairs
+    travel packed to a bucket of their leader, and become rows once.  A document is in no more pairs than it has signatures.
 2.  Pairs that may link by their parity sketches are verified on their whole sets, and components are taken over
     the links.  The sketches of two sets differ in no more bits than the sets in features, so a pair is left out
     only if it can't link.
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from lattica.llm import common
 
 WORDS, PERCENT = 4, 85
-#: Documents of one signature that a slice sends by themselves; beyond, its smallest stands for them.
+#: Documents of one signature that a slice of :mod:`lines` sends by themselves; beyond, its smallest stands for them.
 TOGETHER = 3
+#: Buckets of signatures for each bucket of pairs.
+PAIRS_FROM = 16
 #: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
 #: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles).
 BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 8 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
@@ -154,61 +157,75 @@ def pairs_of(signs: np.ndarray, docs: np.ndarray, most: int = 1) -> tuple[np.nda
     return signs[kept], docs[kept], pairs
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct rows (a, b), ascending."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return np.stack((a[first], b[first]), axis=1)
+
+
 PACKED = "kind int, bucket int, doc long, n long, h1 long, h2 long, blob binary"
 PACKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("blob", pa.binary())])
-FOUND = "kind int, doc long, n long, h1 long, h2 long, sketch binary, a long, b long"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Kind 0: a row per document with its set's size, hash and sketch.  Kinds 1 and 2: candidate pairs (leader, document)
-    among what slices sent, and within a slice."""
+def _sets_and_pairs(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A row per document with its set's size, hash and sketch, and the distinct candidate pairs a (leader), b."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    targets = -(-buckets // PAIRS_FROM)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.release()
         for batch in common.text_slices(batches, "text", 2 << 20):
             ids = batch.column("doc").to_pylist()
             sets = shingle_sets(common.text_bytes(batch, "text"), words)
-            rows, signs, owners = [], [], []
+            rows, first = [], {}
             for k, (doc, s) in enumerate(zip(ids, sets, strict=True)):
                 h1, h2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
                 rows.append({"kind": 0, "bucket": h1 % buckets, "doc": doc, "n": len(s), "h1": h1, "h2": h2, "blob": sketch(s, percent)})
-                if len(s) and doc is not None:
-                    signs.append(signatures(s, percent))
-                    owners.append(np.full(len(signs[-1]), doc, np.int64))
+                # Equal sets are joined by their hashes, so one of them is enough here.
+                if len(s) and doc is not None and ((h1, h2) not in first or doc < ids[first[h1, h2]]):
+                    first[h1, h2] = k
+            signs = [signatures(sets[k], percent) for k in first.values()]
             if signs:
-                once, leaders, pairs = pairs_of(np.concatenate(signs), np.concatenate(owners), TOGETHER)
-                for b, some in common.by_value(((once >> U(20)) % U(buckets)).astype(np.int64)):
-                    rows.append({"kind": 1, "bucket": b, "n": len(some), "blob": once[some].tobytes() + leaders[some].astype(np.int64).tobytes()})
-                if len(pairs):
-                    rows.append({"kind": 2, "bucket": int(pairs[0, 0]) % buckets, "n": len(pairs), "blob": pairs.tobytes()})
+                owners = np.repeat(np.array([ids[k] for k in first.values()], np.int64), [len(x) for x in signs])
+                signs = np.concatenate(signs)
+                for b, some in common.by_value(((signs >> U(20)) % U(buckets)).astype(np.int64)):
+                    rows.append({"kind": 1, "bucket": b, "n": len(some), "blob": signs[some].tobytes() + owners[some].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=PACKED_ARROW)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.release()
         signs, owners = [], []
-        of_pairs = lambda p, kind: pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), *[pa.nulls(len(p), pa.int64())] * 4, pa.nulls(len(p), pa.binary()), pa.array(p[:, 0]), pa.array(p[:, 1])], schema=FOUND_ARROW)
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             plain = batch.filter(pa.array(kinds == 0))
             if plain.num_rows:
-                yield pa.RecordBatch.from_arrays([*(plain.column(c) for c in ("kind", "doc", "n", "h1", "h2", "blob")), *[pa.nulls(plain.num_rows, pa.int64())] * 2], schema=FOUND_ARROW)
-            for k in np.flatnonzero(kinds > 0).tolist():
+                yield plain
+            for k in np.flatnonzero(kinds == 1).tolist():
                 data = np.frombuffer(batch.column("blob")[k].as_buffer(), np.int64)
-                if kinds[k] == 2:
-                    yield of_pairs(data.reshape(-1, 2), 2)
-                else:
-                    signs.append(data[: len(data) // 2].view(U).copy())
-                    owners.append(data[len(data) // 2 :].copy())
+                signs.append(data[: len(data) // 2].view(U).copy())
+                owners.append(data[len(data) // 2 :].copy())
         if signs:
             whole, owner = np.concatenate(signs), np.concatenate(owners)
             signs, owners = [], []
-            yield of_pairs(pairs_of(whole, owner)[2], 1)
+            pairs = pairs_of(whole, owner)[2]
+            for b, some in common.by_value((mix(pairs[:, 0].astype(U)) % U(targets)).astype(np.int64)):
+                yield pa.RecordBatch.from_pylist([{"kind": 2, "bucket": b, "n": len(some), "blob": pairs[some].tobytes()}], schema=PACKED_ARROW)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            held += [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2).copy() for x in batch.column("blob")]
+            if sum(map(len, held[1:])) > len(held[0]):
+                held = [distinct_pairs(*np.concatenate(held).T)]
+        pairs = distinct_pairs(*np.concatenate(held).T)
+        for at in range(0, len(pairs), common.BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + common.BATCH_ROWS, c]) for c in (0, 1)], names=["a", "b"])
 
-    packed = docs.mapInArrow(sign, PACKED).repartitionById(buckets, "bucket")
-    return common.materialize(packed.mapInArrow(lead, FOUND), "part-enum")
+    packed = docs.mapInArrow(common.releasing(sign), PACKED).repartitionById(buckets, "bucket")
+    found = common.materialize(packed.mapInArrow(common.releasing(lead), PACKED), "part-enum")
+    pairs = found.where("kind = 2").select("bucket", "blob").repartitionById(targets, "bucket").select("blob")
+    return found.where("kind = 0").select("doc", "n", "h1", "h2", F.col("blob").alias("sketch")), common.materialize(pairs.mapInArrow(common.releasing(once), "a long, b long"), "once")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,7 +251,7 @@ def may_link(a: DataFrame, percent: int) -> DataFrame:
                     keep.append(row)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return a.mapInArrow(check, "a long, b long")
+    return a.mapInArrow(common.releasing(check), "a long, b long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
@@ -249,7 +266,6 @@ def verify(docs: DataFrame, pairs: DataFrame, sets_of: Callable, percent: int) -
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mains = None, []
-        common.release()
         for batch in common.text_slices(batches, "text", 2 << 20):
             out = []
             sets = sets_of(common.text_bytes(batch, "text"))
@@ -267,7 +283,7 @@ def verify(docs: DataFrame, pairs: DataFrame, sets_of: Callable, percent: int) -
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    return common.materialize(rows.select("hub", "copy", "doc", "kind", "text").mapInArrow(check, "a long, b long"), "links")
+    return common.materialize(rows.select("hub", "copy", "doc", "kind", "text").mapInArrow(common.releasing(check), "a long, b long"), "links")
 
 
 BLOCKS = "cluster long, band int, block int, owner long, blob binary"
@@ -329,7 +345,7 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
         if held:
             yield close()
 
-    blocks = common.materialize(placed.select("cluster", "band", "owner", "block", "doc", "n", "component", "sketch").mapInArrow(pack, BLOCKS), "blocks")
+    blocks = common.materialize(placed.select("cluster", "band", "owner", "block", "doc", "n", "component", "sketch").mapInArrow(common.releasing(pack), BLOCKS), "blocks")
     number = blocks.withColumn("at", F.struct(F.coalesce("owner", F.lit(-1)).alias("owner"), F.col("block").alias("block")))
     left = number.select("cluster", F.explode(F.array("band", F.col("band") + 1)).alias("to"), F.col("band").alias("i"), F.col("at").alias("x_at"), F.col("owner").alias("x_owner"), F.col("blob").alias("x"))
     right = number.select("cluster", F.col("band").alias("to"), F.col("at").alias("y_at"), F.col("owner").alias("y_owner"), F.col("blob").alias("y"))
@@ -342,7 +358,7 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(compare, "a long, b long")
+    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.releasing(compare), "a long, b long")
     return common.materialize(found.distinct(), "unsettled")
 
 
@@ -381,18 +397,16 @@ def _by_width(blob: pa.Buffer) -> dict[int, tuple[np.ndarray, ...]]:
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of linked documents: ``key``, n_shingles, component_id; a row per row of ``docs``."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = _sets_and_pairs(rows, words, percent)
-    sets = found.where("kind = 0").select("doc", "n", "h1", "h2", "sketch")
+    sets, pairs = _sets_and_pairs(rows, words, percent)
     whole = sets.where("n > 0 AND doc IS NOT NULL")
     groups = whole.groupBy("n", "h1", "h2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = common.materialize(whole.join(groups, ["n", "h1", "h2"]).where("doc <> rep").select("doc", "rep").distinct(), "copies")
     # A document id of several sets is linked with each one's copies, but stays in pairs for the sets of its own.
     several = whole.join(copies.select("doc").distinct(), "doc", "left_semi").select("doc", "n", "h1", "h2").distinct().groupBy("doc").count().where("count > 1")
     stood_for = common.materialize(copies.join(several, "doc", "left_anti"), "stood-for")
-    pairs = found.where("kind > 0").select("a", "b", (F.col("kind") == 2).alias("own")).distinct()
     for c in ("a", "b"):
         pairs = pairs.join(stood_for.select(F.col("doc").alias(c), "rep"), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    led = common.materialize(pairs.where("a <> b").select("a", "b", "own").distinct(), "pairs")
+    led = common.materialize(pairs.where("a <> b").select("a", "b", F.lit(False).alias("own")).distinct(), "pairs")
     pairs = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     once = whole.join(stood_for.select("doc"), "doc", "left_anti").select("doc", "n", "sketch") if stood_for.limit(1).count() else whole.select("doc", "n", "sketch")
     side = lambda c, n, s: once.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))

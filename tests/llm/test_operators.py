@@ -378,6 +378,18 @@ def test_jaccard_pairs_that_no_leader_settles(spark, monkeypatch):
     assert seen[0].count() > 0
 
 
+def test_jaccard_pairs_are_rows_once_whatever_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 2000)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base[:k] + ["x"] + base[k:]) for k in range(0, 120, 4)]
+    table = spark.createDataFrame([*enumerate(texts), (90, texts[3]), (91, texts[3])], "doc long, text string").coalesce(1)
+    _, pairs = jaccard._sets_and_pairs(table, 4, 85)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) <= 32 * 31 / 2
+    assert not [p for p in got if {90, 91} & set(p)]  # equal sets stand for one in a slice
+    assert {r["component_id"] for r in jaccard.components(table.withColumnRenamed("doc", "doc_id"), 4, 85).collect()} == {0}
+
+
 def test_pairs_of_leaves_small_groups_alone():
     signs, docs = np.array([5, 5, 5, 7, 7, 9], np.uint64), np.array([3, 1, 2, 4, 6, 8])
     s, d, p = jaccard.pairs_of(signs, docs, 2)
