@@ -164,8 +164,18 @@ def _in_sorted(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def rank(*columns: np.ndarray) -> np.ndarray:
-    """Names in order: equal tuples of the columns get equal numbers, smaller ones smaller numbers."""
-    order = np.lexsort(columns[::-1])
+    """Names in order: equal tuples of the columns get equal numbers, smaller ones smaller numbers.
+
+    Columns whose ranges fit into 64 bits together are sorted as one number.
+    """
+    lows = [int(c.min(initial=0)) for c in columns]
+    bits = [(int(c.max(initial=0)) - low).bit_length() for c, low in zip(columns, lows, strict=True)]
+    if len(columns) > 1 and sum(bits) <= 64:
+        joined = np.zeros(len(columns[0]), U)
+        for c, low, n in zip(columns, lows, bits, strict=True):
+            joined = joined << U(n % 64) | (c - c.dtype.type(low)).astype(U)  # beside a column of 64 bits all others are zero
+        columns = (joined,)
+    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
     head = np.zeros(len(order), bool)
     for c in columns:
         s = c[order]
@@ -184,10 +194,13 @@ def prefix_names(buffer: np.ndarray, starts: np.ndarray, phase: np.ndarray, leng
     words = words_at(buffer).byteswap()  # so that numbers have the order of the bytes
     sampled = starts + (phase == 0)
     step, body = 24, length - 2
-    wanted = common.distinct(np.concatenate([sampled + k for k in range(0, body - step + 1, step)] + [sampled + (body - step)]))
+    places = sorted({*range(0, body - step + 1, step), body - step})  # the last one may be one of the others
+    marked = np.zeros(len(words), bool)
+    for k in places:
+        marked[sampled + k] = True
+    wanted, number = np.flatnonzero(marked), np.cumsum(marked) - 1
     triple = rank(words[wanted], words[wanted + 8], words[wanted + 16])
-    name = lambda at: triple[np.searchsorted(wanted, at)]
-    again = rank(*(name(sampled + k) for k in range(0, body - step + 1, step)), name(sampled + (body - step)))
+    again = rank(*(triple[number[sampled + k]] for k in places))
     rest = phase == 0
     first = np.where(rest, buffer[starts].astype(np.int64), -1)
     tail = np.where(rest, buffer[starts + length - 1].astype(np.int64), buffer[starts + length - 2].astype(np.int64) << 8 | buffer[starts + length - 1])

@@ -390,6 +390,20 @@ def test_jaccard_pairs_are_rows_once_whatever_the_buckets(spark, monkeypatch):
     assert {r["component_id"] for r in jaccard.components(table.withColumnRenamed("doc", "doc_id"), 4, 85).collect()} == {0}
 
 
+def test_ranks_are_those_of_tuples_and_no_place_is_sorted_twice(monkeypatch):
+    rng = np.random.default_rng(5)
+    for ends in ((-1, 256), (0, 1 << 40), (-(1 << 62), 1 << 62)):
+        columns = [rng.integers(*ends, 300)[rng.integers(0, 40, 300)], rng.integers(0, 3, 300), rng.integers(0, 1 << 16, 300) % 5]
+        number = {x: k for k, x in enumerate(sorted(set(zip(*(c.tolist() for c in columns), strict=True))))}
+        assert substrings.rank(*columns).tolist() == [number[x] for x in zip(*(c.tolist() for c in columns), strict=True)]
+    seen, rank = [], substrings.rank
+    monkeypatch.setattr(substrings, "rank", lambda *c: seen.append(len(c)) or rank(*c))
+    text = b"abc" * 40
+    names = substrings.prefix_names(np.frombuffer(text + bytes(40), np.uint8), np.arange(71), np.arange(71) % 3, 50)
+    assert seen == [3, 2, 3]
+    assert all(names[i] == names[j] for i in range(71) for j in range(i % 3, 71, 3))
+
+
 def test_pairs_of_leaves_small_groups_alone():
     signs, docs = np.array([5, 5, 5, 7, 7, 9], np.uint64), np.array([3, 1, 2, 4, 6, 8])
     s, d, p = jaccard.pairs_of(signs, docs, 2)
