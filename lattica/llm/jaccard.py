@@ -16,7 +16,8 @@ sets would meet.
     the links.  The sketches of two sets differ in no more bits than the sets in features, so a pair is left out
     only if it can't link.
 3.  What a leader can't settle is settled in blocks: documents around one leader that links do not join are compared by
-    their sketches, in bands of size, and pairs that may link are verified too.
+    their sketches, in bands of size.  Pairs that may link travel packed in tiles, to which their documents come as rows, and
+    are verified there; a tile gives fewer links than it has documents.
 
 Documents with equal sets are joined first and stand for one in steps 2 and 3; an id with several sets stays itself.
 
@@ -45,8 +46,8 @@ TOGETHER = 3
 #: Buckets of signatures for each bucket of pairs.
 PAIRS_FROM = 16
 #: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
-#: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles).
-BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS = 8 << 20, 1 << 18, 8 << 20, 1024, 1 << 20
+#: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles); of sets on a side of a tile of step 3.
+BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS, TILE_BYTES = 8 << 20, 1 << 18, 8 << 20, 1024, 1 << 20, 4 << 20
 #: Second-level partitions; first-level ones beyond those that linked sets need to agree on one, and one more for 64 allowed
 #: differences: few sets have empty parts in more.
 PARTS, SPARE = 3, 3
@@ -304,10 +305,11 @@ def _around_leaders(pairs: DataFrame) -> DataFrame:
 
 
 def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may link though no leader joined them: from the documents around each leader of ``pairs`` (a, b, own).
+    """Pairs that may link though no leader joined them: from the documents around each leader of ``pairs`` (a, b, own).
 
     Documents of a cluster are dealt to blocks by size band and component.  Blocks of the same and of neighbouring bands
-    meet, one pair of blocks to a row; a block holds ``BLOCK_BYTES`` of sketches at most, whatever the cluster's size.
+    meet, one pair of blocks to a row; a block holds ``BLOCK_BYTES`` of sketches at most, whatever the cluster's size.  The
+    result is packed in tiles (tile, pairs, docs), as there may be many pairs beside the documents.
     """
     docs = sets.select("doc", "n", "sketch").join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     docs = common.materialize(docs, "sketches")
@@ -354,12 +356,93 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                pairs = _near(*(_by_width(batch.column(c)[at].as_buffer()) for c in ("x", "y")), percent)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                x, y = (_by_width(batch.column(c)[at].as_buffer()) for c in ("x", "y"))
+                tiles = [pairs.tobytes() for pairs in _tiles(_near(x, y, percent), x, y)]
+                if tiles:
+                    docs = [np.unique(np.frombuffer(t, np.int64)) for t in tiles]
+                    names = [hashlib.blake2b(t, digest_size=16).digest() for t in tiles]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(tiles, pa.binary()), pa.array(docs, pa.list_(pa.int64()))], names=["tile", "pairs", "docs"])
+
+    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.releasing(compare), "tile binary, pairs binary, docs array<bigint>")
+    # Leaders that lead the same documents make the same tiles.
+    return common.materialize(found.dropDuplicates(["tile"]), "tiles")
+
+
+def _tiles(pairs: np.ndarray, x: dict, y: dict) -> Iterator[np.ndarray]:
+    """``pairs`` of two blocks in parts whose documents have about ``TILE_BYTES`` of sets on each side at most."""
+    if not len(pairs):
+        return
+    docs, sizes = (np.concatenate([block[k] for side in (x, y) for block in side.values()]) for k in (0, 1))
+    order = np.argsort(docs, kind="stable")
+    docs, sizes = docs[order], sizes[order]
+    part = []
+    for side in (0, 1):
+        own, at = np.unique(pairs[:, side], return_inverse=True)
+        part.append((np.cumsum(sizes[np.searchsorted(docs, own)] * 8) // TILE_BYTES)[at])
+    for _, rows in common.by_value(part[0] * (int(part[1].max()) + 1) + part[1]):
+        yield pairs[rows]
+
+
+def links_of_tiles(tiles: DataFrame, texts_of: Callable, sets_of: Callable, percent: int) -> DataFrame:
+    """Links (a, b) among the packed pairs of ``tiles`` (tile, pairs, docs), enough to join in each tile what links there.
+
+    A tile's documents are rows, its pairs are not: they are verified on whole sets where the tile's documents meet.
+    ``texts_of`` gives the texts (doc, text) of a table of ids (doc), ``sets_of`` texts' sets.
+    """
+    asked = tiles.select("tile", F.explode("docs").alias("doc"))
+    texts = texts_of(asked.select("doc").distinct())
+    rows = asked.join(texts, "doc").select("tile", F.lit(1).alias("kind"), "doc", "text", F.lit(None).cast("binary").alias("pairs"))
+    rows = tiles.select("tile", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), "pairs").unionAll(rows)
+    rows = rows.repartition("tile").sortWithinPartitions("tile", "kind", "doc")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pairs, sets = None, None, {}
+        for batch in common.text_slices(batches, "text", 2 << 20):
+            found = []
+            for tile, doc, blob, s in zip(*(batch.column(c).to_pylist() for c in ("tile", "doc", "pairs")), sets_of(common.text_bytes(batch, "text")), strict=True):
+                if tile != now:
+                    found += _joined(pairs, sets, percent)
+                    now, pairs, sets = tile, None, {}
+                if blob is not None:
+                    pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                elif len(s):
+                    sets.setdefault(doc, []).append(s)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        found = _joined(pairs, sets, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return common.materialize(rows.mapInArrow(common.releasing(check), "a long, b long"), "links")
+
+
+def _joined(pairs: np.ndarray | None, sets: dict[int, list[np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links among ``pairs``; a pair that links before it join already is left out, so there are fewer than documents."""
+    if pairs is None:
+        return []
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = v = up.get(w, w)
+        return v
 
-    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.releasing(compare), "a long, b long")
-    return common.materialize(found.distinct(), "unsettled")
+    out = []
+    for a, rows in common.by_value(pairs[:, 0]):
+        for mine in sets.get(a, []):
+            others = [(b, s) for b in pairs[rows, 1].tolist() if root(a) != root(b) for s in sets.get(b, [])]
+            if not others:
+                continue
+            sizes = np.array([len(s) for _, s in others])
+            every = np.concatenate([s for _, s in others])
+            equal = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            both = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero((both > 0) & (100 * both >= percent * (sizes + len(mine) - both))).tolist():
+                u, v = root(a), root(others[k][0])
+                if u != v:
+                    up[u] = v
+                    out.append((a, others[k][0]))
+    return out
 
 
 def _near(x: dict, y: dict, percent: int) -> np.ndarray:
@@ -413,10 +496,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key:
     sets_of = partial(shingle_sets, words=words)
     likely = common.materialize(may_link(pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b"), percent).distinct(), "likely")
     links = verify(rows, likely, sets_of, percent)
-    more = unsettled(led, once, common.connected_components(links), percent).join(likely, ["a", "b"], "left_anti")
-    more = common.materialize(more, "more")
-    if more.limit(1).count():
-        links = links.unionAll(verify(rows, more, sets_of, percent))
+    texts_of = partial(_only, rows.where("doc IS NOT NULL"))
+    tiles = unsettled(led, once, common.connected_components(links), percent)
+    links = links.unionAll(links_of_tiles(tiles, texts_of, sets_of, percent))
     links = links.unionAll(copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
     joined = common.connected_components(links).withColumnRenamed("v", "doc")
     out = sets.join(joined, "doc", "left")

@@ -210,11 +210,10 @@ def links(docs: DataFrame, found: DataFrame, buckets: int, size: int, percent: i
     side = lambda c, n, s: lines.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     both = lambda pairs: pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
     likely = common.materialize(jaccard.may_link(both(led.select("a", "b").distinct()), percent), "line-likely")
-    checked = lambda pairs: jaccard.verify(line_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), pairs, sets_of, percent)
-    out = checked(likely)
-    more = jaccard.unsettled(led, lines, common.connected_components(out), percent).join(likely, ["a", "b"], "left_anti")
-    more = common.materialize(more, "line-more")
-    return out.unionAll(checked(more)) if more.limit(1).count() else out
+    texts_of = lambda wanted: line_texts(docs, wanted)
+    out = jaccard.verify(texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), likely, sets_of, percent)
+    tiles = jaccard.unsettled(led, lines, common.connected_components(out), percent)
+    return out.unionAll(jaccard.links_of_tiles(tiles, texts_of, sets_of, percent))
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -501,3 +501,44 @@ def test_patterns_are_small_beside_their_text():
     made = decontaminate.Patterns(items)
     assert len(pickle.dumps(made)) < 20 * size + (21 << 20)
     assert sorted(x for _, _, found in made.search([items[7][1], b"nothing " * 30]) for x in found) == ["7"]
+
+
+def test_jaccard_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 4000)
+    made = {}
+    materialize = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: made.setdefault(name, []).append(materialize(df, name)) or made[name][-1])
+    # Half of each set is that of the smallest one, so sketches of 64 classes rule few pairs out; some texts link in twos.
+    base = [f"w{k}" for k in range(41)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 80):
+        own = [*base[:33], *(f"x{k}y{j}" for j in range(8))]
+        rows += [(2 * k, " ".join(own)), *([(2 * k + 1, " ".join([*own[:-1], "z"]))] if k % 4 == 0 else [])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, _ = components_of(texts(table), 2, 80)
+    assert len(set(want.values())) > 70
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.components(table, 2, 80).collect()} == want
+    (tiles,) = made["tiles"]
+    packed = sum(len(r["pairs"]) // 16 for r in tiles.collect())
+    assert packed > 10 * len(rows)
+    assert max(t.count() for tables in made.values() for t in tables) < packed
+    assert all(8 * 41 * len(r["docs"]) <= 2 * 4000 + 2 * 8 * 41 for r in tiles.collect())
+
+
+def test_links_of_a_tile_join_what_all_links_join():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = {k: [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 1 << 62, 60, dtype=np.uint64), base)) for _ in range(1 + k % 2)] for k in range(40)}
+    pairs = np.array([(a, b) for a in range(40) for b in range(a + 1, 40)])
+    links = [(a, b) for a, b in pairs.tolist() if any(100 * len(np.intersect1d(x, y)) >= 70 * len(np.union1d(x, y)) for x in sets[a] for y in sets[b])]
+    got = jaccard._joined(pairs, sets, 70)
+    assert set(got) <= set(links) and len(got) < 40 < len(links)
+
+    def groups(edges):
+        up = list(range(40))
+        for _ in up:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    assert groups(got) == groups(links)
