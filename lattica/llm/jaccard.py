@@ -353,11 +353,13 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
     right = number.select("cluster", F.col("band").alias("to"), F.col("at").alias("y_at"), F.col("owner").alias("y_owner"), F.col("blob").alias("y"))
     both = left.join(right, ["cluster", "to"]).where(((F.col("i") < F.col("to")) | (F.col("x_at") <= F.col("y_at"))) & ~F.coalesce(F.col("x_owner") == F.col("y_owner"), F.lit(False)))
 
+    most = TILE_BYTES
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 x, y = (_by_width(batch.column(c)[at].as_buffer()) for c in ("x", "y"))
-                tiles = [pairs.tobytes() for pairs in _tiles(_near(x, y, percent), x, y)]
+                tiles = [pairs.tobytes() for pairs in _tiles(_near(x, y, percent), x, y, most)]
                 if tiles:
                     docs = [np.unique(np.frombuffer(t, np.int64)) for t in tiles]
                     names = [hashlib.blake2b(t, digest_size=16).digest() for t in tiles]
@@ -368,8 +370,8 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
     return common.materialize(found.dropDuplicates(["tile"]), "tiles")
 
 
-def _tiles(pairs: np.ndarray, x: dict, y: dict) -> Iterator[np.ndarray]:
-    """``pairs`` of two blocks in parts whose documents have about ``TILE_BYTES`` of sets on each side at most."""
+def _tiles(pairs: np.ndarray, x: dict, y: dict, most: int) -> Iterator[np.ndarray]:
+    """``pairs`` of two blocks in parts whose documents have about ``most`` bytes of sets on each side at most."""
     if not len(pairs):
         return
     docs, sizes = (np.concatenate([block[k] for side in (x, y) for block in side.values()]) for k in (0, 1))
@@ -378,7 +380,7 @@ def _tiles(pairs: np.ndarray, x: dict, y: dict) -> Iterator[np.ndarray]:
     part = []
     for side in (0, 1):
         own, at = np.unique(pairs[:, side], return_inverse=True)
-        part.append((np.cumsum(sizes[np.searchsorted(docs, own)] * 8) // TILE_BYTES)[at])
+        part.append((np.cumsum(sizes[np.searchsorted(docs, own)] * 8) // most)[at])
     for _, rows in common.by_value(part[0] * (int(part[1].max()) + 1) + part[1]):
         yield pairs[rows]
 

@@ -508,11 +508,11 @@ def test_jaccard_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
     made = {}
     materialize = common.materialize
     monkeypatch.setattr(common, "materialize", lambda df, name: made.setdefault(name, []).append(materialize(df, name)) or made[name][-1])
-    # Half of each set is that of the smallest one, so sketches of 64 classes rule few pairs out; some texts link in twos.
+    # Most of each set is that of the smallest one, so sketches of 64 classes leave many pairs; some texts link in twos.
     base = [f"w{k}" for k in range(41)]
     rows = [(0, " ".join(base))]
     for k in range(1, 80):
-        own = [*base[:33], *(f"x{k}y{j}" for j in range(8))]
+        own = [*base[:36], *(f"x{k}y{j}" for j in range(5))]
         rows += [(2 * k, " ".join(own)), *([(2 * k + 1, " ".join([*own[:-1], "z"]))] if k % 4 == 0 else [])]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want, _ = components_of(texts(table), 2, 80)
