@@ -1,13 +1,14 @@
 """Cross-tokenizer alignment over anchors at white space.
 
-Every text, after a space, is tokenised by a byte-level vocabulary (A) and by a piece vocabulary (B).  Where a token of
-both ends at the same byte and the next tokens both begin with a space, the document is cut: such an anchor is verified
-on the tokens' bytes.  Between anchors stand windows of token ids; how a window falls into groups (cut wherever both
-end) is worked out once for each pair of id tuples and kept by the worker.
+Every text, after a space, is tokenised by a byte-level vocabulary (A) and by a piece vocabulary (B).  Texts are cut at
+anchors before spaces, where tokens of both end; this is verified on the tokens' bytes.  Between anchors stand pieces; how
+these fall into groups (cut wherever both end) is worked out for many pieces at once, and kept by the worker.
 
 Tokenising is exact for whole texts and remembers pieces: a piece ends before a space that follows a character that isn't
 white space.  A's pattern always ends a token there, and B has no piece with a space after another character (checked
-when the model is loaded), so pieces give the tokens of the whole text.  Only pieces of up to KEPT_BYTES are kept.
+when the model is loaded), so pieces give the tokens of the whole text.  A piece that isn't known is put together from parts:
+both end a token before a newline between visible characters, and before marks that follow a letter, if B has no piece of
+letters and other characters.  Only pieces of up to KEPT_BYTES are kept.
 
 Counts of id pairs over the corpus are sums by Spark of each task's sums.  Their number is bounded by the product of the
 vocabularies, not by the corpus; they come to the documents in broadcast shards of SHARD_PAIRS pairs, a pass for each.
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm import common
 
-#: Longest piece that a worker keeps, and pieces it keeps before it begins anew.
+#: Longest piece that a worker keeps, and pieces of each of the two generations it keeps.
 KEPT_BYTES, KEPT = 64, 200_000
 #: Id pairs of a broadcast: 17 bytes each.
 SHARD_PAIRS = 2_000_000
 #: A piece ends before a space after a character that is no white space; a last space belongs to the piece before it.
 _PIECE_END = re.compile(r"(?<=\S) (?!\Z)")
+#: Inside a piece: before a newline between visible characters, and before marks after a last letter.
+_PART_END = re.compile(r"(?<=[!-~À-ɏ])(?=\n[!-~À-ɏ])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-/:-@\[-`{-~]+(?:\Z|\n[!-~À-ɏ]))")
 
 
 def byte_level() -> dict[str, int]:
@@ -63,93 +66,91 @@ class Tokenizers:
         self.bytes_a = [bytes(of[c] for c in w) if all(c in of for c in w) else w.encode() for w, _ in words]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.length_a, self.length_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.text_a, self.text_b = [str(k) for k in range(len(words))], [str(k) for k in range(len(pieces))]
-        self.size_b = len(pieces)
+        self.length_a, self.length_b = (np.array([len(x) for x in every], np.int64) for every in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = len(words), len(pieces)
+        plain = [p.lstrip("▁") for k, p in enumerate(pieces) if not self.b.is_byte(k) and not self.b.is_control(k) and not self.b.is_unknown(k)]
+        self.apart = not any("\n" in p or p and p[0] != p and not p.isalpha() and any(map(str.isalpha, p)) for p in plain)
+        self.led = len(self.b.encode("a"))
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece has a space after another character, so texts can't be cut there")
 
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for each piece, which begins with a space."""
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both for each piece; one that doesn't begin with a space stands after a letter."""
         a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return list(zip(a, b, strict=True))
+        b = self.b.encode([p[1:] if p[0] == " " else "a" + p for p in pieces], num_threads=1)
+        return a, [x if p[0] == " " else x[self.led :] for p, x in zip(pieces, b, strict=True)]
 
 
-class Windows:
-    """Window alignments by pairs of id tuples, and the windows of pieces."""
+class Pieces:
+    """What is known of pieces: (n_a and n_b in one number, text of the groups, codes of the linked pairs), or None."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.of = tokenizers
-        self.clear()
-
-    def clear(self) -> None:
-        self.pieces: dict[str, tuple | None] = {}
-        self.windows: dict[tuple, tuple] = {}
-
-    def window(self, a: tuple, b: tuple) -> tuple:
-        """(text of the groups, number of groups, codes of the linked pairs) of a window whose bytes agree."""
-        got = self.windows.get((a, b))
-        if got is None:
-            of = self.of
-            length_a, length_b, text_a, text_b, size = of.length_a, of.length_b, of.text_a, of.text_b, of.size_b
-            groups, codes, y, end_a, end_b, own, other = [], [], 0, 0, 0, "", ""
-            for t in a:
-                own = f"{own},{text_a[t]}" if own else text_a[t]
-                end_a += length_a[t]
-                while end_b < end_a:
-                    u = b[y]
-                    other = f"{other},{text_b[u]}" if other else text_b[u]
-                    end_b += length_b[u]
-                    y += 1
-                if end_a == end_b:
-                    groups.append(f"{own}|{other}")
-                    codes.append(t * size + u)
-                    own = other = ""
-            got = (";".join(groups), len(groups), codes)
-            if len(a) + len(b) <= KEPT_BYTES:
-                self.windows[a, b] = got
-        return got
-
-    def shared(self, a, b) -> list[tuple[int, int]]:
-        """How many tokens of each lie before every byte at which tokens of both end."""
-        length_a, length_b = self.of.length_a, self.of.length_b
-        out, y, end_a, end_b = [], 0, 0, 0
-        for x, t in enumerate(a, 1):
-            end_a += length_a[t]
-            while end_b < end_a and y < len(b):
-                end_b += length_b[b[y]]
-                y += 1
-            if end_a == end_b:
-                out.append((x, y))
+        self.of = of = tokenizers
+        self.now: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+        marks = [f"{k}{mark}" for size, both in ((of.size_a, ",|"), (of.size_b, ",;")) for mark in both for k in range(size)]
+        self.marks = np.array(marks, object)
+
+    def cut(self, pieces: list[str]) -> list[tuple | None]:
+        """Alignments of pieces; None where the tokens' bytes differ from the piece."""
+        if not pieces:
+            return []
+        of, (a, b) = self.of, self.of.encode(pieces)
+        data = [p.encode() for p in pieces]
+        sizes = np.cumsum([len(d) for d in data])
+        (n_a, n_b), flat = ([len(x) for x in ids] for ids in (a, b)), [np.array([t for x in ids for t in x], np.int64) for ids in (a, b)]
+        ends_a, ends_b = np.cumsum(of.length_a[flat[0]]), np.cumsum(of.length_b[flat[1]])
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        whole = min(n_a) and min(n_b) and (ends_a[last_a - 1] == sizes).all() and (ends_b[last_b - 1] == sizes).all()
+        joined = b"".join(data)
+        if not whole or any(b"".join([words[t] for t in ids.tolist()]) != joined for words, ids in zip((of.bytes_a, of.bytes_b), flat, strict=True)):
+            fine = [b"".join([of.bytes_a[t] for t in x]) == d == b"".join([of.bytes_b[t] for t in y]) for x, y, d in zip(a, b, data, strict=True)]
+            got = iter(self.cut([p for p, f in zip(pieces, fine, strict=True) if f]))
+            return [next(got) if f else None for f in fine]
+        # A group ends where tokens of both end; its tokens of A come first, then those of B.
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        shut_a, shut_b = ends_b[at] == ends_a, np.zeros(len(ends_b), bool)
+        shut_b[at[shut_a]] = True
+        codes = (flat[0][shut_a] * of.size_b + flat[1][shut_b]).astype("<i8").tobytes()
+        group_a, group_b = np.cumsum(shut_a), np.cumsum(shut_b)
+        order = np.argsort(np.concatenate((2 * (group_a - shut_a), 2 * (group_b - shut_b) + 1)), kind="stable")
+        shown = np.concatenate((flat[0] + of.size_a * shut_a, flat[1] + 2 * of.size_a + of.size_b * shut_b))
+        parts = self.marks[shown[order]].tolist()
+        stops, links = (last_a + last_b).tolist(), (8 * group_a[last_a - 1]).tolist()
+        out, start, low = [], 0, 0
+        for x, y, stop, high in zip(n_a, n_b, stops, links, strict=True):
+            out.append((x << 40 | y, "".join(parts[start:stop]), codes[low:high]))
+            start, low = stop, high
         return out
 
-    def cut(self, piece: str, a: list[int], b: list[int]) -> tuple | None:
-        """A piece's windows joined: (n_a, n_b, groups, number of groups, codes); None if the tokens' bytes differ from it."""
-        ba, bb, data = self.of.bytes_a, self.of.bytes_b, piece.encode()
-        if b"".join([ba[t] for t in a]) != data or b"".join([bb[t] for t in b]) != data:
-            return None
-        if data.find(b" ", 1) < 0:  # no further space, so no anchor inside
-            return len(a), len(b), *self.window(tuple(a), tuple(b))
-        found, la, lb = [], 0, 0
-        for x, y in self.shared(a, b):
-            if x == len(a) or ba[a[x]][:1] == b" " == bb[b[y]][:1]:
-                found.append(self.window(tuple(a[la:x]), tuple(b[lb:y])))
-                la, lb = x, y
-        return len(a), len(b), ";".join(w[0] for w in found), sum(w[1] for w in found), [c for w in found for c in w[2]]
-
     def learn(self, wanted: set[str]) -> dict[str, tuple | None]:
-        """Windows of pieces; those too long to keep come back, the others are kept."""
-        if max(len(self.pieces), len(self.windows)) + len(wanted) > KEPT:
-            self.clear()
-        ask = [p for p in wanted if p not in self.pieces]
+        """Alignments of pieces; those too long to keep come back, the others are kept."""
+        if len(self.now) + len(wanted) > KEPT:
+            self.old, self.now = self.now, {}
+        now, old, ask, composed = self.now, self.old, [], []
+        for p in wanted:
+            if p in now:
+                continue
+            if p in old:
+                now[p] = old[p]
+            elif self.of.apart and len(parts := _PART_END.split(p)) > 1:
+                composed.append((p, parts))
+            else:
+                ask.append(p)
+        more = {part for _, parts in composed for part in parts if part not in now}
+        for part in more:
+            if part in old:
+                now[part] = old[part]
+        ask = list({*ask, *(part for part in more if part not in now)})
         for at in range(0, len(ask), 4096):
-            part = ask[at : at + 4096]
-            for p, (a, b) in zip(part, self.of.encode(part), strict=True):
-                self.pieces[p] = self.cut(p, a, b)
-        long = {p: self.pieces[p] for p in ask if len(p) > KEPT_BYTES}
+            some = ask[at : at + 4096]
+            now.update(zip(some, self.cut(some), strict=True))
+        for p, parts in composed:
+            met = [now[part] for part in parts]
+            now[p] = None if None in met else (sum(x[0] for x in met), "".join([x[1] for x in met]), b"".join([x[2] for x in met]))
+        long = {p: now[p] for p in (*ask, *(p for p, _ in composed)) if len(p) > KEPT_BYTES}
         for p in long:
-            del self.pieces[p]
+            del now[p]
         return long
 
 
@@ -172,27 +173,28 @@ def tokenise(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"))
 
-    def slices(batches: Iterator[pa.RecordBatch], known: Windows) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch], known: Pieces) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "text", 1 << 20):
             pieces = [split(t or "") for t in batch.column(1).to_pylist()]
             long = known.learn(set().union(*pieces))
-            kept, out = known.pieces, []
+            kept, out = known.now, []
             for parts in pieces:
                 met = [kept[p] if p in kept else long[p] for p in parts]
                 if not met or None in met:
                     out.append((0, 0, 0, 0, "", b"", b""))
                     continue
-                na, nb, groups, n, codes = zip(*met, strict=True)
-                links = np.sort(np.fromiter((c for x in codes for c in x), "<i8", sum(n)))
+                both, groups, codes = zip(*met, strict=True)
+                links = np.sort(np.frombuffer(b"".join(codes), "<i8"))
                 first = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
                 times = np.diff(np.append(first, len(links))).astype("<u4")
-                out.append((sum(na), sum(nb), sum(n), sum(n), hashlib.sha256(";".join(groups).encode()).hexdigest(), links[first].tobytes(), times.tobytes()))
+                na, nb = divmod(sum(both), 1 << 40)
+                out.append((na, nb, len(links), len(links), hashlib.sha256("".join(groups)[:-1].encode()).hexdigest(), links[first].tobytes(), times.tobytes()))
             columns = list(zip(*out, strict=True))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *(x.split()[0] for x in _OUT.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.held(("align", a, b), lambda: Windows(Tokenizers(a, b)))
+        known = common.held(("align", a, b), lambda: Pieces(Tokenizers(a, b)))
         gc.disable()  # what is kept has no cycles, and looking for them takes longer than the work
         try:
             yield from slices(batches, known)

@@ -167,3 +167,18 @@ def test_token_file_starts_on_widely_spread_ids(spark, monkeypatch):
     for _, start, n in got:
         assert start == at
         at += n
+
+
+def test_align_puts_pieces_together_from_known_parts(monkeypatch):
+    known = align.Pieces(align.Tokenizers("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    asked, encode = [], known.of.encode
+    monkeypatch.setattr(known.of, "encode", lambda pieces: asked.extend(pieces) or encode(pieces))
+    known.learn({" river", " mill", " été"})
+    texts = ["river,", "river.", "mill\nriver...", "été***\nÉté,", "the mill'"]
+    pieces = [align.split(t) for t in texts]
+    known.learn(set().union(*pieces))
+    assert sorted(asked) == sorted([" river", " mill", " été", ",", ".", "\nriver", "...", "***", "\nÉté", " the", "'"])
+    for t, parts in zip(texts, pieces, strict=True):
+        (n_a,), (n_b,) = ([len(x) for x in ids] for ids in encode([" " + t]))
+        assert divmod(sum(known.now[p][0] for p in parts), 1 << 40) == (n_a, n_b)
+        assert "".join(known.now[p][1] for p in parts) == known.cut([" " + t])[0][1]
