@@ -80,7 +80,7 @@ _held: dict = {}
 def held(key, make: Callable):
     """What a Python worker keeps from task to task: one object, made anew when another ``key`` is asked for."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 

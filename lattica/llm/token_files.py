@@ -22,7 +22,6 @@ import hashlib
 import json
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,13 +34,20 @@ from lattica.llm import common
 VOCABULARY, END = "byte_bpe_50k.json", 0
 MAGIC = b"LWM2"
 BLOCK = 1 << 18
-#: Tokens at which a file closes, bytes of text of a range shard, entries of each generation of a worker's cache.
-ROLL_TOKENS, SHARD_BYTES, CACHED = 1 << 22, 16 << 20, 3 << 17
+#: Tokens at which a file closes, bytes of text of a range shard.
+ROLL_TOKENS, SHARD_BYTES = 1 << 22, 16 << 20
+#: Pieces that stay in a worker's cache, and that it saw once; runs of marks in it; words that the library gets as one text.
+CACHED, MARKS, TOGETHER = 1 << 17, 1 << 12, 1000
+#: Marks that end a token before them if a letter is there: all of ASCII but the apostrophe, which begins tokens with letters.
+MARKED = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: The vocabulary spells bytes as visible characters: those that are visible as themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
+#: A no-break space, which is no letter, as the vocabulary spells it.
+NO_BREAK = "".join(chr(VISIBLE[b]) for b in b"\xc2\xa0")
+
 
 class Tokens:
     """Ids of texts, from the library; pieces that a text may safely be cut into are remembered.
@@ -64,54 +70,88 @@ class Tokens:
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.now: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.newline, self.comma, self.stop = self.ask([b"\n", b",", b"."])
+        self.once: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
+        (self.newline,) = self.ask([b"\n"])
+        #: The library's model alone, without the pattern.
+        self.plain = Tokenizer(self.tokenizer.model)
+        #: Ids of tokens that begin with a space or a newline; whether no token goes from letters over a space.
+        self.leads, self.apart = np.zeros(1 << self.bits, bool), True
+        space, newline = chr(VISIBLE[32]), chr(VISIBLE[10])
+        for token, number in self.tokenizer.get_vocab().items():
+            self.leads[number] = token[:1] in (space, newline)
+            before = token.rpartition(space)[0]
+            if before.strip(space) and not before.startswith(space + NO_BREAK):
+                self.apart = False
 
     def ask(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
     def ask_words(self, words: list[bytes]) -> list[bytes]:
-        """As :meth:`ask`, for spaces or newlines with what follows: plain words need no search for the pattern."""
-        tokenize, kind, out, others = self.tokenizer.model.tokenize, self.kind.char, [], []
-        space = chr(VISIBLE[32])
+        """As :meth:`ask`, for spaces or newlines with what follows, many of them as one text in which each begins with
+        the next space or newline: plain words need no search for the pattern."""
+        plain, others, out = [], [], [b""] * len(words)
         for k, w in enumerate(words):
             # The pattern takes a space and letters as one.
-            if w[0] == 32 and w[1:].isalpha():
-                got = tokenize(space + w[1:].decode())
-            elif w[0] == 32 and w[1:].decode().isalpha():
-                got = tokenize(w.decode("latin-1").translate(VISIBLE))
-            else:
-                out.append(b"")
-                others.append(k)
-                continue
-            out.append(array(kind, [t.id for t in got]).tobytes())
-        for k, ids in zip(others, self.ask([words[k] for k in others]) if others else [], strict=True):
-            out[k] = ids
+            (plain if self.apart and w[0] == 32 and w[1:].decode().isalpha() else others).append(k)
+        for places, ask in ((plain, self.ask_plain), (others, self.ask)):
+            for low in range(0, len(places), TOGETHER):
+                some = places[low : low + TOGETHER]
+                for k, ids in zip(some, self.ask_together([words[k] for k in some], ask), strict=True):
+                    out[k] = ids
         return out
 
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self.now) + len(pieces) > CACHED:
-            self.old, self.now = self.now, {}
-        now, old, asked, ended = self.now, self.old, set(), []
+    def ask_plain(self, texts: list[bytes]) -> list[bytes]:
+        """As :meth:`ask`, for spaces and letters."""
+        got = self.plain.encode_batch_fast([x.decode("latin-1").translate(VISIBLE) for x in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in got]
+
+    def ask_together(self, words: list[bytes], ask: Callable) -> list[bytes]:
+        """As ``ask``, from the ids of all words in a row."""
+        (joined,) = ask([b"".join(words)])
+        starts = np.flatnonzero(self.leads[np.frombuffer(joined, self.kind)])
+        if len(starts) != len(words):
+            return ask(words)
+        ends = (np.append(starts, len(joined) // self.kind.itemsize) * self.kind.itemsize).tolist()
+        return [joined[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def mark(self, run: bytes) -> bytes:
+        """Ids of a run of marks after a letter."""
+        if run not in self.marks:
+            if len(self.marks) >= MARKS:
+                self.marks.clear()
+            (self.marks[run],) = self.ask([run])
+        return self.marks[run]
+
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that are not among those that stay; what was seen before stays from now on."""
+        if len(self.now) > CACHED:
+            self.once, self.now = self.now, {}
+        elif len(self.once) > CACHED:
+            self.once = {}
+        now, once, found, asked, ended = self.now, self.once, {}, set(), []
         for p in pieces:
-            if p in now:
+            if p in once:
+                found[p] = now[p] = once.pop(p)
                 continue
-            if p in old:
-                now[p] = old[p]
-            elif p[-1:] in (b",", b".") and p[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                ended.append(p)
-                if (core := p[:-1]) not in now:
-                    if core in old:
-                        now[core] = old[core]
-                    else:
-                        asked.add(core)
+            core = p.rstrip(MARKED)
+            if len(core) < len(p) and core[-1:].isalpha():  # marks after a letter are tokens of their own
+                ended.append((p, core))
+                got = now.get(core) or once.get(core)
+                if got is None:
+                    asked.add(core)
+                else:
+                    found[core] = got
             else:
                 asked.add(p)
         names = list(asked)
-        now.update(zip(names, self.ask_words([p if p[:1] == b"\n" else b" " + p for p in names]), strict=True))
-        for p in ended:
-            now[p] = now[p[:-1]] + (self.comma if p[-1:] == b"," else self.stop)
+        fresh = dict(zip(names, self.ask_words([p if p[:1] == b"\n" else b" " + p for p in names]), strict=True))
+        once |= fresh
+        found |= fresh
+        for p, core in ended:
+            found[p] = once[p] = found[core] + self.mark(p[len(core) :])
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -126,17 +166,14 @@ class Tokens:
             else:
                 pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
                 ids = list(map(get, pieces))
-                try:
-                    out[k] = join(ids)[skip:]
-                except TypeError:  # some are None
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    lacking.update([pieces[i] for i in gaps])
-                    cut.append((k, ids, [(i, pieces[i]) for i in gaps]))
-        self.learn(lacking)
-        now = self.now
-        for k, ids, gaps in cut:
-            for i, piece in gaps:
-                ids[i] = now[piece]
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                lost = [pieces[i] for i in gaps]
+                lacking.update(lost)
+                cut.append((k, ids, gaps, lost))
+        found = self.learn(lacking)
+        for k, ids, gaps, lost in cut:
+            for i, piece in zip(gaps, lost, strict=True):
+                ids[i] = found[piece]
             out[k] = join(ids)[skip:]
         for k, ids in zip(whole, self.ask([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids

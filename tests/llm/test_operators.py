@@ -448,6 +448,22 @@ def test_mixing_odd_rows(spark):
     assert mixing.sample(table, keep=1.0, temper=1.0).count() == 5
 
 
+def test_token_cache_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 2000)
+    tokens, library, calls = token_files.Tokens(token_files.VOCABULARY), token_files.Tokens(token_files.VOCABULARY), []
+    for name in ("ask", "ask_plain"):
+        monkeypatch.setattr(tokens, name, lambda texts, ask=getattr(tokens, name): calls.append(len(texts)) or ask(texts))
+    marks = ["", ",", ".", "...", "%%%", "&'", "-_-", ");", "'s"]
+    for k in range(20):
+        words = [f"{'' if n % 3 else chr(233)}zq{'abcdefghij'[k % 10]}{chr(97 + k)}{chr(97 + n % 26)}{chr(97 + n // 26)}{marks[n % len(marks)]}" for n in range(400)]
+        texts = ["always here, " + " ".join(words), f"\u00e0 {k}.{k}\nalways there. It's {k}x"]
+        calls.clear()
+        assert tokens.encode([t.encode() for t in texts]) == library.ask([t.encode() for t in texts])
+        assert len(calls) < 20 and sum(calls) < 20  # words are asked for together
+        assert len(tokens.once) <= 2000 + 900 and len(tokens.now) <= 2000
+    assert b"here," in tokens.now
+
+
 def test_token_files_of_odd_white_space(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
