@@ -302,17 +302,17 @@ def _repeated_prefixes(slices: DataFrame, length: int, buckets: int) -> DataFram
         for row in _rows(batches):
             part = Slice(row["ids"], row["ends"], row["text"])
             shared = np.sort(np.frombuffer(b"".join(row["shared"] or []), U))
-            all_new, least = [], {}
+            all_new, all_numbers, docs = [], [], []
             for units, owners, _, some, numbers, new in part.contents(length, shared):
                 all_new += new
-                for number, doc in zip(numbers, part.ids[owners[units.piece[some]]].tolist(), strict=True):
-                    if doc < least.get(number, 1 << 63):
-                        least[number] = doc
+                all_numbers.append(np.array(numbers, np.int64))
+                docs.append(part.ids[owners[units.piece[some]]])
             if not all_new:
                 continue
+            least = _least(np.concatenate(all_numbers), np.concatenate(docs))
             number, name, rel, content = zip(*all_new, strict=True)
             number, name, rel = np.array(number, np.uint32), np.array(name, U), np.array(rel, np.uint8)
-            doc = np.array([least[k] for k in number.tolist()], np.int64)
+            doc = least[number]
             size = np.array([len(c) for c in content], np.uint16)
             for b, some in common.by_value(((name >> U(17)) % U(buckets)).astype(np.int64)):
                 blob = b"".join(x[some].tobytes() for x in (doc, number, size, rel)) + b"".join(content[k] for k in some.tolist())
@@ -371,6 +371,32 @@ def _repeated_prefixes(slices: DataFrame, length: int, buckets: int) -> DataFram
     return common.materialize(back.groupBy("slice").agg(F.collect_list("blob").alias("masks")), "masks")
 
 
+def _least(number: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The smallest document of each number."""
+    out = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(out, number, docs)
+    return out
+
+
+#: A mask of all prefixes of a unit.
+ALL = U((1 << 64) - 1)
+
+
+def cover(size: int, at: np.ndarray, count: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``size`` bytes lie in a marked prefix: of the units of ``count`` prefixes from ``at`` on, bit k of a mask marks the k-th."""
+    edges = np.zeros(size + length + 1, np.int64)
+    whole = masks == ALL
+    begins, ends = [at[whole]], [at[whole] + count[whole] + length - 1]
+    some = np.flatnonzero((masks != 0) & ~whole)
+    for bit in range(int(count[some].max(initial=0))):
+        got = some[(count[some] > bit) & (masks[some] >> U(bit) & U(1) != 0)]
+        begins.append(at[got] + bit)
+        ends.append(at[got] + bit + length)
+    edges += np.bincount(np.concatenate(begins), minlength=len(edges))
+    edges -= np.bincount(np.concatenate(ends), minlength=len(edges))
+    return np.cumsum(edges[:size]) > 0
+
+
 FOUND = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
 FOUND_ARROW = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
@@ -384,31 +410,17 @@ def _removed(slices: DataFrame, length: int) -> DataFrame:
             shared = np.sort(np.frombuffer(b"".join(row["shared"] or []), U))
             told = np.frombuffer(b"".join(row["masks"] or []), U).reshape(-1, 2)
             heard = dict(zip(told[:, 0].tolist(), told[:, 1].tolist(), strict=True))
-            starts = np.zeros(len(part.text) + length + 1, np.int32)
-            least: dict[int, int] = {}
             held = []
             for units, owners, offsets, some, numbers, _ in part.contents(length, shared):
-                docs = part.ids[owners[units.piece[some]]]
                 # A unit's place in the slice: its piece's offset, and its place in the piece.
                 piece_starts = np.cumsum(units.sizes) - units.sizes
-                at = units.start[some] - piece_starts[units.piece[some]] + offsets[units.piece[some]]
-                held.append((at, units.count[some], numbers, docs))
-                for n, d in zip(numbers, docs.tolist(), strict=True):
-                    if d < least.get(n, 1 << 63):
-                        least[n] = d
-            for at, count, numbers, docs in held:
-                mine = np.array([least[n] for n in numbers], np.int64)
-                whole = docs > mine
-                for a, c in zip(at[whole].tolist(), count[whole].tolist(), strict=True):
-                    starts[a] += 1
-                    starts[a + c + length - 1] -= 1
-                for k in np.flatnonzero(~whole).tolist():
-                    if mask := heard.get(numbers[k]):
-                        for bit in range(int(count[k])):
-                            if mask >> bit & 1:
-                                starts[at[k] + bit] += 1
-                                starts[at[k] + bit + length] -= 1
-            covered = np.cumsum(starts[: len(part.text)]) > 0
+                piece = units.piece[some]
+                masks = np.array([heard.get(n, 0) for n in numbers], U)
+                held.append((units.start[some] - piece_starts[piece] + offsets[piece], units.count[some], np.array(numbers, np.int64), part.ids[owners[piece]], masks))
+            covered = np.zeros(len(part.text), bool)
+            if held:
+                at, count, number, docs, masks = (np.concatenate(x) for x in zip(*held, strict=True))
+                covered = cover(len(part.text), at, count, np.where(docs > _least(number, docs)[number], ALL, masks), length)
             data = np.frombuffer(part.text, np.uint8)
             out = []
             for k, end in enumerate(part.ends.tolist()):

@@ -448,6 +448,19 @@ def test_mixing_odd_rows(spark):
     assert mixing.sample(table, keep=1.0, temper=1.0).count() == 5
 
 
+def test_covered_bytes_of_masks():
+    rng = np.random.default_rng(3)
+    at, count = np.arange(0, 4000, 40), rng.integers(1, 36, 100)
+    masks = rng.integers(0, 1 << 35, 100).astype(np.uint64) * rng.integers(0, 2, 100).astype(np.uint64)
+    masks[::7] = substrings.ALL
+    want = np.zeros(4200, bool)
+    for a, c, m in zip(at.tolist(), count.tolist(), masks.tolist(), strict=True):
+        for k in range(c):
+            if m >> k & 1:
+                want[a + k : a + k + 50] = True
+    assert (substrings.cover(4200, at, count, masks, 50) == want).all() and not want.all()
+
+
 def test_token_cache_keeps_what_comes_again(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED", 2000)
     tokens, library, calls = token_files.Tokens(token_files.VOCABULARY), token_files.Tokens(token_files.VOCABULARY), []
