@@ -51,14 +51,39 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage,
-    and a lost executor loses none of it."""
+_written: list[list[DataFrame]] = []
+
+
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, with a folder for each value of ``by``, and read it back:
+    cuts the lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _written:
+        _written[-1].append(out)
+    return out
+
+
+def settle(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as by :func:`materialize`; then the tables that it wrote on its way, and their shuffles, are deleted.
+
+    Only for steps whose tables nothing else reads.
+    """
+    spark, clean = SparkSession.active(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")  # every write plans its shuffles anew, so no later step asks for these
+    _written.append([])
+    try:
+        out = materialize(make(), name)
+    finally:
+        made = _written.pop()
+        spark.conf.set(clean, before)
+    discard(*made[:-1])
+    if _written:
+        _written[-1].append(out)
     return out
 
 

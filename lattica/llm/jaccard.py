@@ -48,6 +48,8 @@ PAIRS_FROM = 16
 #: Bytes of text for each bucket of signatures; of sketches in a block of step 3; of differences of one numpy step there;
 #: pairs of a hub in one task; ids that a filter may broadcast (beyond, it shuffles); of sets on a side of a tile of step 3.
 BUCKET_BYTES, BLOCK_BYTES, STEP_BYTES, HUB_PAIRS, BROADCAST_IDS, TILE_BYTES = 8 << 20, 1 << 18, 8 << 20, 1024, 1 << 20, 4 << 20
+#: Documents of a cluster of step 3 that are compared in one place, if their sketches fit a block.
+SMALL = 64
 #: Second-level partitions; first-level ones beyond those that linked sets need to agree on one, and one more for 64 allowed
 #: differences: few sets have empty parts in more.
 PARTS, SPARE = 3, 3
@@ -307,18 +309,22 @@ def _around_leaders(pairs: DataFrame) -> DataFrame:
 def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """Pairs that may link though no leader joined them: from the documents around each leader of ``pairs`` (a, b, own).
 
-    Documents of a cluster are dealt to blocks by size band and component.  Blocks of the same and of neighbouring bands
+    Clusters of a few documents are compared many at a time.  Documents of a larger one are dealt to blocks by size band and component.  Blocks of the same and of neighbouring bands
     meet, one pair of blocks to a row; a block holds ``BLOCK_BYTES`` of sketches at most, whatever the cluster's size.  The
     result is packed in tiles (tile, pairs, docs), as there may be many pairs beside the documents.
     """
+    most = TILE_BYTES
     docs = sets.select("doc", "n", "sketch").join(components.select(F.col("v").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     docs = common.materialize(docs, "sketches")
     rows = _around_leaders(pairs).join(docs.select("doc", "n", "component", F.octet_length("sketch").cast("long").alias("w")), "doc")
     rows = common.materialize(rows, "clusters")
     # Two documents, or a cluster that links join already, leave nothing to settle.
-    open_ = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 AND low < high").select("cluster")
+    open_ = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum(F.col("w") + 24).alias("load"), F.min("component").alias("low"), F.max("component").alias("high")).where("docs > 2 AND low < high")
+    open_ = common.materialize(open_.select("cluster", ((F.col("docs") <= SMALL) & (F.col("load") <= BLOCK_BYTES)).alias("small")), "open")
+    few = rows.join(open_.where("small"), "cluster").select("cluster", "doc").join(docs, "doc").select("cluster", "doc", "n", "component", "sketch")
+    few = few.repartition("cluster").sortWithinPartitions("cluster", "doc").mapInArrow(common.releasing(lambda batches: _within(batches, percent, most)), TILES)
     edges = F.array(*(F.lit(x) for x in bands(percent)))
-    rows = rows.join(open_, "cluster").withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))))
+    rows = rows.join(open_.where("NOT small"), "cluster").withColumn("band", F.size(F.filter(edges, lambda x: x <= F.col("n"))))
     # A component that fills blocks of its own needs no comparison inside; the others are dealt together.
     load = rows.groupBy("cluster", "band", "component").agg(F.sum(F.col("w") + 24).alias("load"))
     load = load.withColumn("owner", F.when(F.col("load") > BLOCK_BYTES, F.col("component")))
@@ -353,23 +359,69 @@ def unsettled(pairs: DataFrame, sets: DataFrame, components: DataFrame, percent:
     right = number.select("cluster", F.col("band").alias("to"), F.col("at").alias("y_at"), F.col("owner").alias("y_owner"), F.col("blob").alias("y"))
     both = left.join(right, ["cluster", "to"]).where(((F.col("i") < F.col("to")) | (F.col("x_at") <= F.col("y_at"))) & ~F.coalesce(F.col("x_owner") == F.col("y_owner"), F.lit(False)))
 
-    most = TILE_BYTES
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 x, y = (_by_width(batch.column(c)[at].as_buffer()) for c in ("x", "y"))
-                tiles = [pairs.tobytes() for pairs in _tiles(_near(x, y, percent), x, y, most)]
-                if tiles:
-                    docs = [np.unique(np.frombuffer(t, np.int64)) for t in tiles]
-                    names = [hashlib.blake2b(t, digest_size=16).digest() for t in tiles]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(tiles, pa.binary()), pa.array(docs, pa.list_(pa.int64()))], names=["tile", "pairs", "docs"])
+                yield from _named([pairs.tobytes() for pairs in _tiles(_near(x, y, percent), x, y, most)])
 
-    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.releasing(compare), "tile binary, pairs binary, docs array<bigint>")
+    found = both.select("x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.releasing(compare), TILES).unionAll(few)
     # Leaders that lead the same documents make the same tiles.
     return common.materialize(found.dropDuplicates(["tile"]), "tiles")
 
 
+TILES = "tile binary, pairs binary, docs array<bigint>"
+
+
+def _named(tiles: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs as tiles of :func:`unsettled`."""
+    if tiles:
+        docs = [np.unique(np.frombuffer(t, np.int64)) for t in tiles]
+        names = [hashlib.blake2b(t, digest_size=16).digest() for t in tiles]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(tiles, pa.binary()), pa.array(docs, pa.list_(pa.int64()))], names=["tile", "pairs", "docs"])
+
+
+def _within(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Tiles of whole clusters from rows (cluster, doc, n, component, sketch) in order, a batch of rows at a time."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        clusters = batch.column("cluster").to_numpy()
+        cut = int(np.searchsorted(clusters, clusters[-1]))
+        yield from _named(_near_within(batch.slice(0, cut), percent, most))
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield from _named(_near_within(rest, percent, most))
+
+
+def _near_within(batch: pa.RecordBatch, percent: int, most: int) -> list[bytes]:
+    """As :func:`_near` and :func:`_tiles`, for the pairs inside each of the clusters of a batch."""
+    cluster, doc, n, component = (batch.column(k).to_numpy() for k in range(4))
+    rows = np.arange(len(doc))
+    after = np.searchsorted(cluster, cluster, side="right") - rows - 1
+    i = np.repeat(rows, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    both, least = n[i] + n[j], np.minimum(n[i], n[j])
+    fine = (component[i] != component[j]) & (doc[i] != doc[j]) & (100 * least >= percent * (both - least))
+    i, j, both = i[fine], j[fine], both[fine]
+    sketches = batch.column(4).to_pylist()
+    widths = np.array([len(x) for x in sketches], np.int64)
+    near = np.zeros(len(i), bool)
+    for code, some in common.by_value(widths[i] << 32 | widths[j]):
+        width = min(code >> 32, code & 0xFFFFFFFF)
+        x, y = (fold(np.frombuffer(b"".join([sketches[k] for k in side[some].tolist()]), np.uint8).reshape(len(some), -1), width).view(U) for side in (i, j))
+        near[some] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= both[some] * (100 - percent) // (100 + percent)
+    i, j = i[near], j[near]
+    tiles = []
+    for start, some in common.by_value(np.searchsorted(cluster, cluster[i])):
+        pairs = np.unique(np.stack((doc[i[some]], doc[j[some]]), axis=1), axis=0)
+        stop = start + 1 + after[start]
+        tiles += [t.tobytes() for t in _tiles(pairs, {0: (doc[start:stop], n[start:stop])}, {}, most)]
+    return tiles
+
+
 def _tiles(pairs: np.ndarray, x: dict, y: dict, most: int) -> Iterator[np.ndarray]:
     """``pairs`` of two blocks in parts whose documents have about ``most`` bytes of sets on each side at most."""
     if not len(pairs):

@@ -168,7 +168,7 @@ def split_and_sign(docs: DataFrame, size: int, bands: int, percent: int, buckets
         packed = [(k, len(some), once[some].tobytes() + leaders[some].tobytes()) for k, some in common.by_value(((once >> U(20)) % U(buckets)).astype(np.int64))]
         yield _batch(len(packed), kind=np.full(len(packed), 2, np.int32), bucket=np.array([p[0] for p in packed], np.int32), n=np.array([p[1] for p in packed], np.int64), keys=[p[2] for p in packed])
 
-    return common.materialize(docs.mapInArrow(run, FOUND), "line-signs")
+    return common.materialize(docs.mapInArrow(run, FOUND), "line-signs", "kind")
 
 
 def lead(found: DataFrame, buckets: int) -> DataFrame:
@@ -188,7 +188,7 @@ def lead(found: DataFrame, buckets: int) -> DataFrame:
 
     sent = found.where("kind = 2").select("bucket", "keys").repartitionById(buckets, "bucket").select("keys")
     own = found.where("kind = 3").select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.lit(True).alias("own"))
-    return common.materialize(sent.mapInArrow(run, "a long, b long").withColumn("own", F.lit(False)).unionAll(own).distinct(), "line-pairs")
+    return sent.mapInArrow(run, "a long, b long").withColumn("own", F.lit(False)).unionAll(own).distinct()
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,17 +203,21 @@ def links(docs: DataFrame, found: DataFrame, buckets: int, size: int, percent: i
     """Verified pairs (a, b) of names of different lines."""
     sets_of = lambda texts: line_sets(texts, size)
     lines = found.where("kind = 1").groupBy("h1").agg(F.min("h2").alias("h2"), F.max("h2").alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    lines = lines.where("h2 = last").select(F.col("h1").alias("doc"), "n", "sketch")
-    led = lead(found, buckets)
+    alike = lines.where("h2 = last").select(F.col("h1").alias("doc"), "n", "sketch")
+    led = common.settle(lambda: lead(found, buckets), "line-pairs")
+    for kind in (2, 3):  # the keys are most of what was written, and only the leaders come from them
+        common.drop_path(found.sparkSession, f"{found.scratch_path}/kind={kind}")
     ends = led.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    lines = common.materialize(lines.join(ends, "doc", "left_semi"), "line-sketches")
+    lines = common.settle(lambda: alike.join(ends, "doc", "left_semi"), "line-sketches")
     side = lambda c, n, s: lines.select(F.col("doc").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     both = lambda pairs: pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
-    likely = common.materialize(jaccard.may_link(both(led.select("a", "b").distinct()), percent), "line-likely")
+    likely = common.settle(lambda: jaccard.may_link(both(led.select("a", "b").distinct()), percent), "line-likely")
     texts_of = lambda wanted: line_texts(docs, wanted)
-    out = jaccard.verify(texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()), likely, sets_of, percent)
-    tiles = jaccard.unsettled(led, lines, common.connected_components(out), percent)
-    return out.unionAll(jaccard.links_of_tiles(tiles, texts_of, sets_of, percent))
+    named = likely.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    out = common.settle(lambda: jaccard.verify(texts_of(named), likely, sets_of, percent), "line-links")
+    joined = common.settle(lambda: common.connected_components(out), "line-joined")
+    tiles = common.settle(lambda: jaccard.unsettled(led, lines, joined, percent), "line-tiles")
+    return out.unionAll(common.settle(lambda: jaccard.links_of_tiles(tiles, texts_of, sets_of, percent), "line-links"))
 
 
 def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,12 +228,14 @@ def components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     found = split_and_sign(rows, size, bands, percent, buckets)
-    joined = common.connected_components(links(rows, found, buckets, size, percent)).select(F.col("v").alias("h1"), "component")
+    parts = common.settle(lambda: common.connected_components(links(rows, found, buckets, size, percent)), "line-components")
+    joined = parts.select(F.col("v").alias("h1"), "component")
     places = found.where("kind = 0").select("doc", "copy", "line_no", "h1", "h2").distinct()
     classes = places.join(joined, "h1", "left")
     # Lines without links are a class by both hashes; components need none beside their number.
-    classes = classes.withColumn("c1", F.coalesce("component", "h1")).withColumn("c2", F.when(F.col("component").isNull(), F.col("h2")))
-    classes = common.materialize(classes.drop("component"), "line-classes")
+    classed = classes.withColumn("c1", F.coalesce("component", "h1")).withColumn("c2", F.when(F.col("component").isNull(), F.col("h2")))
+    classes = common.settle(lambda: classed.drop("component"), "line-classes")
+    common.discard(found, parts)
     first = classes.groupBy("c1", "c2").agg(F.min(F.struct("doc", "copy", "line_no")).alias("first"), F.count("*").alias("lines"))
     first = first.where("lines > 1").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "first")
     out = classes.join(first, (F.col("c1") == F.col("d1")) & F.col("c2").eqNullSafe(F.col("d2")), "left")

@@ -1,10 +1,12 @@
 """Each operator on a small table with nulls, empty and long texts, repeated rows, clashing columns, and an empty table; results from brute force."""
 
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -571,3 +573,31 @@ def test_links_of_a_tile_join_what_all_links_join():
         return up
 
     assert groups(got) == groups(links)
+
+
+def test_fuzzy_lines_leave_no_tables_behind(spark, monkeypatch):
+    made, materialize = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name, *by: made.append((name, materialize(df, name, *by))) or made[-1][1])
+    base = [f"some words of line {k} and then {k * k} more of them" for k in range(40)]
+    table = spark.createDataFrame([(k, "\n".join([base[k % 40], base[k // 2] + " x"])) for k in range(80)], "doc_id long, text string")
+    assert lines.components(table).where("NOT kept").count() > 0
+    left = [name for name, t in made if os.path.exists(t.scratch_path.removeprefix("file://"))]
+    assert len(made) > 10 and left == ["line-classes"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_small_clusters_have_the_pairs_of_blocks():
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for cluster in range(30):
+        base = rng.integers(0, 1 << 62, int(rng.integers(20, 90)), dtype=np.uint64)
+        sets = [np.unique(np.where(rng.random(len(base)) < 0.08, rng.integers(0, 1 << 62, len(base), dtype=np.uint64), base)) for _ in range(12)]
+        held = [(cluster, 100 * cluster + k, len(x), k % 5, jaccard.sketch(x, 80)) for k, x in enumerate(sets)]
+        rows += held
+        blob = np.int64(12).tobytes() + np.array([[r[1] for r in held], [r[2] for r in held], [r[3] for r in held], [len(r[4]) for r in held]], np.int64).tobytes() + b"".join(r[4] for r in held)
+        block = jaccard._by_width(pa.py_buffer(blob))
+        want |= set(map(tuple, jaccard._near(block, block, 80).tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["cluster", "doc", "n", "component", "sketch"])
+    got = list(jaccard._within(iter([batch.slice(k, 7) for k in range(0, len(rows), 7)]), 80, 1 << 20))
+    pairs = [tuple(p) for b in got for x in b.column("pairs").to_pylist() for p in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()]
+    assert 0 < len(pairs) == len(set(pairs)) and set(pairs) == want
