@@ -23,9 +23,11 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ MAGIC = b"LWM2"
 BLOCK = 1 << 18
 #: Tokens at which a file closes, bytes of text of a range shard.
 ROLL_TOKENS, SHARD_BYTES = 1 << 22, 16 << 20
-#: Pieces that stay in a worker's cache, and that it saw once; runs of marks in it; words that the library gets as one text.
-CACHED, MARKS, TOGETHER = 1 << 17, 1 << 12, 1000
+#: Pieces that stay in a worker's cache, and that it saw once; packed generations of older ones (about 35 bytes a piece);
+#: runs of marks in it; words that the library gets as one text.
+CACHED, GENERATIONS, MARKS, TOGETHER = 3 << 15, 8, 1 << 12, 1000
 #: Marks that end a token before them if a letter is there: all of ASCII but the apostrophe, which begins tokens with letters.
 MARKED = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -49,6 +52,25 @@ VISIBLE = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(sorted(set(
 NO_BREAK = "".join(chr(VISIBLE[b]) for b in b"\xc2\xa0")
 
 
+class Generation:
+    """Pieces and their ids in a few buffers, for a fifth of the memory of a dictionary; asked for many at a time."""
+
+    def __init__(self, known: dict[bytes, bytes]):
+        self.hashes = np.fromiter(map(hash, known), np.int64, len(known))
+        order = np.argsort(self.hashes)
+        self.hashes = self.hashes[order]
+        self.pieces, self.ids = (pa.array(list(x), pa.binary()).take(pa.array(order)) for x in (known, known.values()))
+
+    def find(self, pieces: list[bytes], hashes: np.ndarray) -> dict[bytes, bytes]:
+        """Ids of those of the pieces that are here (of pieces of one hash, one may not be found)."""
+        if not len(self.hashes):
+            return {}
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = np.flatnonzero(self.hashes[at] == hashes)
+        here, ids = (x.take(pa.array(at[rows])).to_pylist() for x in (self.pieces, self.ids))
+        return {p: x for k, p, x in zip(rows.tolist(), here, ids, strict=True) if p == pieces[k]}
+
+
 class Tokens:
     """Ids of texts, from the library; pieces that a text may safely be cut into are remembered.
 
@@ -57,6 +79,7 @@ class Tokens:
     that is not a plain space or newline, or with a special string go to the library whole.
     """
 
+    ends = frozenset(bytes([c]) for c in MARKED)
     ODD = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"<|")
     ODD_BEYOND_ASCII = (*ODD, b" \xc2", b"\n\xc2", b" \xe1", b"\n\xe1", b" \xe2", b"\n\xe2", b" \xe3", b"\n\xe3")
 
@@ -71,6 +94,7 @@ class Tokens:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         self.now: dict[bytes, bytes] = {}
         self.once: dict[bytes, bytes] = {}
+        self.older: list[Generation] = []
         self.marks: dict[bytes, bytes] = {}
         (self.newline,) = self.ask([b"\n"])
         #: The library's model alone, without the pattern.
@@ -124,39 +148,52 @@ class Tokens:
             (self.marks[run],) = self.ask([run])
         return self.marks[run]
 
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of pieces that are not among those that stay; what was seen before stays from now on."""
+    def age(self, known: dict[bytes, bytes]) -> None:
+        """Pack what leaves the dictionaries; pieces that end in marks come from their cores."""
+        self.older = [Generation({p: x for p, x in known.items() if p[-1:] not in self.ends}), *self.older[: GENERATIONS - 1]]
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces that are not among those that stay; what was seen before stays from now on."""
         if len(self.now) > CACHED:
+            self.age(self.once)
             self.once, self.now = self.now, {}
         elif len(self.once) > CACHED:
+            self.age(self.once)
             self.once = {}
-        now, once, found, asked, ended = self.now, self.once, {}, set(), []
-        for p in pieces:
-            if p in once:
-                found[p] = now[p] = once.pop(p)
-                continue
-            core = p.rstrip(MARKED)
-            if len(core) < len(p) and core[-1:].isalpha():  # marks after a letter are tokens of their own
-                ended.append((p, core))
-                got = now.get(core) or once.get(core)
-                if got is None:
-                    asked.add(core)
-                else:
-                    found[core] = got
+        now, once, ends, asked, ended, cores, fresh = self.now, self.once, self.ends, {}, [], [], []
+        out = list(map(once.pop, pieces, repeat(None)))
+        again = [k for k, got in enumerate(out) if got is not None]
+        now.update(zip([pieces[k] for k in again], [out[k] for k in again], strict=True))
+        for k in [k for k, got in enumerate(out) if got is None]:
+            p = pieces[k]
+            if p[-1:] in ends and (core := p.rstrip(MARKED))[-1:].isalpha():  # marks after a letter are tokens of their own
+                out[k] = now.get(core) or once.get(core)
+                if out[k] is None:
+                    asked[core] = None
+                ended.append(k)
+                cores.append(core)
             else:
-                asked.add(p)
-        names = list(asked)
-        fresh = dict(zip(names, self.ask_words([p if p[:1] == b"\n" else b" " + p for p in names]), strict=True))
-        once |= fresh
-        found |= fresh
-        for p, core in ended:
-            found[p] = once[p] = found[core] + self.mark(p[len(core) :])
-        return found
+                asked[p] = None
+                fresh.append(k)
+        names, found = list(asked), {}
+        for generation in self.older if names else []:
+            known = generation.find(names, np.fromiter(map(hash, names), np.int64, len(names)))
+            found |= known
+            names = [p for p in names if p not in known]
+        now |= found
+        asked = dict(zip(names, self.ask_words([p if p[:1] == b"\n" else b" " + p for p in names]), strict=True))
+        once |= asked
+        asked |= found
+        for k, core in zip(ended, cores, strict=True):
+            p = pieces[k]
+            out[k] = once[p] = (out[k] or asked[core]) + self.mark(p[len(core) :])
+        for k in fresh:
+            out[k] = asked[pieces[k]]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        cut, whole, lacking, out = [], [], set(), [b""] * len(texts)
-        get, join, skip = self.now.get, b"".join, len(self.newline)
+        cut, led_texts, whole, out = [], [], [], [b""] * len(texts)
         for k, t in enumerate(texts):
             if not t:
                 continue
@@ -164,17 +201,25 @@ class Tokens:
             if t[0] <= 32 or t[-1] <= 32 or any(x in led for x in (self.ODD if led.isascii() else self.ODD_BEYOND_ASCII)):
                 whole.append(k)
             else:
-                pieces = (b"\n" + t.replace(b"\n", b" \n")).split(b" ")
-                ids = list(map(get, pieces))
-                gaps = [i for i, x in enumerate(ids) if x is None]
-                lost = [pieces[i] for i in gaps]
-                lacking.update(lost)
-                cut.append((k, ids, gaps, lost))
-        found = self.learn(lacking)
-        for k, ids, gaps, lost in cut:
-            for i, piece in zip(gaps, lost, strict=True):
-                ids[i] = found[piece]
-            out[k] = join(ids)[skip:]
+                cut.append(k)
+                led_texts.append(b"\n" + t.replace(b"\n", b" \n"))
+        if cut:
+            # Each distinct piece is looked up once; Arrow puts the ids of all occurrences in a row.
+            split = pc.split_pattern(pa.array(led_texts, pa.large_binary()), b" ")
+            pieces = split.values.dictionary_encode()
+            _, offsets, data = pieces.dictionary.buffers()
+            starts, data = np.frombuffer(offsets, np.int64, len(pieces.dictionary) + 1).tolist(), data.to_pybytes()
+            names = [data[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+            ids = list(map(self.now.get, names))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(gaps, self.learn([names[i] for i in gaps]), strict=True):
+                ids[i] = x
+            row = pa.array(ids, pa.large_binary()).take(pieces.indices)
+            _, offsets, data = row.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(row) + 1)[split.offsets.to_numpy()].tolist()
+            data, skip = data.to_pybytes(), len(self.newline)
+            for k, start, end in zip(cut, ends, ends[1:], strict=False):
+                out[k] = data[start + skip : end]
         for k, ids in zip(whole, self.ask([texts[k] for k in whole]) if whole else [], strict=True):
             out[k] = ids
         return out
@@ -395,7 +440,7 @@ def write(docs: DataFrame, uri: str, name: str = VOCABULARY, end: int = END, rol
             files.append({"name": final, "temp": temp, "shard": shard, "part": part, "rows": len(doc_ids), "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "tokens": n})
             doc_ids, ends, held, n, part = [], [], [], 0, part + 1
 
-        for batch in common.text_slices(batches, "text", 2 << 20):
+        for batch in common.text_slices(batches, "text"):
             numbers = batch.column("_shard").to_pylist()
             for doc, number, ids in zip(batch.column("doc_id").to_pylist(), numbers, tokens.encode(common.text_bytes(batch, "text")), strict=True):
                 if number != shard:
