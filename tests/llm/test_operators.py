@@ -601,3 +601,15 @@ def test_small_clusters_have_the_pairs_of_blocks():
     got = list(jaccard._within(iter([batch.slice(k, 7) for k in range(0, len(rows), 7)]), 80, 1 << 20))
     pairs = [tuple(p) for b in got for x in b.column("pairs").to_pylist() for p in np.frombuffer(x, np.int64).reshape(-1, 2).tolist()]
     assert 0 < len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_token_pieces_that_left_the_cache_are_not_asked_for_again(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED", 300)
+    tokens, library, calls = token_files.Tokens(token_files.VOCABULARY), token_files.Tokens(token_files.VOCABULARY), []
+    monkeypatch.setattr(tokens, "ask_words", lambda words, ask=tokens.ask_words: calls.extend(words) or ask(words))
+    texts = [" ".join(f"zq{chr(97 + k)}{chr(97 + n % 26)}{chr(97 + n // 26)}{',' if n % 3 else ''}" for n in range(400)).encode() for k in range(6)]
+    want = library.ask(texts)
+    assert [tokens.encode([t])[0] for t in texts] == want
+    calls.clear()
+    assert [tokens.encode([t])[0] for t in texts] == want and not calls
+    assert len(tokens.older) <= token_files.GENERATIONS
