@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.operators.rounds import settle
+from lattica.operators import order
+from lattica.operators.rounds import discard, settle
 
 #: Bond length, 1-3 contact and longer contact as ratios of the sum of radii.
 LONG_BOND, CLOSE_13, CLOSE = 1.25, 1.05, 1.15
@@ -57,24 +58,25 @@ def robust_line(rows: DataFrame, group: str, x: str, y: str, rounds: int = 4, wi
 
     The spread is 1.4826 times the median absolute residual of the rows used before.
     """
-    data = rows.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    used, fit = data, None
+    used, fit = rows.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), None
     for k in range(rounds):
         slope = F.covar_pop("x", "y") / F.var_pop("x")
         fit = settle(used.groupBy("g").agg(slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("intercept"), F.count("*").alias("n_used")))
         if k + 1 < rounds:
             off = used.join(fit, "g").select("g", "x", "y", F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("off"))
-            mad = off.groupBy("g").agg((F.median("off") * 1.4826).alias("spread"))
-            used = settle(off.join(mad, "g").where(F.col("off") <= width * F.col("spread")).select("g", "x", "y"))
+            middle = settle(order.group_quantiles(off, "g", "off", 0.5))
+            before, used = used, settle(off.join(middle, "g").where(F.col("off") <= width * 1.4826 * F.col("quantile")).select("g", "x", "y"))
+            if k:
+                discard(before)
     return fit.withColumnRenamed("g", group)
 
 
 def residual_scores(rows: DataFrame, fit: DataFrame, group: str, x: str, y: str, record: str) -> DataFrame:
-    """``record``, n, rms of residuals from each group's line, over 1.4826 times the group's median absolute residual."""
+    """``record``, n, rms of residuals from each group's line, over 1.4826 times the group's median absolute residual (of two middle ones the lower)."""
     off = rows.join(fit, group).withColumn("_off", F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    spread = off.groupBy(group).agg((1.4826 * F.percentile_approx(F.abs("_off"), 0.5, 1_000_000)).alias("_spread"))
-    z = F.col("_off") / F.col("_spread")
-    return off.join(spread, group).groupBy(record).agg(F.count("*").alias("n"), F.sqrt(F.avg(z * z)).alias("rms"))
+    middle = settle(order.group_quantiles(off.withColumn("_abs", F.abs("_off")), group, "_abs", 0.5, discrete=True))
+    z = F.col("_off") / (1.4826 * F.col("quantile"))
+    return off.join(middle, group, "left").groupBy(record).agg(F.count("*").alias("n"), F.sqrt(F.avg(z * z)).alias("rms"))
 
 
 def text_ordinals(rows: DataFrame, group: str, index: str, to: str) -> DataFrame:
