@@ -93,24 +93,27 @@ def neighbour_counts(keys: DataFrame, pairs: DataFrame) -> DataFrame:
 def butina(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """key, centre: sets in the order of neighbour count (more first, then larger key) become centres unless taken, and take their free neighbours.
 
-    Done in rounds: a free key that comes before all its undecided neighbours is a centre.  Every round settles at
-    least the first key, usually a share of all.
+    Done in rounds: a free key that comes before all its undecided neighbours is a centre, and its neighbours are no more
+    undecided.  Every round settles at least the first key, usually a share of all.  Who takes a key is known at the end: of
+    all centres around it the first in order, which may be found in a later round than others.
     """
     rank = F.struct(F.col("neighbours"), F.col("key"))
     first = settle(neighbour_counts(keys, pairs).select("key", rank.alias("rank")))
     edge = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionAll(pairs.select(F.col("b").alias("key"), F.col("a").alias("other")))
     edge = settle(edge.join(first.select(F.col("key").alias("other"), F.col("rank").alias("other_rank")), "other"))
-    left, out = first, None
+    left, all_centres = first, None
     while True:
         ahead = edge.join(left.select(F.col("key").alias("other")), "other", "left_semi").groupBy("key").agg(F.max("other_rank").alias("ahead"))
-        centres = settle(left.join(ahead, "key", "left").where(F.col("ahead").isNull() | (F.col("rank") > F.col("ahead"))).select("key", "rank"))
-        taken = edge.join(left.select("key"), "key", "left_semi").join(centres.select(F.col("key").alias("other"), F.col("rank").alias("c")), "other").groupBy("key").agg(F.max_by("other", "c").alias("centre"))
-        taken = taken.join(centres.select("key"), "key", "left_anti")
-        got = settle(centres.select("key", F.col("key").alias("centre")).unionAll(taken.select("key", "centre")))
-        out = got if out is None else out.unionAll(got)
-        left = settle(left.join(got.select("key"), "key", "left_anti"))
+        centres = settle(left.join(ahead, "key", "left").where(F.col("ahead").isNull() | (F.col("rank") > F.col("ahead"))).select("key"))
+        all_centres = centres if all_centres is None else all_centres.unionAll(centres)
+        beside = edge.join(centres.select(F.col("key").alias("other")), "other", "left_semi").select("key")
+        before, left = left, settle(left.join(centres.unionAll(beside), "key", "left_anti"))
+        if before is not first:
+            discard(before)
         if not left.limit(1).count():
-            return out
+            break
+    taken = edge.join(all_centres.select(F.col("key").alias("other")), "other", "left_semi").groupBy("key").agg(F.max_by("other", "other_rank").alias("centre"))
+    return all_centres.select("key", F.col("key").alias("centre")).unionAll(taken.join(all_centres, "key", "left_anti").select("key", "centre"))
 
 
 def components(pairs: DataFrame, keys: DataFrame) -> DataFrame:
