@@ -204,7 +204,7 @@ SELECT count(*) AS n, round(quantile_cont(d1, 0.999), 6) AS q999, round(max(d1),
 def triangle_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantile and maximum of the triangles' shortest sides."""
     _, pairs = _near(spark, sf_dir)
-    out = groups.triangle_bounds(groups.triangles(pairs.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))))
+    out = groups.triangle_bounds(groups.shortest_sides(pairs.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))))
     return out.select("n", r("q999").alias("q999"), r("longest").alias("longest"))
 
 
